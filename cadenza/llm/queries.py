@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, imatch, packing, secrets, simhash, warc
+from . import bpe, exact, imatch, maxent, packing, passages, quality, secrets, simhash, warc
 from .common import table
 
 
@@ -38,6 +38,36 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_documents(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_warc_zip, op3_imatch, op5_simhash, op6_exact_dedup, op8_secret_scan)}
+def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path()), tokenizer_path())
+
+
+def op7_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op10_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_warc_zip,
+        op3_imatch,
+        op4_bpe_tree,
+        op5_simhash,
+        op6_exact_dedup,
+        op7_maxent,
+        op8_secret_scan,
+        op9_compact_windows,
+        op10_attention_mil,
+    )
+}
 
 ORACLES: dict[str, str] = {}
