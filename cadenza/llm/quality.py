@@ -174,6 +174,20 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold. Rows are judged where they
+    are, without a join, so that null or repeated ids make no difference."""
+    columns = docs.columns
+    at = columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = model.score([t or "" for t in b.column(at).to_pylist()]) >= threshold
+            yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every row; an empty table gives an empty result."""
     out = scores(docs, train(docs, labels, id_col, text_col), id_col, text_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import exact, packing, secrets, simhash
+from cadenza.llm import exact, packing, quality, secrets, simhash
 from cadenza.llm.common import new_path, table
 from cadenza.llm.queries import tokenizer_path
 
@@ -13,6 +13,12 @@ from cadenza.llm.queries import tokenizer_path
 ORACLE_SQL = None
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.keep(docs, model)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (white space aside) the document with the smallest id stays."""
     stay = exact.exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept"))
@@ -41,6 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_filter", quality_filter),
     ("exact_dedup", exact_dedup),
     ("near_dedup", near_dedup),
     ("redact_secrets", redact_secrets),
