@@ -1,6 +1,8 @@
-"""All queries of the timeline operators, with their SQL."""
+"""All queries of the timeline operators, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .oracles import ORACLES
+from .queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
