@@ -17,7 +17,7 @@ def raw_minutes(spark: SparkSession, path: str) -> DataFrame:
     A file with any token that is no number is 'unreadable', one with under two rows or four columns 'too_short': such
     a file is one row without samples. Lines are read as text and parsed in expressions; pos is the line's place in its file,
     from the offset-ordered id that one task gives to the lines of a file."""
-    lines = spark.read.option("wholetext", True).text(f"{path}/*/*.dat").select("value", F.col("_metadata.file_path").alias("_path"))
+    lines = spark.read.text(f"{path}/*/*.dat", wholetext=True).select("value", F.col("_metadata.file_path").alias("_path"))
     name = F.regexp_extract("_path", r"([^/]+)/([^/.]+)\.[^/]*$", 1), F.regexp_extract("_path", r"([^/]+)/([^/.]+)\.[^/]*$", 2)
     rows = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     cells = F.transform(rows, lambda x: F.split(F.trim(x), r"\s+"))
