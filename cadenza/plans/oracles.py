@@ -64,7 +64,8 @@ FILL = BASE + """, av AS (SELECT y AS label, user_id, count(*) AS n FROM seg GRO
 lv AS (SELECT av.label, max(l.l) AS level FROM (SELECT DISTINCT label FROM av) AS av, range(0, 1501) AS l(l) WHERE (SELECT sum(least(a.n, l.l)) FROM av AS a WHERE a.label = av.label) <= 1500 GROUP BY av.label),
 bs AS (SELECT av.*, least(n, level) AS base, n > level AS more FROM av JOIN lv USING (label)),
 wf AS (SELECT label, user_id, n, CAST(base + CASE WHEN more AND sum(CASE WHEN more THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY user_id) <= 1500 - sum(base) OVER (PARTITION BY label) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM bs)"""
-S_TEXT = "lower(query)"
+#: Verb stems of each activity, in the order in which they are looked for.
+STEMS = (("Walking", "walk|stroll"), ("Running", "run|jog|ran"), ("Sitting", "sit|sat|seated"), ("Lying down", "lie |lay |lying|laid|rest"), ("Bicycling", "cycl|bike|biking|bicycl|pedal"), ("Standing in place", "stand|stood"))
 FOLDS = """WITH u AS (SELECT DISTINCT user_id FROM events), fs AS (SELECT f.f AS fold, user_id, CASE WHEN user_id % 5 = f.f THEN 'test' WHEN user_id % 5 = (f.f + 1) % 5 THEN 'val' ELSE 'train' END AS part FROM u, (VALUES (0), (1), (2), (3), (4)) AS f(f)),
 pu AS (SELECT user_id, count(*) AS n, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS w FROM events GROUP BY ALL),
 pt AS (SELECT fold, part, count(*) AS users, CAST(sum(n) AS BIGINT) AS segments, CAST(sum(w) AS BIGINT) AS watched FROM fs JOIN pu USING (user_id) GROUP BY ALL)"""
@@ -120,6 +121,9 @@ FROM us LEFT JOIN tt ON tt.user_id = us.user_id AND tt.activity = 'Bicycling' LE
     "intent_rules": """SELECT conv_id, turn, CASE WHEN contains(s, ' or ') AND (contains(s, 'more') OR contains(s, 'longer') OR contains(s, 'spend')) THEN 'comparison' WHEN starts_with(s, 'how many') OR starts_with(s, 'how often') OR contains(s, 'times') THEN 'count'
 WHEN starts_with(s, 'how long') OR contains(s, 'total time') OR contains(s, 'how much time') THEN 'duration' WHEN contains(s, 'when') OR contains(s, 'begin') OR contains(s, 'start') OR contains(s, 'onset') THEN 'grounding'
 WHEN starts_with(s, 'is ') OR starts_with(s, 'was ') OR starts_with(s, 'did ') OR starts_with(s, 'does ') THEN 'verification' WHEN contains(s, 'what activity') OR contains(s, 'what is') OR contains(s, 'doing') THEN 'identification' ELSE 'unsupported' END AS intent FROM (SELECT *, lower(coalesce(text, '')) AS s FROM conversations)""",
+    "activity_recovery": f"""SELECT doc_id, array_to_string(CASE WHEN len(named) > 0 THEN named ELSE list_filter(stems, lambda c: c IS NOT NULL) END, ',') AS activities FROM (SELECT doc_id,
+list_filter(['Lying down', 'Sitting', 'Walking', 'Running', 'Bicycling', 'Standing in place', 'Standing and moving'], lambda c: contains(s, lower(c))) AS named,
+[{', '.join(f"CASE WHEN regexp_matches(s, '(?:^|[^{chr(92)}pL{chr(92)}pN_])(?:{stems})') THEN '{name}' END" for name, stems in STEMS)}] AS stems FROM (SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents))""",
     "first_number": r"""SELECT conv_id, turn, TRY_CAST(nullif(regexp_extract(text, '-?\d+(?:\.\d+)?'), '') AS DOUBLE) AS number, TRY_CAST(nullif(regexp_extract(lower(text), '(\d+(?:\.\d+)?)\s*second', 1), '') AS DOUBLE) AS seconds FROM conversations""",
     "yes_no_norm": "SELECT conv_id, turn, CASE WHEN starts_with(s, 'yes') OR starts_with(s, 'likely yes') THEN 'yes' WHEN starts_with(s, 'no') THEN 'no' ELSE rtrim(s, '.') END AS yn, rtrim(lower(trim(role)), '.') AS role_norm FROM (SELECT *, lower(trim(substring(text, 1, 12))) AS s FROM conversations)",
     "confusion_matrix": f"{CM} SELECT t AS y_true, p AS y_pred, n FROM cm",
