@@ -31,6 +31,13 @@ SPECIAL = "<|"
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, first and last + 1 code point of each token
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a task holds the texts and ids of few rows at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def leaves(text: str, leaf: int = LEAF) -> list[str]:
     """The text in halves of halves of no more than `leaf` code points; an empty text has one empty leaf."""
     parts = [text]
@@ -152,7 +159,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.encode(t) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
 
     long = long_ids(rows.where(F.char_length("text") > leaf), tokenizer, leaf)
@@ -209,7 +216,7 @@ def digests(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(1).to_pylist()
             sha = lambda x: hashlib.sha256(x).hexdigest()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(enc.decode(np.frombuffer(x, "<u4").tolist())) for x in ids])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

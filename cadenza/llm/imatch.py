@@ -36,9 +36,9 @@ def terms(text: Column) -> Column:
 def lexicon(term_lists: DataFrame, total: int, rarest: float = RAREST, commonest: float = COMMONEST, most: int = MOST_TERMS) -> list[int]:
     """Hashes of the terms in the band. term_lists has a column terms, each list without repeats.
 
-    The least document frequency is `rarest` of the documents, 2 at least: no more than the mean list
+    The least document frequency is `rarest` of the documents, 4 at least: no more than the mean list
     length / `rarest` terms can reach it. Raises where that is more than `most`."""
-    low, high = max(2.0, rarest * total), max(2.0, commonest * total)
+    low, high = max(4.0, rarest * total), max(4.0, commonest * total)
     df = term_lists.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     found = [r[0] for r in df.where((F.col("df") >= low) & (F.col("df") <= high)).select("term").limit(most + 1).collect()]
     if len(found) > most:
@@ -74,8 +74,9 @@ def text_print(p: Column) -> Column:
     return F.array_join(F.transform(p, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def neighbours(rows: DataFrame, total: int) -> DataFrame:
-    """Adds the columns of the next row in ascending doc_id as next_*; the first row follows the last.
+def neighbours(rows: DataFrame, total: int, more=lambda df: df) -> DataFrame:
+    """Adds the columns of the next row in ascending doc_id as next_*; the first row follows the last. `more` adds columns
+    to rows after the guests have come, so that it does not work on all rows twice.
 
     Null ids come first; rows with equal ids are ordered by the hash of their text. Ids are cut at
     quantiles into groups of about NEIGHBOURS rows, each ordered by itself; the first row of each
@@ -93,30 +94,37 @@ def neighbours(rows: DataFrame, total: int) -> DataFrame:
         spark = rows.sparkSession
         hosts = spark.createDataFrame(ids, "_id long, _host int")
         guests = rows.join(F.broadcast(hosts), F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_group", F.col("_host")).withColumn("_guest", F.lit(1)).drop("_id", "_host")
-    held = rows if guests is None else rows.unionByName(guests)
+    held = more(rows if guests is None else rows.unionByName(guests))
     order = Window.partitionBy("_group").orderBy("_guest", F.col("doc_id").asc_nulls_first(), "_tie")
-    names = [c for c in rows.columns if c not in ("_group", "_guest", "_tie", "doc_id")]
+    names = [c for c in held.columns if c not in ("_group", "_guest", "_tie", "doc_id")]
     return held.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in names]).where("_guest = 0").drop("_group", "_guest", "_tie")
 
 
-def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: float = RAREST, commonest: float = COMMONEST) -> tuple[DataFrame, list[int], int]:
-    """(rows with doc_id, text, print array<long>; the lexicon; the number of rows).
+def base_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def with_print(rows: DataFrame, band: list[int]) -> DataFrame:
+    return rows.withColumn("_t", terms(F.col("text"))).withColumn("print", prints(F.col("_t"), band)).drop("_t")
+
+
+def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: float = RAREST, commonest: float = COMMONEST) -> DataFrame:
+    """doc_id, text, print (array<long>) of every row.
 
     Null texts are empty, null ids stay, repeated rows are returned each time. A text without terms of
     the band is told by the hash of all its terms. An empty table gives no rows.
     """
-    # lists of terms come from the text column alone here, for document frequencies
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = rows.count()
-    band = lexicon(rows.select(terms(F.col("text")).alias("terms")), total, rarest, commonest)
-    return rows.withColumn("_t", terms(F.col("text"))).withColumn("print", prints(F.col("_t"), band)).drop("_t"), band, total
+    rows = base_rows(docs, id_col, text_col)
+    return with_print(rows, lexicon(rows.select(terms(F.col("text")).alias("terms")), rows.count(), rarest, commonest))
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: float = RAREST, commonest: float = COMMONEST) -> DataFrame:
     """Each text's fingerprint against that of its edited text (its last half replaced by as much of the next
     document's start) and of the next document."""
-    rows, band, total = fingerprint(docs, id_col, text_col, rarest, commonest)
-    both = neighbours(rows.withColumn("_tie", F.xxhash64("text")), total)
+    rows = base_rows(docs, id_col, text_col)
+    total = rows.count()
+    band = lexicon(rows.select(terms(F.col("text")).alias("terms")), total, rarest, commonest)
+    both = neighbours(rows.withColumn("_tie", F.xxhash64("text")), total, lambda df: with_print(df, band))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     both = both.withColumn("n_chars", n.cast("long")).withColumn("_edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))

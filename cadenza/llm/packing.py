@@ -101,7 +101,10 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 128, small: int
         rank[n] += count
         left[n] -= count
 
-    large = sorted((n for n in left if n > capacity // small), reverse=True)
+    if left.get(capacity):  # these fill a sequence by themselves
+        opened = left[capacity]
+        take(capacity, opened, 1, 0, 0)
+    large = sorted((n for n in left if capacity > n > capacity // small), reverse=True)
     if large:
         share = -(-sum(left[n] for n in large) // groups)
         members: list[list[list[int]]] = [[]]

@@ -14,7 +14,7 @@ import unicodedata
 import numpy as np
 
 #: Words kept before the cache starts anew.
-MOST_WORDS = 800_000
+MOST_WORDS = 500_000
 #: Longer words are not kept.
 LONGEST_KEPT = 64
 #: The tokenizer's pre-token rule for words of ASCII bytes without capitals.

@@ -175,8 +175,8 @@ def test_model_is_a_distribution_and_learns(spark):
     a = np.array([3]), np.array([5])
     total = 0.0
     for g in range(maxent.CLASSES):
-        z, y, _ = w.log_probs(maxent.features(*a), np.array([g]))
-        total += np.exp(z[0, g]) * np.exp(y[0]).sum()
+        z, y, _ = w.logits(maxent.features(*a), np.array([g]))
+        total += sum(np.exp(maxent.log_prob(z, np.array([g])) + maxent.log_prob(y, np.array([m])))[0] for m in range(maxent.MEMBERS))
     assert total == pytest.approx(1, abs=1e-4)
 
 
