@@ -160,3 +160,38 @@ def test_best_stretch():
         got = passages.best_stretch(v, 0.9, 3)
         want = max((j - i for i in range(len(v)) for j in range(i + 3, len(v) + 1) if v[i:j].mean() >= 0.9), default=0)
         assert (got[1] - got[0] if got else 0) == want
+
+
+def edited(r, n, put_in=0, left_out=0):
+    """A passage of n words, and the same with words put in or left out in its middle."""
+    one = [word(r) for _ in range(n)]
+    return one, one[: n // 2] + [word(r) for _ in range(put_in)] + one[n // 2 + left_out :]
+
+
+EDITS = [(60, 1, 0), (60, 0, 1), (75, 2, 0), (95, 0, 3), (120, 8, 0), (160, 0, 12)]
+
+
+@pytest.mark.parametrize("n,put_in,left_out", EDITS)
+@pytest.mark.parametrize("seed", range(5))
+def test_shifted_passages_are_verified(n, put_in, left_out, seed):
+    r = random.Random(seed)
+    one, two = edited(r, n, put_in, left_out)
+    a, b = ([w.encode() for w in [word(r) for _ in range(r.randrange(20, 60))] + x + [word(r) for _ in range(r.randrange(20, 60))]] for x in (one, two))
+    found = passages.verified(a, b, 46, 0.8)
+    assert len(found) == 1
+    i, j, k, e, sim = found[0]
+    s, t = ({tuple(z[i : i + 5]) for i in range(len(z) - 4)} for z in (a[i:j], b[k:e]))
+    assert sim == pytest.approx(len(s & t) / len(s | t)) and sim >= 0.8
+    assert {one[0].encode(), one[-1].encode()} <= set(a[i:j]) & set(b[k:e])
+
+
+def test_shifted_passages(spark):
+    """Insertions and deletions inside unrelated texts, all pairs against brute force."""
+    r = random.Random(21)
+    docs, want = [(i, " ".join(word(r) for _ in range(150))) for i in range(20)], set()
+    for k, edit in enumerate(EDITS * 3):
+        for side, x in enumerate(edited(r, *edit)):
+            docs.append((100 + 2 * k + side, " ".join([word(r) for _ in range(r.randrange(20, 60))] + x + [word(r) for _ in range(r.randrange(20, 60))])))
+        want.add((100 + 2 * k, 101 + 2 * k))
+    got = {tuple(sorted((x["doc_id"], x["other_doc_id"]))) for x in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got <= want and len(got) >= len(want) - 1  # each is a candidate with a probability of about 0.97
