@@ -29,12 +29,20 @@ class Rule:
 
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: A private key from its header to its END line; where that is missing, through header fields and base64 lines to the last of these. Lines may be
+#: quoted, or joined by white space or a written \n. Groups repeat possessively, which costs no stack however long the text is.
+BREAK = r"""(?:\\[nrt]|[\s"'`,;>|*#\\]){1,20}+"""
+TO_END = r"(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----"
+FIELDS = rf"(?:{BREAK}(?:Proc-Type|DEK-Info):\s*+[^\s\\]++)*+"
+LAST = rf"{BREAK}[A-Za-z0-9+/]++(?:={{1,2}}+|(?=[ \t]*+(?:[\r\n]|\\[nr]|\z)))"
+LINES = rf"(?:(?:{BREAK}[A-Za-z0-9+/]{{16,}}+(?!=))++(?:{LAST})?+|{BREAK}[A-Za-z0-9+/]{{16,}}+={{1,2}}+)?+"
+PEM = rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{TO_END}|{FIELDS}{LINES})"
 #: Base rules, in the order of their kinds, and after them the ones that the ledger's users add.
 RULES = (
     Rule("assign", 1, ASSIGN, 2, 6, r"(?i)(?:passw|secret|token|api_?key)"),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20, r"AKIA"),
     Rule("hex", 1, r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, r"PRIVATE KEY"),
+    Rule("pem", 2, PEM, 0, 1, r"PRIVATE KEY"),
 )
 BASE = ("assign", "access", "hex")
 FINDINGS = "array<struct<start:int,rank:int,stop:int,kind:string>>"
