@@ -222,7 +222,7 @@ def first_number(spark, sf):
 
 
 def yes_no_norm(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", S.yes_no(F.substring("text", 1, 12)).alias("yn"), S.normal_answer(F.col("role")).alias("role_norm"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", S.yes_no(F.col("text")).alias("yn"), S.normal_answer(F.col("role")).alias("role_norm"))
 
 
 # --- metrics --------------------------------------------------------------------------------------

@@ -116,3 +116,12 @@ def test_generated_questions_are_answered_by_their_own_timeline(spark):
     s = scoring.score(q.join(a, "id"))
     wrong = [(r["type"], r["query"], r["answer"], r["true_answer"]) for r in s.where("not correct").collect()]
     assert wrong == []
+
+
+def test_yes_no_takes_the_whole_text(spark, tmp_path):
+    from cadenza.plans import queries
+
+    texts = [" " * 14 + "Yes, it was.", " " * 20 + "no", "Mostly physically active today.", "Likely yes, for an hour", None]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r["yn"] for r in queries.yes_no_norm(spark, str(tmp_path)).collect()}
+    assert got == {0: "yes", 1: "no", 2: "mostly physically active today", 3: "yes", 4: None}
