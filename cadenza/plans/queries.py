@@ -529,11 +529,11 @@ def pareto_frontier(spark, sf):
 
 
 def rf_predict(spark, sf):
-    """A forest on the 213 features, trained on the vectors of even ids, for all vectors' first seven labels."""
+    """The default forest on the 213 features, trained on all vectors and all their labels, and its predictions for the same vectors."""
     from ..operators import ml
 
-    f = signal_ops.with_features(pseudo_segments(spark, sf).where("label < 7")).select("vec_id", F.col("label").alias("y"), "features")
-    model = ml.fit(f, ml.forest(trees=20, depth=8))
+    f = signal_ops.with_features(pseudo_segments(spark, sf)).select("vec_id", F.col("label").alias("y"), "features")
+    model = ml.fit(f, ml.forest())
     return ml.predict(f, model).select("vec_id", "y", "y_pred")
 
 

@@ -70,3 +70,17 @@ def test_streams(spark, tmp_path):
     q = timeline_stream.stream_runs(stream()).writeStream.format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["n"] for r in spark.table("runs").collect())[-1] == 4
+
+
+def test_forest_query_takes_all_labels(spark, tmp_path, monkeypatch):
+    from cadenza.plans import queries
+
+    r, made, forest = random.Random(6), [], ml.forest
+    rows = [(i, [float(x) for x in [r.gauss(i % 10, 0.1) for _ in range(64)]], i % 10) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(2).write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(ml, "forest", lambda **k: made.append(forest(**k)) or made[-1])
+    got = queries.rf_predict(spark, str(tmp_path)).collect()
+    assert sorted(x["vec_id"] for x in got) == list(range(80))
+    assert {x["y"] for x in got} == {x["y_pred"] for x in got} == set(range(10))
+    assert [(m.getNumTrees(), m.getMaxDepth()) for m in made] == [(200, 20)]
+    assert (ml.boosting().getClassifier().getMaxIter(), ml.boosting().getClassifier().getMaxDepth()) == (400, 6)
