@@ -195,3 +195,100 @@ def test_shifted_passages(spark):
         want.add((100 + 2 * k, 101 + 2 * k))
     got = {tuple(sorted((x["doc_id"], x["other_doc_id"]))) for x in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     assert got <= want and len(got) >= len(want) - 1  # each is a candidate with a probability of about 0.97
+
+
+def exact_groups_of(docs, n=50):
+    """Components of documents that have n words in a row in common, by brute force."""
+    at, links = {}, []
+    for d, t in docs:
+        w = t.lower().split()
+        for i in range(len(w) - n + 1):
+            links.append((d, at.setdefault(tuple(w[i : i + n]), d)))
+    comp = components([d for d, _ in docs], [x for x in links if x[0] != x[1]])
+    groups = {}
+    for d, c in comp.items():
+        groups.setdefault(c, set()).add(d)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def rows_groups(rows):
+    links = [(x["doc_id"], x["other_doc_id"]) for x in rows]
+    comp = components({x for p in links for x in p}, links)
+    return {frozenset(k for k in comp if comp[k] == c) for c in set(comp.values())}
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_a_common_sentence_hides_no_passage(spark, seed):
+    """300 documents hold a sentence of 35 words; two of them repeat a passage of 55 words around it, and three others one of 50 beside it."""
+    r = random.Random(seed)
+    text = lambda n: [word(r) for _ in range(n)]
+    sentence = text(35)
+    docs = [(i, " ".join(text(r.randrange(5, 60)) + sentence + text(r.randrange(5, 60)))) for i in range(300)]
+    passage = text(9) + sentence + text(11)
+    docs += [(i, " ".join(text(30) + passage + text(25))) for i in (1000, 1001)]
+    other = sentence[20:] + text(35)
+    docs += [(i, " ".join(text(12) + sentence[:20] + other + text(14))) for i in (2000, 2001, 2002)]
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {frozenset((1000, 1001)), frozenset((2000, 2001, 2002))} <= rows_groups(rows)
+    assert rows_groups(rows) == exact_groups_of(docs)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_overlapping_passages(spark, seed):
+    """Passages that overlap in part, families of edited copies and lines of many documents against brute force."""
+    r = random.Random(100 + seed)
+    text = lambda n: [word(r) for _ in range(n)]
+    long, line = text(200), text(30)
+    docs = []
+    for i in range(60):
+        a = r.randrange(0, 150)
+        docs.append((i, " ".join(text(20) + (long[a : a + r.randrange(40, 70)] if i % 3 else line) + text(25) + (line if i % 2 else []) + text(8))))
+    base = text(160)
+    for i in range(40):
+        one = base.copy()
+        for _ in range(r.randrange(1, 5)):
+            one[r.randrange(160)] = word(r)
+        docs.append((100 + i, " ".join(one)))
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    found = rows_groups(rows)
+    for g in exact_groups_of(docs):
+        assert any(g <= f for f in found)
+    words = {d: t.split() for d, t in docs}
+    for x in rows:
+        for p in x["passages"]:
+            a, b = words[x["doc_id"]][p["start_word"] : p["end_word"]], words[x["other_doc_id"]][p["other_start_word"] : p["other_end_word"]]
+            s, t = ({tuple(z[i : i + 5]) for i in range(len(z) - 4)} for z in (a, b))
+            assert len(s & t) / len(s | t) >= 0.8 and len(a) >= 50
+
+
+def test_alike_passages_are_found(spark):
+    """Pairs at a similarity of 0.8 to 0.9, in texts that all hold a common line, against all that were planted."""
+    r = random.Random(77)
+    text = lambda n: [word(r) for _ in range(n)]
+    line, docs, want = text(25), [], set()
+    for k in range(60):
+        n = r.choice([60, 80, 120])
+        one = text(n)
+        two = one.copy()
+        for j in range(n // 60):
+            two[n * (2 * j + 1) // (2 * (n // 60))] = word(r)
+        docs += [(1000 + 2 * k + s, " ".join(text(30) + x + text(10) + line + text(10))) for s, x in enumerate((one, two))]
+        want.add((1000 + 2 * k, 1001 + 2 * k))
+    got = {tuple(sorted((x["doc_id"], x["other_doc_id"]))) for x in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_passages_with_columns_of_their_own_names(spark):
+    r = random.Random(3)
+    same = " ".join(word(r) for _ in range(70))
+    rows = [(1, same, "x", 1, 2, 3), (2, same + " more", None, 4, None, 6), (2, same + " more", "y", 7, 8, 9), (3, None, "z", 1, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, uid string, a long, lo int, key int")
+    got = passages.repeated_passages(df).collect()
+    assert [(x["doc_id"], x["other_doc_id"], x["longest_words"]) for x in got] in ([(1, 2, 70)], [(2, 1, 70)])
+
+
+def test_stretch_hashes():
+    v = np.random.default_rng(3).integers(0, 1 << 63, 300, dtype=np.uint64)
+    v[200:260] = v[20:80]
+    h = passages.stretch_hashes(v, 46)
+    assert len(h) == 255 and [i for i in range(100, 255) if h[i] in h[:100]] == list(range(200, 215))
