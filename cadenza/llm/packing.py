@@ -8,6 +8,8 @@ Spark ranks the pieces of each length and looks up their places.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +21,8 @@ from .common import text_rows, written
 from .wordbpe import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Pieces of one length that are ranked together.
-RANKED_TOGETHER = 1_000_000
+#: Pieces of one length that are ranked together, where that makes no more groups than the second number (and one for each length).
+RANKED_TOGETHER, MOST_RANKED = 1_000, 50_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -81,6 +83,111 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     return [([int(x) for x in basis[:, j]], float(amount[j])) for j in range(k) if amount[j] > 1e-9]
 
 
+def best_fit(left: dict[int, int], open_: Counter, capacity: int) -> Counter:
+    """Put lengths (length -> number), the longest first, where they fit best; `open_` holds sequences (their lengths, longest
+    first -> number), to which as few as possible are added."""
+    room: dict[int, list[list]] = {}
+    for items, n in open_.items():
+        room.setdefault(capacity - sum(items), []).append([items, n])
+    free = sorted(room)
+    for n in sorted(left, reverse=True):
+        count = left[n]
+        while count:
+            k = bisect_left(free, n)
+            if k == len(free):
+                fit, items, many = capacity, (), -(-count // (capacity // n))
+            else:
+                fit = free[k]
+                items, many = room[fit].pop()
+                if not room[fit]:
+                    del room[fit], free[k]
+            each = fit // n
+            whole, rest = divmod(min(count, many * each), each)
+            for used, some in ((each, whole), (rest, 1 if rest else 0), (0, many - whole - bool(rest))):
+                if some:
+                    now = fit - used * n
+                    if now not in room:
+                        room[now] = []
+                        insort(free, now)
+                    room[now].append([(*items, *(n,) * used), some])
+            count -= min(count, many * each)
+    out: Counter = Counter()
+    for lists in room.values():
+        for items, n in lists:
+            out[tuple(sorted(items, reverse=True))] += n
+    return out
+
+
+def substituted(histogram: dict[int, int], capacity: int, groups: int) -> tuple[Counter, dict[int, int]]:
+    """Sequences that the configurations of the groups open, with actual lengths in the places of the rounded ones, and what is left.
+
+    A group's place takes the longest length there is that is no longer than the group's; the last place of a sequence takes the longest that still
+    fits, so that the shorter actual lengths of the places before it leave no room."""
+    left = dict(histogram)
+    share = -(-sum(left.values()) // groups)
+    demand: dict[int, int] = {}  # each group's longest length -> lengths that are rounded up to it
+    filled, longest = share, 0
+    for n in sorted(histogram, reverse=True):
+        rest = left[n]
+        while rest:
+            if filled == share:
+                longest, filled = n, 0
+            part = min(rest, share - filled)
+            demand[longest] = demand.get(longest, 0) + part
+            filled += part
+            rest -= part
+    sizes = list(demand)
+    free = sorted(left)
+    made: Counter = Counter()
+    for config, amount in sorted(configurations(sizes, list(demand.values()), capacity), reverse=True):
+        places = [s for s, times in zip(sizes, config, strict=True) for _ in range(times)]
+        parts: list[tuple[tuple[int, ...], int]] = [((), int(amount + 1e-6))]
+        for i, size in enumerate(places):
+            after = []
+            for items, many in parts:
+                most = capacity - sum(items) if i == len(places) - 1 else size
+                while many and (k := bisect_right(free, most)):
+                    n = free[k - 1]
+                    now = min(many, left[n])
+                    after.append(((*items, n), now))
+                    left[n] -= now
+                    many -= now
+                    if not left[n]:
+                        del free[k - 1]
+                if many:
+                    after.append((items, many))
+            parts = after
+        for items, many in parts:
+            if items and many:
+                made[tuple(sorted(items, reverse=True))] += many
+    return made, left
+
+
+def refitted(made: Counter, capacity: int, parts: int = 16) -> Counter:
+    """Dissolve some of the sequences, a growing part of them up to half, and let best fit put their pieces back, as long as that saves any:
+    those with room that hold the shortest pieces, the emptiest, or those of most pieces."""
+    least = -(-sum(sum(items) * n for items, n in made.items()) // capacity)
+    orders = (lambda x: (sum(x) == capacity, min(x), sum(x), x), lambda x: (sum(x), x), lambda x: (-len(x), sum(x), x))
+    best = made
+    for k in range(1, parts + 1):
+        for order in orders:
+            count = sum(best.values())
+            if count <= least:
+                return best
+            keep, loose, taken = Counter(best), Counter(), 0
+            for items in sorted(best, key=order):
+                if taken >= count * k / parts / 2:
+                    break
+                n = keep.pop(items)
+                taken += n
+                for x in items:
+                    loose[x] += n
+            new = best_fit(loose, keep, capacity)
+            if sum(new.values()) < count:
+                best = new
+    return best
+
+
 def plan(histogram: dict[int, int], capacity: int, groups: int = 128, small: int = 8) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, number of pieces, pieces in each sequence, first sequence, offset there):
     piece t of a row goes to sequence first + t div each, at offset + (t mod each) * length.
@@ -88,84 +195,24 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 128, small: int
     Lengths over capacity / `small` are large. They form groups of equal numbers, each rounded up to
     its longest; the configurations of the rounded lengths are optimised and opened as often as the
     whole part says; documents of the group take the places. What is left, and the small lengths,
-    then go longest first where they fit best.
+    then go longest first where they fit best. What rounding lost is won back from the emptiest sequences, which are dissolved
+    and fitted anew.
     """
+    held = {n: c for n, c in histogram.items() if c > 0}
+    large = {n: c for n, c in held.items() if capacity > n > capacity // small}
+    made, left = substituted(large, capacity, groups) if large else (Counter(), {})
+    if full := held.get(capacity):  # these fill a sequence by themselves
+        made[(capacity,)] += full
+    made = refitted(best_fit({**{n: c for n, c in held.items() if n <= capacity // small}, **left}, made, capacity), capacity)
     rows: list[tuple[int, int, int, int, int, int]] = []
-    left = {n: c for n, c in histogram.items() if c > 0}
-    rank = dict.fromkeys(left, 0)
-    room: dict[int, list[tuple[int, int]]] = {}  # free tokens -> (first sequence, number of sequences)
-    opened = 0
-
-    def take(n: int, count: int, each: int, first: int, offset: int) -> None:
-        rows.append((n, rank[n], count, each, first, offset))
-        rank[n] += count
-        left[n] -= count
-
-    if left.get(capacity):  # these fill a sequence by themselves
-        opened = left[capacity]
-        take(capacity, opened, 1, 0, 0)
-    large = sorted((n for n in left if capacity > n > capacity // small), reverse=True)
-    if large:
-        share = -(-sum(left[n] for n in large) // groups)
-        members: list[list[list[int]]] = [[]]
-        filled = 0
-        for n in large:
-            rest = left[n]
-            while rest:
-                if filled == share:
-                    members.append([])
-                    filled = 0
-                part = min(rest, share - filled)
-                members[-1].append([n, part])
-                filled += part
-                rest -= part
-        merged: dict[int, list[list[int]]] = {}
-        for group in members:
-            merged.setdefault(group[0][0], []).extend(group)
-        sizes = list(merged)
-        for config, amount in configurations(sizes, [sum(c for _, c in merged[s]) for s in sizes], capacity):
-            if not (count := int(amount + 1e-6)):
-                continue
-            parts = [(opened, count, 0)]
-            opened += count
-            for s, times in zip(sizes, config, strict=True):
-                queue = merged[s]
-                for _ in range(times):
-                    after = []
-                    for first, many, used in parts:
-                        while many and queue:
-                            n, have = queue[0]
-                            now = min(many, have)
-                            take(n, now, 1, first, used)
-                            after.append((first, now, used + n))
-                            first, many = first + now, many - now
-                            queue[0][1] -= now
-                            if not queue[0][1]:
-                                queue.pop(0)
-                        if many:
-                            after.append((first, many, used))
-                    parts = after
-            for first, many, used in parts:
-                room.setdefault(capacity - used, []).append((first, many))
-    for n in sorted(left, reverse=True):
-        while left[n]:
-            fit = min((r for r, x in room.items() if r >= n and x), default=None)
-            if fit is None:
-                many = -(-left[n] // (capacity // n))
-                first, fit = opened, capacity
-                opened += many
-            else:
-                first, many = room[fit].pop()
-            each = fit // n
-            whole, rest = divmod(min(left[n], many * each), each)
-            if whole:
-                take(n, whole * each, each, first, capacity - fit)
-                room.setdefault(fit - each * n, []).append((first, whole))
-            if rest:
-                take(n, rest, rest, first + whole, capacity - fit)
-                room.setdefault(fit - rest * n, []).append((first + whole, 1))
-            if many > whole + bool(rest):
-                room.setdefault(fit, []).append((first + whole + bool(rest), many - whole - bool(rest)))
+    rank, opened = dict.fromkeys(held, 0), 0
+    for items, count in made.items():
+        at = 0
+        for n, each in Counter(items).items():
+            rows.append((n, rank[n], count * each, each, opened, at))
+            rank[n] += count * each
+            at += n * each
+        opened += count
     return rows
 
 
@@ -174,19 +221,20 @@ def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 128) -> DataFram
 
     A piece's place depends on its rank among the pieces of its length. Ranks are counted within
     (length, salt) and shifted by what the salts before hold, so that a length that many
-    documents share is not ranked in one task. Ties between equal rows are broken arbitrarily.
+    documents share is not ranked in one task. Rows that are equal in id, piece and checksum are ranked arbitrarily.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     if any(n is None or n < 1 or n > capacity for n in counts):
         raise ValueError(f"lengths must lie between 1 and {capacity}")
-    salts = spark.createDataFrame([(n, -(-c // RANKED_TOGETHER)) for n, c in counts.items()], "length long, _salts long")
+    together = max(RANKED_TOGETHER, -(-sum(counts.values()) // MOST_RANKED))
+    salts = spark.createDataFrame([(n, -(-c // together)) for n, c in counts.items()], "length long, _salts long")
     placed = spark.createDataFrame(plan(counts, capacity, groups), "length long, _first long, _count long, _each long, _sequence long, _offset long")
     salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), "_salts"))
     held = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = held.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")).cast("long") - 1)
+    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", *(c for c in ("ids_crc32",) if c in pieces.columns))).cast("long") - 1)
     ranked = ranked.join(F.broadcast(before), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     at = F.col("_rank") - F.col("_first")
     found = ranked.join(F.broadcast(placed), "length").where((at >= 0) & (at < F.col("_count")))
