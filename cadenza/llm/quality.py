@@ -13,13 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, text_rows
+from .common import crc_mod, text_rows, written
 
 #: Bytes of a passage.
 PASSAGE = 512
-#: Bounds of the training sample: labelled documents of each label, and passages of each of them (evenly spaced). Scores
-#: always use every passage of every document.
-MOST_LABELLED, MOST_PASSAGES = 2_000, 48
+#: Bound of the training sample: labelled documents of each label. Every passage of each of them is encoded and learnt from.
+MOST_LABELLED = 2_000
+#: Gradient steps over the whole sample, their first size, and the decay of weights.
+STEPS, RATE, DECAY = 70, 2e-2, 1e-4
+#: Passages that one numpy call works on, a document more or less.
+AT_ONCE = 2_048
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 HIDDEN, ATTENTION = 24, 12
@@ -88,10 +91,11 @@ class Model:
         y = 1 / (1 + np.exp(-np.clip(m @ p["c"] + p["d"], -30, 30)))
         return y, (z, h, t, s, a, m, bag)
 
-    def gradient(self, x: np.ndarray, start: np.ndarray, label: np.ndarray, weight: np.ndarray):
+    def gradient(self, x: np.ndarray, start: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the sum of weighted log losses, which adds up over bags."""
         p = self.p
         y, (z, h, t, s, a, m, bag) = self.forward(x, start)
-        dy = (y - label) * weight / weight.sum()
+        dy = (y - label) * weight
         dm = dy[:, None] * p["c"]
         da = (dm[bag] * h).sum(1)
         de = a * (da - np.add.reduceat(a * da, start)[bag])
@@ -99,32 +103,25 @@ class Model:
         dh = (a[:, None] * dm[bag] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
         return {"W": z.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": m.T @ dy, "d": dy.sum(keepdims=True)}
 
-    def fit(self, bags: list[np.ndarray], label: np.ndarray, weight: np.ndarray, epochs: int = 14, batch: int = 64, rate: float = 4e-3, decay: float = 1e-4, seed: int = 11) -> Model:
-        """Adam over minibatches of bags."""
-        every = np.concatenate(bags)
-        self.mean, self.scale = every.mean(0), every.std(0) + 0.02
-        r, m, v, step = np.random.default_rng(seed), {}, {}, 0
-        for epoch in range(epochs):
-            order = r.permutation(len(bags))
-            for i in range(0, len(order), batch):
-                pick = order[i : i + batch]
-                some = [bags[j] for j in pick]
-                start = np.cumsum([0, *map(len, some[:-1])])
-                step += 1
-                for k, g in self.gradient(np.concatenate(some), start, label[pick], weight[pick]).items():
-                    g = g + decay * self.p[k]
-                    m[k] = 0.9 * m.get(k, 0) + 0.1 * g
-                    v[k] = 0.999 * v.get(k, 0) + 0.001 * g * g
-                    now = rate * (1 - epoch / epochs)
-                    self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        return self
+    def flat(self, values: dict[str, np.ndarray]) -> np.ndarray:
+        return np.concatenate([np.asarray(values[k], np.float64).ravel() for k in self.p])
+
+    def step(self, k: int, of: int, total: np.ndarray, state: list[np.ndarray], rate: float = RATE, decay: float = DECAY) -> None:
+        """Adam's k-th step of `of`, from the mean gradient of all bags; its size falls to nothing in the end."""
+        g = total + decay * self.flat(self.p)
+        state[0], state[1] = 0.9 * state[0] + 0.1 * g, 0.999 * state[1] + 0.001 * g * g
+        move = rate * (1 - k / of) * (state[0] / (1 - 0.9 ** (k + 1))) / (np.sqrt(state[1] / (1 - 0.999 ** (k + 1))) + 1e-8)
+        at = 0
+        for name, v in self.p.items():
+            self.p[name] = (v - move[at : at + v.size].reshape(v.shape)).astype(np.float32)
+            at += v.size
 
     def score(self, texts: list[str]) -> np.ndarray:
         out = []
         some: list[np.ndarray] = []
         for i, t in enumerate(texts):
             some.append(passage_features(t))
-            if sum(map(len, some)) >= 2_048 or i == len(texts) - 1:
+            if sum(map(len, some)) > AT_ONCE or i == len(texts) - 1:
                 out.append(self.forward(np.concatenate(some), np.cumsum([0, *map(len, some[:-1])]))[0])
                 some = []
         return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
@@ -145,22 +142,62 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [passage_features(t) for t in b.column(1).to_pylist()]
-            bags = [x if len(x) <= MOST_PASSAGES else x[np.linspace(0, len(x) - 1, MOST_PASSAGES).astype(int)] for x in bags]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.astype(np.float16).tobytes() for x in bags], pa.binary())], ["doc_id", "label", "bag"])
-
-    rows = text_rows(docs, id_col, text_col).join(sample, "doc_id").select("doc_id", "text", "label").mapInArrow(encode, "doc_id long, label int, bag binary")
-    rows = sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], bytes(r["bag"])))
-    model = Model()
-    label = np.array([r["label"] for r in rows], np.float32)
-    if len(set(label.tolist())) < 2:
+            bags = [passage_features(t).astype(np.float16).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(bags, pa.binary())], ["label", "bag"])
+
+    bags = written(text_rows(docs, id_col, text_col).join(sample, "doc_id").select("doc_id", "text", "label").mapInArrow(encode, "label int, bag binary"), "bags")
+    return fit(bags, total)
+
+
+def bags_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(passages of some bags one after another, where each begins, labels) from rows (label, bag)."""
+    some, marks = [], []
+    for b in batches:
+        for y, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            some.append(np.frombuffer(raw, np.float16).reshape(-1, FEATURES))
+            marks.append(y)
+            if sum(map(len, some)) >= AT_ONCE:
+                yield np.concatenate(some).astype(np.float32), np.cumsum([0, *map(len, some[:-1])]), np.array(marks, np.float32)
+                some, marks = [], []
+    if some:
+        yield np.concatenate(some).astype(np.float32), np.cumsum([0, *map(len, some[:-1])]), np.array(marks, np.float32)
+
+
+def summed(bags: DataFrame, work) -> np.ndarray:
+    """The sum over all bags of work(passages, starts, labels), a vector; a row for each task comes to the driver."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for part in bags_at_once(batches):
+            one = np.asarray(work(*part), np.float64)
+            total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+
+    rows = [np.frombuffer(bytes(r["v"]), np.float64) for r in bags.mapInArrow(sums, "v binary").collect()]
+    return np.sum(rows, axis=0) if rows else np.zeros(0)
+
+
+def fit(bags: DataFrame, total: dict[int, int], steps: int = STEPS) -> Model:
+    """Adam over the mean gradient of all bags (label, bag), summed by Spark in each step: neither the driver nor a task holds
+    more than AT_ONCE passages and one document. `total`: how many documents have each label, which weighs the sample back."""
+    spark, model = bags.sparkSession, Model()
+    moments = summed(bags, lambda x, start, y: np.concatenate([[len(x), (y == 0).sum(), (y == 1).sum()], x.sum(0, dtype=np.float64), np.square(x, dtype=np.float64).sum(0)]))
+    seen = moments[1:3] if len(moments) else np.zeros(2)
+    if not seen.all():
         model.p["c"][:] = 0
-        model.p["d"][:] = 3.0 if not len(label) or label[0] == 1 else -3.0
+        model.p["d"][:] = -3.0 if seen[0] else 3.0
         return model
-    bags = [np.frombuffer(bytes(r["bag"]), np.float16).astype(np.float32).reshape(-1, FEATURES) for r in rows]
-    seen = {y: int((label == y).sum()) for y in (0, 1)}
-    weight = np.array([total[int(y)] / seen[int(y)] for y in label], np.float32)
-    return model.fit(bags, label, weight / weight.mean())
+    mean, square = moments[3 : 3 + FEATURES] / moments[0], moments[3 + FEATURES :] / moments[0]
+    model.mean, model.scale = mean.astype(np.float32), (np.sqrt(np.maximum(0, square - mean * mean)) + 0.02).astype(np.float32)
+    weight = np.array([total[y] / seen[y] for y in (0, 1)])
+    weight = (weight / (weight @ seen)).astype(np.float32)  # they add up to 1
+    state = [np.zeros(sum(v.size for v in model.p.values())) for _ in range(2)]
+    for k in range(steps):
+        sent = spark.sparkContext.broadcast(model)
+        model.step(k, steps, summed(bags, lambda x, start, y, sent=sent: sent.value.flat(sent.value.gradient(x, start, y, weight[y.astype(int)]))), state)
+        sent.unpersist()
+    return model
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
