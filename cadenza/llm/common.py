@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,14 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset
-    (tests on one machine) a temporary folder that is set for the session."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests on one
+    machine) a temporary folder that is set for the session. On a cluster it must be set."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cadenza.shared.dir", None)
     if not path:
-        path = spark.conf.get("cadenza.shared.dir", None)
-        if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="cadenza-")
-            spark.conf.set("cadenza.shared.dir", path)
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="cadenza-")
+        spark.conf.set("cadenza.shared.dir", path)
     return path.rstrip("/")
 
 
@@ -39,6 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes not to be a column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) with null texts as empty ones; every other column is left out,
     so that extra columns never clash with an operator's own."""
@@ -50,6 +62,28 @@ def crc_mod(col, n: int):
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+#: Bits that one row of a bitmap holds, bits for each key, and most bits of a bitmap.
+ROW_BITS, KEY_BITS, MOST_BITS = 32_768, 12, 1 << 28
+
+
+def bitmap(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(bucket, bits) and its size: a bitmap in which the slots of the keys (long) are set, in DataFrame functions only. It has KEY_BITS for each key and no
+    more than MOST_BITS (32 MB), so it can be broadcast whatever the table holds; past that it only lets more through."""
+    size = min(MOST_BITS, -(-max(1, KEY_BITS * keys.count()) // ROW_BITS) * ROW_BITS)
+    slot = F.pmod(F.xxhash64(key), F.lit(size))
+    return keys.select(F.floor(slot / ROW_BITS).cast("int").alias("_bucket"), (slot % ROW_BITS).alias("_slot")).groupBy("_bucket").agg(F.bitmap_construct_agg("_slot").alias("_bits")), size
+
+
+def with_bit(rows: DataFrame, key: str, found: tuple[DataFrame, int], name: str) -> DataFrame:
+    """Adds `name`: whether the bitmap may hold the row's key; never wrong for one that it holds."""
+    bits, size = found
+    slot = F.pmod(F.xxhash64(key), F.lit(size))
+    marked = rows.withColumns({"_bucket": F.floor(slot / ROW_BITS).cast("int"), "_slot": (slot % ROW_BITS).cast("int")}).join(F.broadcast(bits), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_slot") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.coalesce(F.call_function("shiftright", byte, (F.col("_slot") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return marked.withColumn(name, on).drop("_bucket", "_slot", "_bits")
+
+
 def connected_components(links: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """links (a long, b long) -> (node, component): the smallest node reachable.
 

@@ -1,18 +1,19 @@
 """Secret scans over an incremental ledger of blobs, in DataFrame functions only.
 
 Every version of a text is addressed by its content. The ledger holds which blob was scanned under which
-version of which rule, and what was found; a scan reads the texts of unseen pairs alone. Findings
-are joined back to every path (row) that has the blob.
+version of which rule, and what was found. A scan takes one row for each blob that the ledger lacks, finds these rows by a bitmap of bounded
+size and scans them where they are, so no text is ever shuffled. Findings are joined back to every path (row) that has the blob.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows, written
+from .common import bitmap, text_rows, with_bit, written
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,6 @@ def matches(text: Column, rule: Rule, rank: int) -> Column:
     value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
     gaps = F.split(text, rule.pattern, -1)
     parts = F.arrays_zip(F.transform(gaps, F.char_length).alias("gap"), F.transform(whole, F.char_length).alias("size"), F.transform(value, F.char_length).alias("length"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(FINDINGS).alias("found"))
 
     def step(state: Column, part: Column) -> Column:
         begin = state["at"] + part["gap"]
@@ -64,38 +64,60 @@ def matches(text: Column, rule: Rule, rank: int) -> Column:
         hit = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(rule.kind).alias("kind"))
         return F.struct(stop.alias("at"), F.when(part["length"] >= rule.least, F.concat(state["found"], F.array(hit))).otherwise(state["found"]).alias("found"))
 
-    found = F.aggregate(parts, start, step, lambda s: s["found"])
+    def walked(p: Column) -> Column:
+        """In blocks of about the square root of their number, since each step copies what its block has found."""
+        size = F.ceil(F.sqrt(F.size(p))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / size).cast("int")), lambda i: F.slice(p, i * size + 1, size))
+        long = lambda b: F.aggregate(b, F.lit(0), lambda t, x: t + x["gap"] + F.coalesce(x["size"], F.lit(0)))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        begins = F.aggregate(blocks, none, lambda t, b: F.struct((t["at"] + long(b)).alias("at"), F.concat(t["all"], F.array(t["at"])).alias("all")), lambda t: t["all"])
+        return F.flatten(F.zip_with(blocks, begins, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), F.array().cast(FINDINGS).alias("found")), step, lambda t: t["found"])))
+
+    found = F.transform(F.array(parts), walked)[0]  # an array of one, so that the parts are made once
     return F.when(text.rlike(rule.cue), found).otherwise(F.array().cast(FINDINGS))
 
 
-def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blobs (blob, text) -> (blob, kind, version, spans) for every blob and rule, spans empty or not."""
-    order = {r: i for i, r in enumerate(RULES)}
-    each = [F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), matches(F.col("text"), r, order.get(r, len(order) + i)).alias("spans")) for i, r in enumerate(rules)]
-    return blobs.select("blob", F.explode(F.array(*each)).alias("_r")).select("blob", "_r.*")
+LEDGER = "blob string, kind string, version int, spans " + FINDINGS
 
 
 def addressed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return text_rows(docs, id_col, text_col).select("doc_id", F.sha2("text", 256).alias("blob"), "text")
+    """doc_id, blob (SHA-256 of the text), row (stands for both), text."""
+    rows = text_rows(docs, id_col, text_col).select("doc_id", F.sha2("text", 256).alias("blob"), "text")
+    return rows.select("doc_id", "blob", F.xxhash64("doc_id", "blob").alias("row"), "text")
 
 
-def unseen(paths: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> list[tuple[tuple[Rule, ...], DataFrame]]:
-    """For each rule that the ledger lacks on some blob, the blobs to scan. Without a ledger all rules share one scan."""
-    blobs = paths.groupBy("blob", "text").agg(F.count("*").alias("_n")).select("blob", "text")
+def unseen(paths: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """paths (blob, row) -> blob, row (one that has it), todo: the rules, as bits, that the ledger lacks on it. Hashes alone are joined."""
+    every = (1 << len(rules)) - 1
+    blobs = paths.groupBy("blob").agg(F.min("row").alias("row"))
     if ledger is None:
-        return [(rules, blobs)]
-    have = lambda r: ledger.where((F.col("kind") == r.kind) & (F.col("version") == r.version)).select("blob").distinct()
-    return [((r,), blobs.join(have(r), "blob", "left_anti")) for r in rules]
+        return blobs.withColumn("todo", F.lit(every))
+    done = reduce(lambda c, ir: c.when((F.col("kind") == ir[1].kind) & (F.col("version") == ir[1].version), 1 << ir[0]), enumerate(rules), F.when(F.lit(False), 0))
+    have = ledger.select("blob", done.alias("_bit")).where("_bit is not null").groupBy("blob").agg(F.bit_or("_bit").alias("_have"))
+    left = blobs.join(have, "blob", "left").select("blob", "row", F.lit(every).bitwiseAND(F.bitwise_not(F.coalesce("_have", F.lit(0)))).alias("todo"))
+    return left.where("todo <> 0")
 
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ledger's new rows (blob, kind, version, spans), one for each unseen blob and rule version; the caller
-    appends them to the table. Equal texts are one blob, however many rows hold them."""
-    out = None
-    for some, blobs in unseen(addressed(docs, id_col, text_col), ledger, rules):
-        part = scan(blobs, some)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """The ledger's new rows (blob, kind, version, spans), one for each unseen blob and rule version, spans empty or not; the caller
+    appends them to the table. Equal texts are one blob, however many rows hold them; one of these is scanned, once for all rules."""
+    rows = addressed(docs, id_col, text_col)
+    todo = written(unseen(rows.select("blob", "row"), ledger, rules), "unseen")
+    # blobs that lack the same rules have a bitmap of their own: as many as there are such sets, most often one
+    sets = sorted(r["todo"] for r in todo.groupBy("todo").count().collect())  # 2 ** rules at most
+    bits, order = F.lit(0), {r: i for i, r in enumerate(RULES)}
+    for k, some in enumerate(sets):
+        rows = with_bit(rows, "row", bitmap(todo.where(F.col("todo") == some).select("row"), "row"), f"_in{k}")
+        bits = bits.bitwiseOR(F.when(F.col(f"_in{k}"), F.lit(some)).otherwise(F.lit(0)))
+    rows = rows.withColumn("_bits", bits).where("_bits <> 0")
+    each = []
+    for i, r in enumerate(rules):
+        due = F.col("_bits").bitwiseAND(F.lit(1 << i)) != 0
+        each.append(F.struct(F.lit(1 << i).alias("bit"), F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(due, matches(F.col("text"), r, order.get(r, len(order) + i))).alias("spans")))
+    scanned = rows.select("blob", "row", F.array(*each).alias("_r"))
+    # a bitmap lets some rows too many through, and a row may be repeated: each blob is taken once, with what it lacked
+    once = scanned.join(todo, ["blob", "row"]).dropDuplicates(["blob"])
+    return once.select("blob", F.explode(F.filter("_r", lambda x: F.col("todo").bitwiseAND(x["bit"]) != 0)).alias("_r")).select("blob", "_r.kind", "_r.version", "_r.spans")
 
 
 def joined(spans: Column) -> Column:
@@ -111,17 +133,26 @@ def blob_findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
     return hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
+def scan_history(increments: list[DataFrame], ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Take up increments of rows one after another: (doc_id, blob, spans of every row; the ledger with what was new). Each increment
+    reads the ledger as those before left it, so a blob that comes again, under whatever path, is not scanned again."""
+    paths = None
+    for docs in increments:
+        new = written(update_ledger(docs, ledger, rules, id_col, text_col), "ledger")
+        ledger = new if ledger is None else ledger.unionByName(new)
+        own = addressed(docs, id_col, text_col).select("doc_id", "blob")
+        paths = own if paths is None else paths.unionByName(own)
+    found = written(blob_findings(ledger, rules), "findings")
+    return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(FINDINGS)).alias("spans")), ledger
+
+
 def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, blob, spans (array of start, rank, stop, kind; empty where nothing was found) for every row.
 
     Null texts are empty, null ids stay, repeated rows are returned each time, an empty table gives an
     empty result; other columns are left out. Spans count code points, the end is exclusive.
     """
-    new = update_ledger(docs, ledger, rules, id_col, text_col).where(F.size("spans") > 0)
-    known = new if ledger is None else ledger.unionByName(new)
-    found = blob_findings(known, rules)
-    paths = addressed(docs, id_col, text_col).select("doc_id", "blob")
-    return paths.join(written(found, "findings"), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(FINDINGS)).alias("spans"))
+    return scan_history([docs], ledger, rules, id_col, text_col)[0]
 
 
 def digest(scanned: DataFrame) -> DataFrame:

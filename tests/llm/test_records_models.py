@@ -137,10 +137,31 @@ def test_ledger_scans_only_what_is_new(spark):
     assert {r["blob"] for r in secrets.update_ledger(more, first).collect()} == {hashlib.sha256(b"-----BEGIN RSA PRIVATE KEY----- token: 123456").hexdigest()}
     newer = (secrets.Rule("assign", 2, secrets.ASSIGN, 2, 20, secrets.RULES[0].cue),)
     assert {r["version"] for r in secrets.update_ledger(more, first, newer).collect()} == {2} and secrets.update_ledger(more, first, newer).count() == 3
+    # some blobs lack one rule, others all
+    both = (newer[0], *secrets.RULES[1:])
+    assert collections.Counter((r["kind"], r["version"]) for r in secrets.update_ledger(more, first, both).collect()) == {("assign", 2): 3, ("access", 1): 1, ("hex", 1): 1, ("pem", 2): 1}
     spans = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan_documents(more, first).collect()}
     assert spans == {1: ["assign"], 2: ["assign"], 3: [], 4: ["pem", "assign"]}
 
 
+def test_increments_scan_a_blob_once(spark):
+    rows = [(i, f"token={'abcdef' if i % 3 else 'ghijkl'}{i % 7}") for i in range(90)] + [(i, "password: abc123456 " * (i % 50)) for i in range(100, 160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = [df.where("doc_id % 2 = 0"), df.where("doc_id % 2 = 1"), df]
+    out, ledger = secrets.scan_history(parts)
+    assert ledger.count() == len({t for _, t in rows}) * len(secrets.RULES)
+    assert ledger.groupBy("blob", "kind", "version").count().where("count > 1").count() == 0
+    got = collections.Counter((r["doc_id"], secrets_text(r["spans"])) for r in out.collect())
+    assert got == collections.Counter((d, plain_spans(t)) for d, t in rows + rows)
+    # nothing is left to scan, and no text is shuffled on the way to that
+    again = secrets.unseen(secrets.addressed(df).select("blob", "row"), ledger, secrets.RULES)
+    assert again.count() == 0 and "text" not in again.columns
+
+
+def secrets_text(spans):
+    return ",".join(f"{s['kind']}:{s['start']}:{s['stop']}" for s in spans)
+
+
 # --- language model -------------------------------------------------------------------------------
 
 
