@@ -19,6 +19,8 @@ from .common import text_rows, written
 
 #: Rows for each owner of a range, and bits of a fingerprint.
 OWNED, BITS = 2_000_000, 56
+#: Senders and owners that there are at most: each pair of them exchanges a message, so past these numbers each takes more rows instead.
+MOST_SENDERS, MOST_OWNERS = 20_000, 2_000
 
 
 def golomb_encode(values: np.ndarray, bits: int) -> tuple[bytes, int]:
@@ -59,7 +61,7 @@ def normalised(text):
 
 def suspects(rows: DataFrame, total: int) -> DataFrame:
     """rows (_sender int, _print long) -> distinct (_sender, _print) held by another row as well."""
-    owners = max(8, -(-total // OWNED))
+    owners = min(MOST_OWNERS, max(8, -(-total // OWNED)))
     width = (1 << BITS) // owners + 1
 
     def messages(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -97,21 +99,23 @@ def suspects(rows: DataFrame, total: int) -> DataFrame:
     return rows.groupBy("_sender").cogroup(back.groupBy("_sender")).applyInArrow(marked, "_sender int, _print long")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_sender: int = 50_000) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_sender: int = 50_000, row_col: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row, and row with row_col.
 
     Texts are equal when they are after each run of white space became one space; null counts as
-    empty. Of equal texts the smallest id stays; null ids never stay if another id is there, and
-    rows that repeat the smallest id all stay. An empty table gives an empty result.
+    empty. Of equal texts the smallest id stays; null ids never stay if another id is there. Rows that repeat the smallest id all stay,
+    unless row_col, a column of longs that differ, tells rows apart: then the one of them with the smallest stays alone.
+    An empty table gives an empty result.
     """
     texts = text_rows(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("_norm"))
-    light = texts.select("doc_id", F.sha2("_norm", 256).alias("text_sha256"))
+    row = F.col(row_col).cast("long") if row_col else F.monotonically_increasing_id()
+    light = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.sha2(normalised(F.coalesce(F.col(text_col), F.lit(""))), 256).alias("text_sha256"))
     light = light.withColumn("_print", F.conv(F.substring("text_sha256", 1, BITS // 4), 16, 10).cast("long"))
     light = written(light, "prints")
     total = light.count()
-    senders = max(8, -(-total // rows_a_sender))
-    # any fixed deal of the rows will do: the hash keeps a row with its sender when a task is repeated
-    dealt = light.withColumn("_sender", F.pmod(F.xxhash64("doc_id", "text_sha256"), F.lit(senders)).cast("int"))
+    senders = max(8, -(-total // max(rows_a_sender, total // MOST_SENDERS)))
+    # any deal of the rows will do, as long as it is fixed: the row's number was written with it
+    dealt = light.withColumn("_sender", F.pmod(F.xxhash64("row"), F.lit(senders)).cast("int"))
     found = suspects(dealt.select("_sender", "_print"), total)
     wanted = dealt.join(found, ["_sender", "_print"], "left_semi").select(F.xxhash64("doc_id", "text_sha256").alias("_row")).distinct()
     # the suspects' texts meet as bytes; the aggregate combines copies before the shuffle
@@ -121,4 +125,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = same.where(F.when(F.col("_texts") > 1, F.raise_error(F.lit("two texts with one SHA-256"))).otherwise(F.lit(True))).select("_sha", "_keep", "_n")
     out = light.join(same, light["text_sha256"] == same["_sha"], "left")
     keep = F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
+    out = out.select("doc_id", "row", keep.alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256")
+    names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    if not row_col:
+        return out.select(*names)
+    again = light.groupBy(F.col("text_sha256").alias("_sha"), F.col("doc_id").alias("_id")).agg(F.min("row").alias("_first"), F.count("*").alias("_times")).where("_times > 1")
+    out = out.join(again, (out["text_sha256"] == again["_sha"]) & out["doc_id"].eqNullSafe(again["_id"]), "left")
+    return out.withColumn("kept", F.col("kept") & (F.col("row") == F.coalesce("_first", "row"))).select(*names, "row")

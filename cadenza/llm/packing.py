@@ -22,7 +22,7 @@ from .wordbpe import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length that are ranked together, where that makes no more groups than the second number (and one for each length).
-RANKED_TOGETHER, MOST_RANKED = 1_000, 50_000
+RANKED_TOGETHER, MOST_RANKED = 200, 50_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

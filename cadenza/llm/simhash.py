@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, text_rows, written
+from .common import connected_components, written
 
 QUARTERS, TILE = 4, 2048
 
@@ -43,15 +43,17 @@ def simhash(text: str, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (as a signed long) of every row; null texts are empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, row_col: str | None = None) -> DataFrame:
+    """doc_id, row (null without row_col), fingerprint (as a signed long) of every row; null texts are empty."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([simhash(t, width, seed) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
+            prints = np.array([simhash(t, width, seed) for t in b.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints.view(np.int64))], ["doc_id", "row", "fingerprint"])
 
-    return text_rows(docs, id_col, text_col).mapInArrow(hashed, "doc_id long, fingerprint long")
+    row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(hashed, "doc_id long, row long, fingerprint long")
 
 
 def quarter_counts(prints: np.ndarray) -> np.ndarray:
@@ -136,18 +138,25 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return pairs.select("data", "data_b").repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(compare, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, radius: int = 2, row_col: str | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links of `radius`
-    or fewer differing bits) for every row.
+    or fewer differing bits) for every row; with row_col, a column of longs that differ, also row and kept: whether it is the one
+    row of its component that stays, the smallest row of the smallest id.
 
     Null and empty texts have fingerprint zero and are linked like any other; null ids are never the
     smallest unless their component has no other; repeated rows are returned each time; an empty
     table gives an empty result.
     """
-    rows = written(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
+    rows = written(fingerprints(docs, id_col, text_col, width, seed, row_col), "fingerprints")
     distinct = written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
     groups = connected_components(links(distinct, radius))
     named = distinct.join(groups, distinct["fingerprint"] == groups["node"], "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = named.join(smallest, "component").select("fingerprint", "component_id")
-    return rows.join(labels, "fingerprint", "left").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = named.join(smallest, "component").select("fingerprint", "component", "component_id")
+    out = rows.join(labels, "fingerprint", "left")
+    shown = ["doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"]
+    if not row_col:
+        return out.select(*shown)
+    out = written(out, "labelled")
+    first = out.where("doc_id <=> component_id").groupBy("component").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("kept"))
+    return out.join(first, "row", "left").select(*shown, "row", F.coalesce("kept", F.lit(False)).alias("kept"))

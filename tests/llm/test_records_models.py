@@ -293,6 +293,31 @@ def test_pipeline(spark, tmp_path):
     assert packing and exact
 
 
+def test_dedup_stages_tell_rows_apart(spark, docs, tmp_path):
+    """Ids that clash or are missing, repeated rows, and columns with names that the stages use themselves."""
+    import corpus_pipeline
+
+    rows = [(1, "a b", 3), (2, "c d", 3), (2, "a  b", 4), (None, "a b", 3), (None, "e f", 3), (3, "e f", 3), (None, "g h", 3), (None, "g h", 3), (4, None, None), (5, "", 0), (2, "c d", 9)]
+    df = spark.createDataFrame([(*x, "x", 1, None) for x in rows], "doc_id long, text string, n_chars long, _row string, _blob int, _spans string").repartition(3)
+    got = sorted(((x["doc_id"] or 0, x["text"] or "") for x in corpus_pipeline.exact_dedup(spark, df, "").collect()))
+    assert got == [(0, "g h"), (1, "a b"), (2, "c d"), (3, "e f"), (4, "")]
+    one = " ".join(f"word{i}" for i in range(200))
+    near = [(1, one), (2, "quite another text about the sea and ships"), (2, one + " more"), (None, one), (2, "quite another text about the sea and ships")]
+    df2 = spark.createDataFrame([(d, t, len(t), "x", 1, None) for d, t in near], "doc_id long, text string, n_chars long, _row string, _blob int, _spans string")
+    assert sorted((x["doc_id"], len(x["text"])) for x in corpus_pipeline.near_dedup(spark, df2, "").collect()) == [(1, len(one)), (2, len(near[1][1]))]
+    df3 = spark.createDataFrame([(1, "password: hunter22", 18, "x", 1, "s"), (None, None, None, None, None, None), (1, "plain", 5, "y", 2, "t")], df2.schema)
+    assert sorted((x["text"] or "", x["n_chars"] or 0, x["_spans"] or "") for x in corpus_pipeline.redact_secrets(spark, df3, "").collect()) == [("", 0, ""), ("[SECRET]", 8, "s"), ("plain", 5, "t")]
+
+
+def test_stages_of_nothing(spark, docs, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+        assert stage(spark, docs, str(tmp_path)).count() >= 1, name
+
+
 def test_private_keys_leave_nothing(spark):
     r = random.Random(3)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
