@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import exact, packing, quality, secrets, simhash
-from cadenza.llm.common import new_path, table
+from cadenza.llm.common import new_path, spare, table, written
 from cadenza.llm.queries import tokenizer_path
 
 #: No stage but the second can be expressed in SQL; tests hold the stages against brute-force versions.
@@ -19,26 +19,36 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep(docs, model)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that tells rows apart, whatever ids they have, and its name; written, so that it stays as it is."""
+    (row,) = spare(docs, "_row")
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (white space aside) the document with the smallest id stays."""
-    stay = exact.exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_kept"]), "left_semi")
+    """Of equal texts (white space aside) one document stays, that with the smallest id. Rows that share an id but not a text stay; null
+    texts are empty ones; null ids go where another id is there."""
+    rows, row = numbered(docs)
+    stay = exact.exact_groups(rows, row_col=row).where("kept").select(F.col("row").alias(row))
+    return rows.join(stay, row, "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    stay = simhash.near_groups(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_kept"]), "left_semi")
+    """Of each group of near-duplicates one document stays, that with the smallest id. Rows that share an id but are not alike stay."""
+    rows, row = numbered(docs)
+    stay = simhash.near_groups(rows, row_col=row).where("kept").select(F.col("row").alias(row))
+    return rows.join(stay, row, "left_semi").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; each secret in its text is replaced by a mark, and n_chars follows."""
-    found = secrets.blob_findings(secrets.update_ledger(docs))
+    """Every document stays; each secret in its text is replaced by a mark, and n_chars follows. Rows without a finding are as before."""
+    blob, spans = spare(docs, "_blob", "_spans")
+    found = secrets.blob_findings(secrets.update_ledger(docs)).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     own = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    rows = docs.withColumn("_blob", own).join(found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("_spans")))
-    n_chars = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("_clean")).cast("long")
-    return rows.withColumn("_clean", clean).withColumns({"n_chars": n_chars, "text": F.col("_clean")}).select(*docs.columns)
+    rows = docs.withColumn(blob, own).join(written(found, "findings"), blob, "left")
+    clean = F.when(F.col(spans).isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col(spans)))
+    rows = rows.withColumn("text", clean)
+    return rows.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
