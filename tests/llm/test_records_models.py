@@ -98,6 +98,69 @@ def test_imatch(spark, docs, empty, texts, monkeypatch):
     assert imatch.compare_edited(empty).count() == 0
 
 
+def plain_prints(words, low, high, df):
+    """What each subset keeps, by the definition: band terms whose bits say so."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    kept = sorted({signed(xxhash.xxh64_intdigest(w, 42)) for w in words if low <= df[w] <= high})
+    out = []
+    for k, first, bits, zero in imatch.SUBSETS:
+        some = []
+        for t in kept:
+            h = t & (2**64 - 1)
+            for _ in range(k):
+                h = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)
+            part = h >> first & ((1 << bits) - 1)
+            if (part == 0) == zero:
+                some.append(t)
+        out.append(tuple(some))
+    return (*out, () if kept else tuple(sorted(words)) or ("nothing",))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_imatch_by_brute_force(spark, seed, monkeypatch):
+    """Fingerprints are equal where the subsets are, and likenesses are what they give; ids are null, repeated and hot."""
+    monkeypatch.setattr(imatch, "NEIGHBOURS", 12)
+    if seed:
+        monkeypatch.setattr(imatch, "MOST_BROADCAST", 0)
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("bcdfgklm") + r.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    rows = [(r.choice([None, 7, *range(100)]), " ".join(r.choice(vocabulary) for _ in range(r.choice([0, 3, 40, 90])))) for _ in range(150)]
+    rows += rows[:9]
+    # rows of one id follow one another by the hash of their texts, which the library gives here
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tie = {x["text"]: x["h"] for x in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, tie[x[1]]))
+    count = collections.Counter(w for _, t in rows for w in set(t.split()))
+    count.update({w: 0 for w in vocabulary})
+    low, high = max(4.0, 0.001 * len(rows)), max(4.0, 0.2 * len(rows))
+    full = collections.defaultdict(int, count)
+    sets = lambda t: plain_prints(set(t.split()), low, high, full)
+    def near(a, b):
+        used = [(x, y) for x, y in zip(a, b) if x or y]
+        return sum(x == y for x, y in used) / len(used)
+
+    want = collections.Counter()
+    for i, (d, t) in enumerate(order):
+        nxt, half = order[(i + 1) % len(order)][1], len(t) // 2
+        e = t[: len(t) - half] + nxt[:half]
+        want[d, len(t), hashlib.sha256(e.encode()).hexdigest(), round(near(sets(t), sets(e)), 9), round(near(sets(t), sets(nxt)), 9)] += 1
+    out = imatch.compare_edited(df).collect()
+    assert collections.Counter((x["doc_id"], x["n_chars"], x["edited_sha256"], round(x["near_edited"], 9), round(x["near_next"], 9)) for x in out) == want
+    prints = {(x["text"], tuple(x["print"])) for x in imatch.fingerprint(df).collect()}
+    assert len(prints) == len({t for _, t in rows}) and len({p for _, p in prints}) == len({sets(t) for _, t in rows})
+
+
+def test_a_large_lexicon(spark):
+    """420,000 terms in the band, each in four documents: they are joined, not written into the plan."""
+    docs = spark.range(4 * 420).selectExpr("id as doc_id", "array_join(transform(sequence(0, 999), i -> concat('w', cast((id div 4) * 1000 + i as string))), ' ') as text")
+    rows = imatch.base_terms(docs)
+    assert imatch.lexicon(rows, 1680, 0.0, 0.2).count() == 420_000
+    out = imatch.fingerprint(docs, rarest=0.0).select("doc_id", F.hash("print").alias("h")).groupBy("h").count()
+    assert out.count() == 420 and out.where("count = 4").count() == 420
+
+
 def test_imatch_tells_edits_from_strangers(spark):
     r = random.Random(1)
     vocabulary = ["".join(r.choice("bcdfgklm") + r.choice("aeiou") for _ in range(3)) for _ in range(800)]
