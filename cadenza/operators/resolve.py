@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intent import Parser, has_any, parse
 from ..functions.scalar import span_text, whole
 from ..schema import CHANNELS, DYNAMIC, MODALITY, NA, PROLONGED_WORDS, STATIC, WHEELED_WORDS, TimelineConfig
-from .timeline import at_time, clean_timeline, onsets, ranked_spans, totals
+from ..session import written
+from .timeline import at_time, clean_timeline, ranked_spans, totals
 
 SPAN = "struct<start:double,end:double>"
 FACT = "struct<start_s:double,end_s:double,duration_s:double>"
@@ -21,14 +22,26 @@ def cited(intervals: DataFrame, top: int = 3) -> DataFrame:
 
 
 def by_activity(intervals: DataFrame, prolonged_s: float) -> DataFrame:
-    """What any answer needs of a user's activity: totals, onset, longest spans, and the prolonged ones among them."""
-    long = intervals.where(F.col("duration_s") >= prolonged_s).groupBy("user_id", "activity").agg(F.count("*").alias("n_long"))
-    return totals(intervals).join(cited(intervals), ["user_id", "activity"]).join(onsets(intervals).withColumnRenamed("end_s", "onset_end"), ["user_id", "activity"]).join(long, ["user_id", "activity"], "left")
+    """What any answer needs of a user's activity, from one pass: totals, onset, longest spans, and how many last long enough to be prolonged."""
+    w = Window.partitionBy("user_id", "activity").orderBy(F.desc("duration_s"), "start_s")
+    ranked = intervals.withColumn("_rank", F.row_number().over(w))
+    span = F.when(F.col("_rank") <= 3, F.struct("_rank", F.col("start_s").alias("start"), F.col("end_s").alias("end")))
+    out = ranked.groupBy("user_id", "activity").agg(
+        F.round(F.sum("duration_s"), 1).alias("total_s"),
+        F.sum("observed_s").alias("observed_s"),
+        F.count("*").alias("n_intervals"),
+        F.min("start_s").alias("first_start"),
+        F.array_sort(F.collect_list(span)).alias("_s"),
+        F.min("start_s").alias("onset_s"),
+        F.min_by("end_s", "start_s").alias("onset_end"),
+        F.nullif(F.sum((F.col("duration_s") >= prolonged_s).cast("long")), F.lit(0)).alias("n_long"),
+    )
+    return out.withColumn("spans", F.transform("_s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).drop("_s")
 
 
-def by_user(intervals: DataFrame) -> DataFrame:
-    """The leading activity (the first to occur of equals), the leading static one, and time at rest and in motion."""
-    t = totals(intervals)
+def by_user(intervals: DataFrame, acts: DataFrame | None = None) -> DataFrame:
+    """The leading activity (the first to occur of equals), the leading static one, and time at rest and in motion. `acts`: totals that are known already."""
+    t = totals(intervals) if acts is None else acts
     order = F.struct("total_s", -F.col("first_start"))
     static = F.col("activity").isin(*STATIC)
     return t.groupBy("user_id").agg(
@@ -52,7 +65,8 @@ def resolve(questions: DataFrame, intervals: DataFrame, raw: DataFrame | None =
     What can't be answered is N/A throughout. `raw` are the intervals before cleaning, from which a No cites the
     longest candidate that was too short."""
     raw = intervals if raw is None else raw
-    acts, users = by_activity(intervals, config.prolonged_s), by_user(intervals)
+    acts = written(by_activity(intervals, config.prolonged_s), "activities")
+    users = by_user(intervals, acts)
     q = questions.select("id", "user_id", "query", "intent", "activities", "time_s")
     q = q.withColumn("_q", F.lower("query")).withColumn("a1", F.get("activities", F.lit(0))).withColumn("a2", F.get("activities", F.lit(1)))
     q = q.withColumn("_prolonged", (F.col("intent") == "open_world") & has_any(F.col("_q"), PROLONGED_WORDS))
@@ -63,7 +77,7 @@ def resolve(questions: DataFrame, intervals: DataFrame, raw: DataFrame | None =
     q = q.withColumn("main", main)
     q = q.join(acts.withColumnRenamed("activity", "main"), ["user_id", "main"], "left")
     q = q.join(candidates(raw).withColumnRenamed("activity", "main"), ["user_id", "main"], "left")
-    q = q.join(totals(intervals).select("user_id", F.col("activity").alias("a2"), F.col("total_s").alias("total_2")), ["user_id", "a2"], "left")
+    q = q.join(acts.select("user_id", F.col("activity").alias("a2"), F.col("total_s").alias("total_2")), ["user_id", "a2"], "left")
     return q.select("id", "user_id", "query", "intent", *answers(config))
 
 
@@ -160,5 +174,5 @@ def answer_block() -> Column:
 
 def answer(questions: DataFrame, intervals: DataFrame, config: TimelineConfig = TimelineConfig(), parser: Parser = parse) -> DataFrame:
     """questions (id, user_id, query) over uncleaned intervals: clean, parse, resolve and format."""
-    cleaned = clean_timeline(intervals, config.min_episode_s, config.max_gap_s)
+    cleaned = written(clean_timeline(intervals, config.min_episode_s, config.max_gap_s), "cleaned")
     return resolve(parser(questions), cleaned, intervals, config).withColumn("text", answer_block())

@@ -45,7 +45,7 @@ def changed(rows: DataFrame, signal: str, out: str, kind: str, work) -> DataFram
 
 def with_features(segments: DataFrame, signal: str = "signal") -> DataFrame:
     """Adds features, 213 numbers a segment. Select the rows first: a filter on features can't move below this."""
-    return changed(segments, signal, "features", "float", lambda x, _: S.features(x))
+    return changed(segments, signal, "features", "double", lambda x, _: S.features(x))
 
 
 def seed_of(*key) -> int:
@@ -76,7 +76,7 @@ EVIDENCE = "acc_mag_mean double, acc_mag_std double, dynamic_acc_std double, gyr
 def interval_evidence(segments: DataFrame, by: list[str], signal: str = "signal", samples: int = SEGMENT) -> DataFrame:
     """What was measured in each interval (the columns `by`). Segments become sums first, which add up by an ordinary
     aggregate, so an interval of any length is never gathered in one place."""
-    sums = changed(segments.select(*by, signal), signal, "_sums", "double", lambda x, _: np.stack([S.evidence_sums(s[None]) for s in x]) if len(x) else x.reshape(0, 0)).drop(signal)
+    sums = changed(segments.select(*by, signal), signal, "_sums", "double", lambda x, _: S.evidence_rows(x)).drop(signal)
     n = 19 + samples // 2 + 1
     total = sums.groupBy(*by).agg(*[F.sum(F.col("_sums")[i]).alias(f"_{i}") for i in range(n)]).select(*by, F.array(*[F.col(f"_{i}") for i in range(n)]).alias("_sums"))
     schema = ", ".join([f"`{c}` {t}" for c, t in total.dtypes if c in by] + [EVIDENCE])

@@ -77,18 +77,49 @@ def viterbi(obs: np.ndarray, p_stay: float) -> np.ndarray:
     return path
 
 
+def stretches(batches: Iterator[pa.RecordBatch], keys: int, many: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, where each stretch begins) from rows that are sorted so that those with equal first `keys` columns follow one another: whole
+    stretches, about `many` rows at a time, so that a short stretch costs no call of its own."""
+    held: list[pa.RecordBatch] = []
+
+    def begins(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for c in t.columns[:keys]:
+            v = c.to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= many:
+            t = pa.Table.from_batches(held)
+            at = begins(t)
+            if len(at) > 1:  # the last stretch may go on
+                yield t.slice(0, int(at[-1])), at[:-1]
+                held = t.slice(int(at[-1])).to_batches()
+    if held and sum(x.num_rows for x in held):
+        t = pa.Table.from_batches(held)
+        yield t, begins(t)
+
+
 def viterbi_smooth(segments: DataFrame, emission: list[list[float]], p_stay: float = 0.95) -> DataFrame:
-    """Adds y_smooth by the most likely sequence of true labels of each run; emission[true][predicted]. A run, not a user, is a group."""
+    """Adds y_smooth by the most likely sequence of true labels of each run; emission[true][predicted]. Runs, not users, are dealt out; a run without a
+    gap is decoded as one, 8 bytes for each segment and class."""
     log_e = np.log(np.clip(np.asarray(emission, float), 1e-9, None))
-    at = segments.columns.index("y")
+    names = segments.columns
+    order = ["user_id", "run", "t_start", "ord"]
+    rows = segments.select("user_id", "run", *[c for c in names if c not in ("user_id", "run")])
+    at = rows.columns.index("y")
 
-    def smooth(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("t_start", "ascending"), ("ord", "ascending")])
-        y = table.column(at).to_numpy()
-        return table.append_column("y_smooth", pa.array(viterbi(log_e[:, y].T, p_stay), pa.int32()))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, begin in stretches(batches, 2):
+            y = t.column(at).to_numpy()
+            paths = [viterbi(log_e[:, part].T, p_stay) for part in np.split(y, begin[1:])]
+            yield from t.append_column("y_smooth", pa.array(np.concatenate(paths), pa.int32())).combine_chunks().to_batches()
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in segments.dtypes)
-    return segments.groupBy("user_id", "run").applyInArrow(smooth, f"{schema}, y_smooth int")
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return rows.repartition("user_id", "run").sortWithinPartitions(*order).mapInArrow(work, f"{schema}, y_smooth int").select(*names, "y_smooth")
 
 
 def smooth(segments: DataFrame, config: TimelineConfig = TimelineConfig(), emission: list[list[float]] | None = None) -> DataFrame:
@@ -139,23 +170,23 @@ def coalesce_intervals(intervals: DataFrame, max_gap_s: float) -> DataFrame:
     return out.select("user_id", "label", "activity", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "observed_s", "n_segments")
 
 
-def absorb(rows: list[dict], min_episode_s: float, max_gap_s: float) -> list[dict]:
-    """Clean one chain of intervals in which no gap is longer than max_gap_s.
+def absorb(label: list, start: list[float], end: list[float], observed: list[float], n_segments: list[int], min_episode_s: float, max_gap_s: float) -> list[int]:
+    """Clean one chain of intervals in which no gap is longer than max_gap_s, in place; returns the places of those that are left.
 
-    The shortest interval under min_episode_s (the earliest of equals) takes the activity of its longer neighbour
+    The shortest interval under min_episode_s (the earliest of equals) takes the label of its longer neighbour
     (the earlier of equals) within max_gap_s and is joined to what it then touches; without a neighbour it goes.
     A heap of short intervals and links between neighbours make that n log n."""
     import heapq
 
-    items = [dict(r) for r in sorted(rows, key=lambda r: r["start_s"])]
-    n = len(items)
+    n = len(label)
     before, after, alive, stamp = [i - 1 for i in range(n)], [*range(1, n), -1], [True] * n, [0] * n
-    near = lambda a, b: a >= 0 and b >= 0 and items[b]["start_s"] - items[a]["end_s"] <= max_gap_s
+    length = [e - s for s, e in zip(start, end, strict=True)]
+    near = lambda a, b: a >= 0 and b >= 0 and start[b] - end[a] <= max_gap_s
     heap: list[tuple[float, float, int, int]] = []
 
     def push(i: int) -> None:
-        if items[i]["duration_s"] < min_episode_s:
-            heapq.heappush(heap, (items[i]["duration_s"], items[i]["start_s"], i, stamp[i]))
+        if length[i] < min_episode_s:
+            heapq.heappush(heap, (length[i], start[i], i, stamp[i]))
 
     def unlink(i: int) -> None:
         alive[i] = False
@@ -166,26 +197,25 @@ def absorb(rows: list[dict], min_episode_s: float, max_gap_s: float) -> list[dic
             before[b] = a
 
     def join(a: int, b: int) -> None:
-        x, y = items[a], items[b]
-        x["end_s"] = max(x["end_s"], y["end_s"])
-        x["duration_s"] = x["end_s"] - x["start_s"]
-        x["observed_s"] += y["observed_s"]
-        x["n_segments"] += y["n_segments"]
+        end[a] = max(end[a], end[b])
+        length[a] = end[a] - start[a]
+        observed[a] += observed[b]
+        n_segments[a] += n_segments[b]
         stamp[a] += 1
         unlink(b)
 
     def settle(i: int) -> None:
         """Join i with equal neighbours that are near; what is left is measured anew."""
-        while near(before[i], i) and items[before[i]]["activity"] == items[i]["activity"]:
+        while near(before[i], i) and label[before[i]] == label[i]:
             i = before[i]
             join(i, after[i])
-        while near(i, after[i]) and items[after[i]]["activity"] == items[i]["activity"]:
+        while near(i, after[i]) and label[after[i]] == label[i]:
             join(i, after[i])
         push(i)
 
     i = 0 if n else -1
     while i >= 0:
-        if near(i, after[i]) and items[after[i]]["activity"] == items[i]["activity"]:
+        if near(i, after[i]) and label[after[i]] == label[i]:
             join(i, after[i])
         else:
             i = after[i]
@@ -200,32 +230,45 @@ def absorb(rows: list[dict], min_episode_s: float, max_gap_s: float) -> list[dic
         if not sides:
             unlink(i)
             continue
-        own = max(sides, key=lambda j: items[j]["duration_s"])
-        items[i]["activity"], items[i]["label"] = items[own]["activity"], items[own]["label"]
+        label[i] = label[max(sides, key=length.__getitem__)]
         stamp[i] += 1
         settle(i)
-    return [x for x, ok in zip(items, alive, strict=True) if ok]
+    return [i for i in range(n) if alive[i]]
 
 
 CLEANED = "user_id long, label int, activity string, start_s double, end_s double, duration_s double, observed_s double, n_segments long"
+#: What cleaning changes of it.
+ABSORBED = "user_id long, label int, activity string, start_s double, end_s double, observed_s double, n_segments long"
 
 
 def clean_timeline(intervals: DataFrame, min_episode_s: float = 60.0, max_gap_s: float = 120.0) -> DataFrame:
     """Absorb intervals too short to be real into their neighbours.
 
-    Intervals more than max_gap_s apart never touch each other, so each chain of near intervals, not each
-    user, is cleaned by itself: a user of any length is spread over tasks."""
+    Intervals more than max_gap_s apart never touch each other, so chains of near intervals, not users, are dealt out and cleaned, many in
+    one call. Where a chain begins is found by a window over the user's intervals, which a task sorts with spilling."""
     w = Window.partitionBy("user_id").orderBy("start_s")
     reach = F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
     chained = intervals.withColumn("_new", F.coalesce((F.col("start_s") - reach > max_gap_s).cast("int"), F.lit(0))).withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    names = [x.split()[0] for x in CLEANED.split(", ")]
-    kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-
-    def clean(table: pa.Table) -> pa.Table:
-        rows = absorb(table.to_pylist(), min_episode_s, max_gap_s)
-        return pa.table([pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True)], names=names)
-
-    return chained.select("user_id", "_chain", *names[1:]).groupBy("user_id", "_chain").applyInArrow(clean, CLEANED)
+    names = [x.split()[0] for x in ABSORBED.split(", ")]
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, begin in stretches(batches, 2):
+            user, cols = t.column(0).to_numpy(), [t.column(n).to_pylist() for n in names[1:]]
+            cols[:2] = [list(zip(*cols[:2], strict=True))]  # label and activity are one
+            out: list[list] = [[] for _ in names[1:]]
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), t.num_rows], strict=True):
+                chain = [c[lo:hi] for c in cols]
+                stay = absorb(*chain, min_episode_s, max_gap_s)
+                out[0] += [user[lo]] * len(stay)
+                for to, values in zip(out[1:], chain, strict=True):
+                    to += [values[i] for i in stay]
+            label, activity = zip(*out[1], strict=True) if out[1] else ((), ())
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([out[0], label, activity, *out[2:]], kinds, strict=True)], names)
+
+    rows = chained.select(F.col("user_id").cast("long").alias("user_id"), "_chain", F.col("label").cast("int").alias("label"), "activity", "start_s", "end_s", F.col("observed_s").cast("double").alias("observed_s"), F.col("n_segments").cast("long").alias("n_segments"))
+    done = rows.repartition("user_id", "_chain").sortWithinPartitions("user_id", "_chain", "start_s").mapInArrow(clean, ABSORBED)
+    return done.select("user_id", "label", "activity", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "observed_s", "n_segments")
 
 
 def ranked_spans(intervals: DataFrame, top: int = 3) -> DataFrame:
@@ -238,19 +281,45 @@ def onsets(intervals: DataFrame) -> DataFrame:
     return intervals.groupBy("user_id", "activity").agg(F.min("start_s").alias("onset_s"), F.min_by("end_s", "start_s").alias("end_s"))
 
 
+def beside(probes: DataFrame, intervals: DataFrame) -> DataFrame:
+    """probes (user_id, time_s, ...) with _next, the first interval of the user that doesn't end before time_s, and _last, the last one that does:
+    structs of start_s, end_s, activity, or null.
+
+    Both are laid on one line of time by their ends, and each probe looks ahead and back along it, so there is no join of probes with intervals.
+    Intervals of a user must end in the order in which they start, as those of a timeline do."""
+    columns = probes.columns
+    iv = F.struct("start_s", "end_s", "activity")
+    kind = "struct<start_s:double,end_s:double,activity:string>"
+    own = probes.withColumns({"_at": F.col("time_s").cast("double"), "_probe": F.lit(0), "_s": F.lit(None).cast("double"), "_iv": F.lit(None).cast(kind)})
+    kinds = dict(probes.dtypes)
+    ends = intervals.select(*[F.col(c) if c == "user_id" else F.lit(None).cast(kinds[c]).alias(c) for c in columns], F.col("end_s").cast("double").alias("_at"), F.lit(1).alias("_probe"), F.col("start_s").cast("double").alias("_s"), iv.cast(kind).alias("_iv"))
+    # of equal ends the earliest start is nearest to the probe on either side
+    back = Window.partitionBy("user_id").orderBy("_at", "_probe", F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("user_id").orderBy(F.desc("_at"), F.desc("_probe"), F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    line = own.unionByName(ends).withColumn("_last", F.last("_iv", True).over(back)).withColumn("_next", F.last("_iv", True).over(ahead))
+    return line.where("_probe = 0").select(*columns, "_last", "_next")
+
+
 def at_time(probes: DataFrame, intervals: DataFrame) -> DataFrame:
     """probes (id, user_id, time_s) with the activity of the first interval that holds time_s, both ends included; null without one."""
-    iv = intervals.select("user_id", "activity", "start_s", "end_s")
-    hit = probes.join(iv, "user_id").where("time_s between start_s and end_s").groupBy("id").agg(F.min(F.struct("start_s", "end_s", "activity")).alias("h"))
-    return probes.join(hit, "id", "left").select(*probes.columns, F.col("h.activity").alias("activity"), F.col("h.start_s").alias("start_s"), F.col("h.end_s").alias("end_s"))
+    held = F.when(F.col("_next.start_s") <= F.col("time_s"), F.col("_next"))
+    return beside(probes, intervals).withColumn("_h", held).select(*probes.columns, F.col("_h.activity").alias("activity"), F.col("_h.start_s").alias("start_s"), F.col("_h.end_s").alias("end_s"))
 
 
 def nearest(probes: DataFrame, intervals: DataFrame) -> DataFrame:
-    """As at_time, but without a holding interval the one with the nearest end counts, the earlier of equals."""
-    iv = intervals.select("user_id", "activity", "start_s", "end_s")
-    inside = F.col("time_s").between(F.col("start_s"), F.col("end_s"))
-    away = F.when(inside, F.lit(-1.0)).otherwise(F.least(F.abs(F.col("start_s") - F.col("time_s")), F.abs(F.col("end_s") - F.col("time_s"))))
-    return probes.join(iv, "user_id").groupBy(*probes.columns).agg(F.min_by("activity", F.struct(away.alias("d"), F.col("start_s").alias("s"))).alias("activity"))
+    """As at_time, but without a holding interval the one with the nearest end counts, the earlier of equals; a user without any has no row."""
+    ahead, back = F.greatest(F.lit(0.0), F.col("_next.start_s") - F.col("time_s")), F.col("time_s") - F.col("_last.end_s")
+    first = F.when((F.col("_next").isNull()) | (F.col("_last").isNotNull() & (ahead > 0) & (back <= ahead)), F.col("_last.activity")).otherwise(F.col("_next.activity"))
+    return beside(probes, intervals).where("_next is not null or _last is not null").select(*probes.columns, first.alias("activity"))
+
+
+def held_segments(intervals: DataFrame, segments: DataFrame, width_s: float) -> DataFrame:
+    """intervals (user_id, start_s, end_s, ...) joined with the segments (user_id, t_start, t_end, ...) that lie within them. Both meet by user and by
+    the stretch of width_s seconds that the segment starts in; an interval is in each stretch that it touches."""
+    bins = lambda c: F.floor(F.col(c) / width_s).cast("long")
+    iv = intervals.withColumn("_bin", F.explode(F.sequence(bins("start_s"), bins("end_s"))))
+    met = iv.join(segments.withColumn("_bin", bins("t_start")), ["user_id", "_bin"])
+    return met.where("t_start >= start_s and t_end <= end_s").drop("_bin")
 
 
 def build(segments: DataFrame, config: TimelineConfig = TimelineConfig(), emission: list[list[float]] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .oracles_signals import features_sql, viterbi_sql
+
 BASE = """
 WITH seg AS (SELECT user_id, event_id AS ord, value, CAST(floor(epoch(ts)) AS BIGINT) AS win,
     CAST(CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 END AS INTEGER) AS y FROM events),
@@ -125,7 +127,7 @@ WHEN starts_with(s, 'is ') OR starts_with(s, 'was ') OR starts_with(s, 'did ') O
 list_filter(['Lying down', 'Sitting', 'Walking', 'Running', 'Bicycling', 'Standing in place', 'Standing and moving'], lambda c: contains(s, lower(c))) AS named,
 [{', '.join(f"CASE WHEN regexp_matches(s, '(?:^|[^{chr(92)}pL{chr(92)}pN_])(?:{stems})') THEN '{name}' END" for name, stems in STEMS)}] AS stems FROM (SELECT doc_id, lower(coalesce(text, '')) AS s FROM documents))""",
     "first_number": r"""SELECT conv_id, turn, TRY_CAST(nullif(regexp_extract(text, '-?\d+(?:\.\d+)?'), '') AS DOUBLE) AS number, TRY_CAST(nullif(regexp_extract(lower(text), '(\d+(?:\.\d+)?)\s*second', 1), '') AS DOUBLE) AS seconds FROM conversations""",
-    "yes_no_norm": "SELECT conv_id, turn, CASE WHEN starts_with(s, 'yes') OR starts_with(s, 'likely yes') THEN 'yes' WHEN starts_with(s, 'no') THEN 'no' ELSE rtrim(s, '.') END AS yn, rtrim(lower(trim(role)), '.') AS role_norm FROM (SELECT *, lower(trim(substring(text, 1, 12))) AS s FROM conversations)",
+    "yes_no_norm": "SELECT conv_id, turn, CASE WHEN starts_with(s, 'yes') OR starts_with(s, 'likely yes') THEN 'yes' WHEN starts_with(s, 'no') THEN 'no' ELSE rtrim(s, '.') END AS yn, rtrim(lower(trim(role)), '.') AS role_norm FROM (SELECT *, lower(trim(text)) AS s FROM conversations)",
     "confusion_matrix": f"{CM} SELECT t AS y_true, p AS y_pred, n FROM cm",
     "confusion_shares": f"{CM} SELECT t AS y_true, p AS y_pred, round(n / sum(n) OVER (PARTITION BY t), 6) AS share FROM cm",
     "class_metrics": f"""{CM}, k AS (SELECT CAST(r.i AS INTEGER) AS y, coalesce(s, 0) AS s, coalesce(tp, 0) AS tp, coalesce(q, 0) AS q, (SELECT sum(n) FROM cm) AS n FROM range(7) AS r(i) LEFT JOIN tr ON tr.y = r.i LEFT JOIN pd ON pd.y = r.i)
@@ -167,3 +169,5 @@ SELECT vec_id, peak, CAST(lag AS INTEGER) AS lag FROM (SELECT ac.vec_id, round(r
     "geo_mean_weights": "SELECT p_size AS y, round(exp(avg(ln(p_retailprice))), 4) AS weight FROM part GROUP BY p_size",
     "pareto_frontier": "WITH b AS (SELECT p_size AS cost, max(p_retailprice) AS gain FROM part GROUP BY p_size) SELECT cost, gain FROM (SELECT *, max(gain) OVER (ORDER BY cost ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM b) WHERE m IS NULL OR gain > m + 1e-12",
 }
+
+ORACLES |= {"features_213": features_sql(), "viterbi_smooth": viterbi_sql(BASE)}

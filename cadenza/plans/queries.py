@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import intent as I
 from ..functions import scalar as S
+from ..functions.signal import feature_names
 from ..operators import etl, metrics, questions, resolve, sampling, scoring, signal_ops
 from ..operators import timeline as T
 from ..schema import CLASSES, SEGMENT, TimelineConfig
+from ..session import written
 from ..sources.readers import events_as_segments
 
 DAY = 86_400.0
+S213 = feature_names()
 CONFIG = TimelineConfig(max_gap_s=DAY, min_interval_s=0.0, min_episode_s=3_600.0, prolonged_s=DAY)
 
 
@@ -132,7 +135,7 @@ def nearest_lookup(spark, sf):
 def containment_join(spark, sf):
     iv = intervals(spark, sf).where("n_segments > 1").select("user_id", "start_s", "end_s")
     s = segs(spark, sf).select("user_id", "y", "t_start", "t_end")
-    return iv.join(s, "user_id").where("t_start >= start_s and t_end <= end_s").groupBy("user_id", "start_s").agg(F.count("*").alias("n"), F.avg("y").alias("mean_y"))
+    return T.held_segments(iv, s, DAY).groupBy("user_id", "start_s").agg(F.count("*").alias("n"), F.avg("y").alias("mean_y"))
 
 
 def timeline_documents(spark, sf):
@@ -146,7 +149,7 @@ SHOWN = ["user_id", "query", "answer", "activity_event", "timestamps_text", "exp
 
 def ask(spark, sf, query: Column, each: list[str] | None = None) -> DataFrame:
     """One question for each user (and each of `each`), answered over the merged intervals."""
-    iv = intervals(spark, sf)
+    iv = written(intervals(spark, sf), "intervals")  # read by several parts of the answer
     users = iv.select("user_id").distinct()
     if each is not None:
         users = users.withColumn("part", F.explode(F.array(*map(F.lit, each))))
@@ -202,7 +205,7 @@ def answer_wheeled(spark, sf):
 
 
 def answer_blocks(spark, sf):
-    iv = raw_intervals(spark, sf)
+    iv = written(raw_intervals(spark, sf), "intervals")
     q = iv.select("user_id").distinct().withColumn("query", F.explode(F.array(*map(F.lit, ("How long was the user sitting?", "What was her heart rate?"))))).withColumn("id", F.concat_ws("/", "user_id", "query"))
     return resolve.answer(q, iv, CONFIG).select("user_id", "query", "text")
 
@@ -252,7 +255,7 @@ def overall_metrics(spark, sf):
 
 def qa_rows(spark, sf) -> DataFrame:
     """What the smoothed timeline answers to questions whose truth is the unsmoothed one: durations, counts and onsets."""
-    true, pred = raw_intervals(spark, sf), intervals(spark, sf)
+    true, pred = written(raw_intervals(spark, sf), "true"), written(intervals(spark, sf), "predicted")
     spans = lambda iv: resolve.cited(iv, 3)
     t = T.totals(true).join(spans(true).withColumnRenamed("spans", "true_spans"), ["user_id", "activity"])
     p = T.totals(pred).select("user_id", "activity", F.col("total_s").alias("p_s"), F.col("n_intervals").alias("p_n")).join(spans(pred), ["user_id", "activity"])
@@ -284,13 +287,13 @@ def strictness_curve(spark, sf):
 
 
 def question_set(spark, sf):
-    return questions.generate(intervals(spark, sf), prolonged_s=DAY).select("id", "user_id", "type", "query", "true_answer")
+    return questions.generate(written(intervals(spark, sf), "intervals"), prolonged_s=DAY).select("id", "user_id", "type", "query", "true_answer")
 
 
 def qa_end_to_end(spark, sf):
     """Questions from the true timeline, answered over the smoothed one by the rules, scored by type."""
-    q = questions.generate(raw_intervals(spark, sf), prolonged_s=DAY)
-    a = resolve.resolve(I.parse(q.select("id", "user_id", "query")), intervals(spark, sf), None, CONFIG).select("id", "answer", "spans", "modality", "channels")
+    q = written(questions.generate(written(raw_intervals(spark, sf), "true"), prolonged_s=DAY), "questions")
+    a = resolve.resolve(I.parse(q.select("id", "user_id", "query")), written(intervals(spark, sf), "predicted"), None, CONFIG).select("id", "answer", "spans", "modality", "channels")
     return scoring.aggregate(scoring.score(q.join(a, "id")))
 
 
@@ -444,8 +447,13 @@ def pseudo_segments(spark, sf) -> DataFrame:
 
 
 def features_213(spark, sf):
-    f = signal_ops.with_features(pseudo_segments(spark, sf)).select("vec_id", "label", "features")
-    return f.select("vec_id", F.size("features").alias("n"), F.round(F.get("features", F.lit(0)).cast("double"), 3).alias("acc_x_mean"), F.round(F.get("features", F.lit(10)).cast("double"), 3).alias("acc_x_std"), F.round(F.get("features", F.lit(209)).cast("double"), 3).alias("grav_mag"))
+    """All features of all segments, one in a row. The segments swell from first to last sample, so that no two lags are alike."""
+    place = F.sequence(F.lit(0), F.lit(SEGMENT * 6 - 1))
+    swell = lambda j: 1 + F.floor(j / 6) / SEGMENT
+    value = F.transform(place, lambda j: (F.get("v", ((F.floor(j / 6) * (j % 6 + 1)) % 64).cast("int")) * swell(j) + (j % 6 == 2).cast("double")).cast("float"))
+    f = signal_ops.with_features(vectors(spark, sf).select("vec_id", value.alias("signal"))).select("vec_id", F.posexplode("features").alias("_i", "value"))
+    names = F.array(*map(F.lit, S213))
+    return f.select("vec_id", F.get(names, F.col("_i")).alias("feature"), (F.round("value", 4) + 0.0).alias("value"))
 
 
 def interval_evidence(spark, sf):

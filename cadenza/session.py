@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "cadenza", **more: str) -> SparkSession:
@@ -15,3 +19,21 @@ def session(name: str = "cadenza", **more: str) -> SparkSession:
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
     } | more
     return SparkSession.builder.appName(name).config(map=conf).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and Spark runs on one machine a temporary folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cadenza.shared.dir", None)
+    if not path:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="cadenza-")
+        spark.conf.set("cadenza.shared.dir", path)
+    return path.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it again: what several consumers read is made once, and outlives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -90,6 +90,48 @@ def slow_clean(rows, least, gap):
             rows = glue(rows)
 
 
+def absorbed(rows):
+    a, start, end = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [])
+    label = ["ABC".index(x) for x in a]
+    stay = T.absorb(label, start, end, [4.0] * len(rows), [1] * len(rows), 60, 120)
+    return [("ABC"[label[i]], start[i], end[i]) for i in stay]
+
+
+def test_cleaning_of_many_chains(spark):
+    """Users with and without gaps, cleaned as one table, against the slow way; stretches are cut into small batches."""
+    r, rows, want = random.Random(5), [], []
+    for user in range(40):
+        t, mine = 0, []
+        for _ in range(r.randrange(1, 60)):
+            t += r.choice([0, 10, 150])
+            d = r.choice([4, 8, 20, 40, 70, 200])
+            mine.append((r.choice("ABC"), t, t + d))
+            t += d
+        chains = [[]]
+        for x in mine:
+            if chains[-1] and x[1] - max(y[2] for y in chains[-1]) > 120:
+                chains.append([])
+            chains[-1].append(x)
+        want += [(user, "ABC".index(a), float(s), float(e)) for c in chains for a, s, e in slow_clean(c, 60, 120)]
+        rows += [(user, "ABC".index(a), a, float(s), float(e), float(e - s), 4.0, 1) for a, s, e in mine]
+    df = spark.createDataFrame(rows, "user_id long, label int, activity string, start_s double, end_s double, duration_s double, observed_s double, n_segments long").repartition(5)
+    got = [(x["user_id"], x["label"], x["start_s"], x["end_s"]) for x in T.clean_timeline(df, 60, 120).collect()]
+    assert sorted(got) == sorted(want) and T.clean_timeline(df.limit(0), 60, 120).count() == 0
+
+
+def test_stretches():
+    import pyarrow as pa
+
+    keys = sorted(random.Random(1).choices(range(12), k=200))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 7])], ["k"]) for i in range(0, 200, 7)]
+    seen = []
+    for t, begin in T.stretches(iter(batches), 1, 20):
+        parts = np.split(t.column(0).to_numpy(), begin[1:])
+        assert all(len(set(p.tolist())) == 1 for p in parts)
+        seen += [(int(p[0]), len(p)) for p in parts]
+    assert seen == [(k, keys.count(k)) for k in sorted(set(keys))]
+
+
 def test_cleaning_against_a_slow_one():
     for seed in range(300):
         r, t, rows = random.Random(seed), 0, []
@@ -106,12 +148,10 @@ def test_cleaning_against_a_slow_one():
             chains[-1].append(x)
         got = []
         for chain in chains:
-            made = [dict(activity=a, label=0, start_s=s, end_s=e, duration_s=e - s, observed_s=4.0, n_segments=1) for a, s, e in chain]
-            got += [(x["activity"], x["start_s"], x["end_s"]) for x in T.absorb(made, 60, 120)]
+            got += absorbed(chain)
         want = slow_clean(rows, 60, 120)
         assert got == want
-        again = T.absorb([dict(activity=a, label=0, start_s=s, end_s=e, duration_s=e - s, observed_s=4.0, n_segments=1) for a, s, e in want if True], 60, 120) if len(chains) == 1 else None
-        assert again is None or [(x["activity"], x["start_s"], x["end_s"]) for x in again] == want
+        assert len(chains) > 1 or absorbed(want) == want
 
 
 def test_viterbi_against_all_sequences():
@@ -137,3 +177,32 @@ def test_lookups(spark):
     p = spark.createDataFrame([(1, 1, 100.0), (2, 1, 800.0)], "id long, user_id long, time_s double")
     assert {r["id"]: r["activity"] for r in T.at_time(p, i).collect()} == {1: "Walking", 2: None}
     assert {r["id"]: r["activity"] for r in T.nearest(p, i).collect()} == {1: "Walking", 2: "Sitting"}
+
+
+def test_lookups_by_brute_force(spark):
+    """Intervals that touch, overlap by a little and leave gaps; probes at their ends, between and beyond, and of a user without any."""
+    r, rows, probes = random.Random(2), [], []
+    for user in range(6):
+        t = 0
+        for _ in range(12):
+            t += r.choice([-2, 0, 0, 7, 30])
+            t = max(t, 0)
+            d = r.choice([5, 10, 40])
+            rows.append((user, r.choice(["Walking", "Sitting", "Running"]), float(t), float(t + d)))
+            t += d
+    for i in range(300):
+        probes.append((i, r.randrange(7), float(r.randrange(-10, 320)) / r.choice([1, 2])))
+    i = spark.createDataFrame(rows, "user_id long, activity string, start_s double, end_s double")
+    p = spark.createDataFrame(probes, "id long, user_id long, time_s double").repartition(3)
+    hits = {x["id"]: x for x in T.at_time(p, i).collect()}
+    close = {x["id"]: x["activity"] for x in T.nearest(p, i).collect()}
+    assert len(hits) == 300
+    for k, user, t in probes:
+        mine = [x for x in rows if x[0] == user]
+        held = min((x for x in mine if x[2] <= t <= x[3]), key=lambda x: x[2], default=None)
+        assert (hits[k]["activity"], hits[k]["start_s"]) == ((held[1], held[2]) if held else (None, None))
+        best = min(mine, key=lambda x: (-1 if x[2] <= t <= x[3] else min(abs(x[2] - t), abs(x[3] - t)), x[2]), default=None)
+        assert close.get(k) == (best[1] if best else None), (k, user, t)
+    segments = spark.createDataFrame([(u, float(t), float(t + 4)) for u in range(6) for t in range(0, 200, 3)], "user_id long, t_start double, t_end double")
+    got = sorted((x["user_id"], x["start_s"], x["t_start"]) for x in T.held_segments(i, segments, 25.0).collect())
+    assert got == sorted((u, s, float(t)) for u, _, s, e in rows for t in range(0, 200, 3) if s <= t and t + 4 <= e)
