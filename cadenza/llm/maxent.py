@@ -5,9 +5,10 @@ softmaxes over weights of hashed features: a bias, the word before, the two word
 n-grams), and the second word before by itself (the skip); within a class the first two of them. The
 commonest words have outcomes of their own; all other words share one, within which their corpus counts decide.
 
-Training is distributed: the weights go out to all tasks, each makes gradient steps on its share of the round's
-documents, and the changes of each weight row are averaged by how often tasks saw it. Every training
-document is used in one round. Counts cover every training token.
+Training is distributed: the documents of a round are dealt to shards by a hash of their ids and texts. Each shard starts from the round's
+weights and makes gradient steps on its documents in a fixed order; the changes of each weight row are averaged by how often shards saw it. Every
+training document is used in one round, so the model depends on the documents and not on how they are stored or
+how many tasks there are. Counts cover every training token.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ END, OTHER = 0, 1
 FOLDS, HELD_OUT = 7, 2
 #: Features of a class, and the first of them that also tell members of a class apart.
 FEATURES, INNER = 4, 2
+#: Documents of a shard, and most shards of a round: beyond that shards take more documents. Texts that become numbers together.
+SHARD, MOST_SHARDS, TEXTS = 4_000, 1_024, 64
 #: Distinct words that a counting task holds before it hands them on; tokens of a gradient step; weight rows of one message.
 HELD_WORDS, STEP, CHUNK = 300_000, 4_096, 1_024
 EDGE = -2  # stands for what is before a text
@@ -168,21 +171,41 @@ class Vocabulary:
         return np.where(word == EDGE, END, np.where((word >= 0) & (word < self.outcomes), word + 2, OTHER))
 
 
+def shard_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str]]]:
+    """(shard, up to TEXTS of its texts) from rows (shard, text) that are sorted by shard, cut alike whatever the batches are."""
+    own, held = None, []
+    for b in batches:
+        for shard, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if held and (shard != own or len(held) == TEXTS):
+                yield own, held
+                held = []
+            own = shard
+            held.append(text)
+    if held:
+        yield own, held
+
+
 def train(rows: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rate: float = 0.25) -> Weights:
-    """rows (text, part int in 0..rounds-1), the training documents."""
+    """rows (text, part int in 0..rounds-1, tie long), the training documents."""
     spark = rows.sparkSession
     weights = Weights(words.counts)
     shared = spark.sparkContext.broadcast(words)  # no more than 1 / COMMON words
+    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
 
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(weights)
+        shards = min(MOST_SHARDS, max(1, -(-sizes.get(k, 0) // SHARD)))
 
         def steps(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             vocab, old = shared.value, sent.value
-            new = Weights(vocab.counts)
-            new.tables = [t.copy() for t in old.tables]
-            seen = [np.zeros(ROWS, np.float32) for _ in new.tables]
-            square = [np.full(ROWS, 1e-6, np.float32) for _ in new.tables]
+            own = None
+
+            def changes():
+                for t, (table, before) in enumerate(zip(new.tables, old.tables, strict=True)):
+                    for c in range(0, ROWS, CHUNK):
+                        if seen[t][c : c + CHUNK].any():
+                            change = (table[c : c + CHUNK] - before[c : c + CHUNK]).astype(np.float16)
+                            yield pa.RecordBatch.from_arrays([pa.array([t * ROWS + c], pa.int32()), pa.array([change.tobytes()], pa.binary()), pa.array([seen[t][c : c + CHUNK].tobytes()], pa.binary())], ["chunk", "change", "seen"])
 
             def step(word, w1, w2):
                 out = vocab.outcome(word)
@@ -199,17 +222,20 @@ def train(rows: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rate: float
                         table[r] -= rate / len(where) * total / np.sqrt(sq[r])[:, None]
                         n[r] += times
 
-            for b in batches:
-                texts = b.column(0).to_pylist()
-                for i in range(0, len(texts), 64):
-                    cols = contexts([vocab.numbers(word_list(t)) for t in texts[i : i + 64]])
-                    for j in range(0, len(cols[0]), STEP):
-                        step(*(c[j : j + STEP] for c in cols))
-            for t, (table, before) in enumerate(zip(new.tables, old.tables, strict=True)):
-                for c in range(0, ROWS, CHUNK):
-                    if seen[t][c : c + CHUNK].any():
-                        change = (table[c : c + CHUNK] - before[c : c + CHUNK]).astype(np.float16)
-                        yield pa.RecordBatch.from_arrays([pa.array([t * ROWS + c], pa.int32()), pa.array([change.tobytes()], pa.binary()), pa.array([seen[t][c : c + CHUNK].tobytes()], pa.binary())], ["chunk", "change", "seen"])
+            for shard, texts in shard_texts(batches):
+                if shard != own:
+                    if own is not None:
+                        yield from changes()
+                    own = shard
+                    new = Weights(vocab.counts)
+                    new.tables = [t.copy() for t in old.tables]
+                    seen = [np.zeros(ROWS, np.float32) for _ in new.tables]
+                    square = [np.full(ROWS, 1e-6, np.float32) for _ in new.tables]
+                cols = contexts([vocab.numbers(word_list(t)) for t in texts])
+                for j in range(0, len(cols[0]), STEP):
+                    step(*(c[j : j + STEP] for c in cols))
+            if own is not None:
+                yield from changes()
 
         def mean(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = np.zeros((CHUNK, CLASSES)), np.zeros(CHUNK)
@@ -220,7 +246,9 @@ def train(rows: DataFrame, words: Vocabulary, rounds: int = ROUNDS, rate: float
                     n += s
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()], pa.binary())], ["chunk", "change"])
 
-        deltas = rows.where(F.col("part") == k).select("text").mapInArrow(steps, "chunk int, change binary, seen binary")
+        dealt = rows.where(F.col("part") == k).select(F.pmod(F.col("tie"), F.lit(shards)).cast("int").alias("shard"), "tie", "text")
+        dealt = dealt.repartition("shard").sortWithinPartitions("shard", "tie", "text").select("shard", "text")
+        deltas = dealt.mapInArrow(steps, "chunk int, change binary, seen binary")
         for r in deltas.groupBy("chunk").applyInArrow(mean, "chunk int, change binary").collect():  # 2 * ROWS rows of 32 weights at most
             t, c = divmod(r["chunk"], ROWS)
             weights.tables[t][c : c + CHUNK] += np.frombuffer(bytes(r["change"]), np.float32).reshape(CHUNK, CLASSES)
@@ -237,7 +265,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     rows = with_fold(docs, id_col, text_col)
-    learn = rows.where("not held_out").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds)))
+    learn = rows.where("not held_out").withColumns({"part": F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds)), "tie": F.xxhash64("doc_id", "text", F.lit(9))})
     counts = written(word_counts(learn), "counts")
     ends = learn.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -246,7 +274,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common = [(bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= least).toLocalIterator()]  # no more than 1 / COMMON
     common.sort(key=lambda x: (-x[1], x[0]))
     vocab = Vocabulary([w for w, _ in common], [c for _, c in common], tokens, ends, distinct)
-    weights = train(learn.select("text", "part"), vocab, rounds) if ends else Weights(vocab.counts)
+    weights = train(learn.select("text", "part", "tie"), vocab, rounds) if ends else Weights(vocab.counts)
     shared = spark.sparkContext.broadcast((vocab, weights))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import re
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,7 +249,6 @@ def test_base_scores_and_normalisation(spark, docs, empty, texts):
 
 
 def test_model_is_a_distribution_and_learns(spark):
-    import numpy as np
 
     r = random.Random(0)
     text = lambda: " ".join(x for _ in range(30) for x in ("the", r.choice(["cat", "dog"]), "sat", "on", r.choice(["mats", "beds"]), "."))
@@ -265,11 +265,59 @@ def test_model_is_a_distribution_and_learns(spark):
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_model_follows_from_the_documents_alone(spark, monkeypatch):
+    """The same scores however rows are dealt, and each score is what the weights give, word by word in plain Python."""
+    monkeypatch.setattr(maxent, "SHARD", 60)
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    def text():
+        out, at = [], r.randrange(60)
+        for _ in range(r.randrange(1, 60)):
+            out.append(words[at])
+            at = (at * 7 + 3) % 60 if r.random() < 0.8 else r.randrange(60)
+        return " ".join(out)
+
+    rows = [(i, text()) for i in range(500)] + [(None, None), (7, "W1 w2\tw3"), (7, "W1 w2\tw3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    real = maxent.train
+    monkeypatch.setattr(maxent, "train", lambda learn, vocab, rounds: made.append((vocab, real(learn, vocab, rounds))) or made[-1][1])
+    one, two = ({(x["doc_id"], x["n_tokens"]): x for x in maxent.score_documents(df.repartition(n)).collect()} for n in (1, 32))
+    assert one.keys() == two.keys()
+    for k in one:
+        assert one[k]["score"] == pytest.approx(two[k]["score"], rel=1e-6) and one[k]["base_score"] == pytest.approx(two[k]["base_score"], rel=1e-9)
+    vocab, model = made[0]
+    top = [len(maxent.ONES)]
+
+    def softmax(z):
+        e = [math.exp(x - max(z)) for x in z]
+        return [x / sum(e) for x in e]
+
+    def plain(t):
+        ids = [vocab.number.get(w, -1) for w in (t or "").lower().encode().split()]
+        total = 0.0
+        for i, w in enumerate([*ids, maxent.EDGE]):
+            before = [ids[i - b] if i - b >= 0 else maxent.EDGE for b in (1, 2)]
+            feats = [f[0] for f in maxent.features(np.array([before[0]]), np.array([before[1]]))]
+            out = maxent.END if w == maxent.EDGE else w + 2 if 0 <= w < vocab.outcomes else maxent.OTHER
+            group, member = divmod(out, maxent.MEMBERS)
+            z = [model.first[0][c] + sum(model.tables[0][f][c] for f in feats) for c in range(top[0])]
+            inner = [maxent.in_class(np.array([f + maxent.ROWS * k]), np.array([group]))[0] for k, f in enumerate(feats[: maxent.INNER])]
+            y = [model.first[1][group][m] + sum(model.tables[1][f][m] for f in inner) for m in range(maxent.MEMBERS)]
+            total += math.log10(softmax(z)[group] * softmax(y)[member])
+        return total
+
+    for d, t in r.sample(rows[:500], 25):
+        if all(w in vocab.number for w in t.encode().split()):
+            assert one[d, len(t.split()) + 1]["score"] == pytest.approx(plain(t), rel=1e-4)
+    held = [x for x in one.values() if x["held_out"]]
+    assert sum(x["score"] for x in held) > 1.02 * sum(x["base_score"] for x in held) or sum(x["score"] for x in held) > sum(x["base_score"] for x in held)
+
+
 # --- quality --------------------------------------------------------------------------------------
 
 
 def test_gradient():
-    import numpy as np
 
     m = quality.Model()
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
