@@ -16,18 +16,16 @@ from .common import text_rows, written
 #: Shares of the documents that hold a term of the band: its inverse document frequency is between the negative logarithms.
 RAREST, COMMONEST = 0.001, 0.2
 #: (which hash of the term, first bit there, number of bits, kept if they are all zero or if they are not): one random subset of the
-#: lexicon each, of 3/4, 1/8, 1/64 and 1/256 of its terms. Those of few terms outlast edits, and there are enough of them for short texts.
-SUBSETS = tuple(
-    [(0, 2 * i, 2, False) for i in range(2)]
-    + [(0, 4 + 3 * i, 3, True) for i in range(2)]
-    + [(0, 10 + 6 * i, 6, True) for i in range(8)]
-    + [(1 + i // 8, 8 * (i % 8), 8, True) for i in range(24)]
-)
+#: lexicon each, of 3/4, 1/8, 1/256 and 1/64 of its terms. Those of few terms outlast edits, and there are enough of them for short texts.
+DENSE = tuple([(0, 2 * i, 2, False) for i in range(2)] + [(0, 4 + 3 * i, 3, True) for i in range(2)])
+#: One for each byte of the hashes 1 to 3, and for the upper six bits of each byte of the hash 4.
+SPARSE = tuple([(1 + i // 8, 8 * (i % 8), 8, True) for i in range(24)] + [(4, 8 * i + 2, 6, True) for i in range(8)])
+SUBSETS = DENSE + SPARSE
 #: Terms of a band that is broadcast (8 bytes each); a larger one is shuffled.
 MOST_BROADCAST = 1_000_000
 #: Rows whose successor is looked up together, and about how many such groups there are at most: beyond that they take more rows, which are
 #: sorted with spilling.
-NEIGHBOURS, MOST_GROUPS = 4_000, 4_096
+NEIGHBOURS, MOST_GROUPS = 1_000, 4_096
 
 
 def terms(text: Column) -> Column:
@@ -48,32 +46,42 @@ def lexicon(term_lists: DataFrame, total: int, rarest: float = RAREST, commonest
     return written(df.where((F.col("df") >= low) & (F.col("df") <= high)).select("term"), "lexicon")
 
 
+def hash_of(t: Column, k: int) -> Column:
+    return F.xxhash64(t, F.lit(k).cast("long")) if k else t
+
+
+def zero_byte(x: Column) -> Column:
+    """Whether one of the eight bytes of a long is zero."""
+    half = lambda v: (v - F.lit(0x01010101)).bitwiseAND(F.bitwise_not(v)).bitwiseAND(F.lit(0x80808080).cast("long")) != 0
+    return half(x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))) | half(F.shiftrightunsigned(x, 32))
+
+
 def prints(kept: Column, all_terms: Column) -> Column:
     """One hash of the sorted terms for each subset (0: none of them occur), and one more for a text without any of the band: that of all its terms."""
 
-    def part(t: Column, k: int, first: int, bits: int) -> Column:
-        for _ in range(k):
-            t = F.xxhash64(t)
-        return F.shiftright(t, first).bitwiseAND(F.lit((1 << bits) - 1))
-
-    def hashed(k: Column, n: int, first: int, bits: int, zero: bool) -> Column:
-        some = F.filter(k, lambda t: part(t, n, first, bits) == 0 if zero else part(t, n, first, bits) != 0)
+    def hashed(terms_: Column, k: int, first: int, bits: int, zero: bool) -> Column:
+        part = lambda t: F.shiftright(hash_of(t, k), first).bitwiseAND(F.lit((1 << bits) - 1))
+        some = F.filter(terms_, lambda t: part(t) == 0 if zero else part(t) != 0)
         return F.transform(F.array(some), lambda e: F.when(F.size(e) > 0, F.xxhash64(e)).otherwise(F.lit(0)))[0]
 
+    # most terms are in no sparse subset: these are looked for among the few that are in any
+    upper = F.lit(int.from_bytes(b"\xfc" * 8, "big", signed=True))
+    any_ = lambda t: zero_byte(hash_of(t, 1)) | zero_byte(hash_of(t, 2)) | zero_byte(hash_of(t, 3)) | zero_byte(hash_of(t, 4).bitwiseAND(upper))
     own = F.when(F.size(kept) == 0, all_terms).otherwise(F.lit(0))
-    return F.transform(F.array(F.array_sort(kept)), lambda k: F.array(*[hashed(k, *s) for s in SUBSETS], own))[0]
+    few = lambda k: F.transform(F.array(F.filter(k, any_)), lambda f: F.array(*[hashed(f, *s) for s in SPARSE]))[0]
+    return F.transform(F.array(F.array_sort(kept)), lambda k: F.concat(F.array(*[hashed(k, *s) for s in DENSE]), few(k), F.array(own)))[0]
 
 
-def with_prints(rows: DataFrame, band: DataFrame, keep: list[str], **texts: Column) -> DataFrame:
-    """The columns `keep` of rows with a fingerprint (array<long>) of each of the texts.
+def with_prints(rows: DataFrame, band: DataFrame, keep: list[str], by: list[str], **texts: Column) -> DataFrame:
+    """The columns `by` and `keep` of rows with a fingerprint (array<long>) of each of the texts. Rows that are dealt out by `by` already stay where they are.
 
     Each row's terms become rows that are joined with the band and meet again by a number given to the row; what else the row holds goes along once,
     with a first row that has no term."""
     names = list(texts)
-    listed = rows.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_p"), *[terms(texts[n]).alias(f"_t{i}") for i, n in enumerate(names)])
+    listed = rows.select(F.monotonically_increasing_id().alias("_row"), *by, F.struct(*keep).alias("_p"), *[terms(texts[n]).alias(f"_t{i}") for i, n in enumerate(names)])
     lists = [F.col(f"_t{i}") for i in range(len(names))]
     listed = listed.withColumns({f"_all{i}": F.xxhash64(F.array_sort(t)) for i, t in enumerate(lists)})
-    each = listed.select("_row", F.struct("_p", *[f"_all{i}" for i in range(len(names))]).alias("_p"), *[F.size(t).alias(f"_n{i}") for i, t in enumerate(lists)], F.posexplode(F.concat(F.array(F.lit(None).cast("long")), *lists)).alias("_pos", "term"))
+    each = listed.select("_row", *by, F.struct("_p", *[f"_all{i}" for i in range(len(names))]).alias("_p"), *[F.size(t).alias(f"_n{i}") for i, t in enumerate(lists)], F.posexplode(F.concat(F.array(F.lit(None).cast("long")), *lists)).alias("_pos", "term"))
     known = band.withColumn("_known", F.lit(True))
     each = each.join(F.broadcast(known) if band.count() <= MOST_BROADCAST else known, "term", "left").where("_pos = 0 or _known")
     ends, at = [], F.lit(0)
@@ -83,9 +91,9 @@ def with_prints(rows: DataFrame, band: DataFrame, keep: list[str], **texts: Colu
     side = F.when(F.col("_pos") == 0, F.lit(None).cast("int"))
     for i, end in enumerate(ends):
         side = side.when(F.col("_pos") <= end, i)
-    each = each.select("_row", F.when(F.col("_pos") == 0, F.col("_p")).alias("_p"), side.alias("_side"), "term")
-    met = each.groupBy("_row").agg(F.first("_p", ignorenulls=True).alias("_p"), *[F.collect_list(F.when(F.col("_side") == i, F.col("term"))).alias(f"_k{i}") for i in range(len(names))])
-    return met.select("_p._p.*", *[prints(F.col(f"_k{i}"), F.col(f"_p._all{i}")).alias(n) for i, n in enumerate(names)])
+    each = each.select("_row", *by, F.when(F.col("_pos") == 0, F.col("_p")).alias("_p"), side.alias("_side"), "term")
+    met = each.groupBy(*by, "_row").agg(F.first("_p", ignorenulls=True).alias("_p"), *[F.collect_list(F.when(F.col("_side") == i, F.col("term"))).alias(f"_k{i}") for i in range(len(names))])
+    return met.select(*by, "_p._p.*", *[prints(F.col(f"_k{i}"), F.col(f"_p._all{i}")).alias(n) for i, n in enumerate(names)])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -150,7 +158,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the band is told by the hash of all its terms. An empty table gives no rows.
     """
     rows = text_rows(docs, id_col, text_col)
-    return with_prints(rows, lexicon(base_terms(docs, id_col, text_col), rows.count(), rarest, commonest), ["doc_id", "text"], print=F.col("text"))
+    return with_prints(rows, lexicon(base_terms(docs, id_col, text_col), rows.count(), rarest, commonest), ["doc_id", "text"], [], print=F.col("text"))
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: float = RAREST, commonest: float = COMMONEST) -> DataFrame:
@@ -165,6 +173,6 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = neighbours(rows, total).withColumn("_next", F.lead("text").over(following()))
     edited = F.when(F.col("_guest") == 0, F.concat(F.substring("text", F.lit(1), n - half), F.substring("_next", F.lit(1), half))).otherwise(F.lit(""))
     both = both.withColumns({"n_chars": n.cast("long"), "_edited": edited}).withColumn("edited_sha256", F.sha2("_edited", 256))
-    out = with_prints(both, band, ["doc_id", "_tie", "_group", "_guest", "n_chars", "edited_sha256"], print=F.col("text"), edited_print=F.col("_edited"))
+    out = with_prints(both, band, ["doc_id", "_tie", "_guest", "n_chars", "edited_sha256"], ["_group"], print=F.col("text"), edited_print=F.col("_edited"))
     out = out.withColumn("_next", F.lead("print").over(following())).where("_guest = 0")
     return out.select("doc_id", "n_chars", "edited_sha256", text_print(F.col("print")).alias("fingerprint"), text_print(F.col("edited_print")).alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("_next")).alias("near_next"))

@@ -110,8 +110,8 @@ def plain_prints(words, low, high, df):
         some = []
         for t in kept:
             h = t & (2**64 - 1)
-            for _ in range(k):
-                h = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)
+            if k:
+                h = xxhash.xxh64_intdigest(k.to_bytes(8, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42))
             part = h >> first & ((1 << bits) - 1)
             if (part == 0) == zero:
                 some.append(t)
