@@ -69,6 +69,20 @@ def segment(windows: DataFrame, signals: list[str], length: int = SEGMENT, strid
     return rows.select(*keep, "seg_start", (F.col("seg_start") / stride).cast("int").alias("seg_index"), flat.alias("signal"))
 
 
+def contiguous_blocks(rows: DataFrame, order: list[str], window: str = "window") -> DataFrame:
+    """rows (user_id, window, ...) with block: a new one begins wherever the window changes in the user's order of rows, so that a window that
+    comes back later is another block and no segment spans what lies between."""
+    w = Window.partitionBy("user_id").orderBy(*order)
+    new = F.coalesce((F.col(window) != F.lag(window).over(w)).cast("int"), F.lit(0))
+    return rows.withColumn("_new", new).withColumn("block", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+
+
+def most_extrapolated(stats: DataFrame, n: int = 5) -> DataFrame:
+    """The n users (a report) with the largest share of continued gyroscope rows, of merge_stats."""
+    share = F.col("extrapolated") / F.col("rows")
+    return stats.where("rows > 0").withColumn("share", share).orderBy(F.desc("share"), "user_id").limit(n)
+
+
 def segment_ids(segments: DataFrame) -> DataFrame:
     return segments.withColumn("seg_id", F.row_number().over(Window.partitionBy("user_id").orderBy("window", "seg_start")) - 1)
 

@@ -94,6 +94,6 @@ def oracle_intent(questions: DataFrame) -> DataFrame:
     """Perfect parsing: intent and activities as the question was made, the moment from its text."""
     from ..functions.scalar import seconds_in
 
-    names = F.filter(F.transform(F.split("activity", ", "), F.trim), lambda a: a.isin(*CLASSES))
+    names = F.filter(F.transform(F.split("activity", ", "), lambda a: F.trim(a)), lambda a: a.isin(*CLASSES))
     open_name = F.when(F.col("type") == "open_world", F.filter(F.array(*map(F.lit, CLASSES)), lambda c: F.lower("activity").contains(F.lower(c)))).otherwise(names)
     return questions.withColumns({"intent": F.col("type"), "activities": open_name, "time_s": seconds_in(F.col("query"))})

@@ -59,6 +59,34 @@ def augmentation_plan(counts: DataFrame, cap: int = 50_000, factor: float = 6.0,
     return counts.withColumn("copies", (F.floor(want / users) + (rank <= want % users).cast("int")).cast("long"))
 
 
+def balanced_fold(segments: DataFrame, splits: DataFrame, cap: int = 50_000, factor: float = 6.0, thinned: tuple[int, ...] = (1, 2), seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """segments (user_id, window, seg_index, seg_start, label, signal) and splits (user_id, part) of one fold -> (training rows with `copy`, 0 for real
+    ones; channel statistics of the real ones; validation and test rows with their part).
+
+    Segments of the thinned classes don't overlap. Each class has at most `cap` real segments, by equal quotas of users; one that has fewer gets
+    changed copies up to the smaller of `cap` and `factor` times its number, dealt round by round over its segments user by user. Validation and test
+    keep their natural shares, without overlap."""
+    from . import etl, signal_ops
+
+    parts = segments.join(splits.select("user_id", "part"), "user_id")
+    real = training_set(etl.non_overlapping(parts.where("part = 'train'"), classes=thinned), cap)
+    w = Window.partitionBy("label")  # at most `cap` rows
+    have, rank = F.count("*").over(w), F.row_number().over(w.orderBy("user_id", "window", "seg_index"))
+    want = F.greatest(F.lit(0), F.least(F.lit(cap), F.floor(have * factor)) - have)
+    copies = (F.floor(want / have) + (rank <= want % have).cast("int")).cast("int")
+    planned = real.withColumn("_copies", copies).where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+    made = signal_ops.augmented(planned, ["user_id", "window", "seg_index", "copy"], seed).drop("signal").withColumnRenamed("augmented", "signal")
+    train = real.withColumn("copy", F.lit(0)).unionByName(made).orderBy(F.xxhash64(F.lit(seed), "user_id", "window", "seg_index", "copy"))
+    return train, etl.channel_stats(real), etl.non_overlapping(parts.where("part <> 'train'"))
+
+
+def replayed(chosen: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
+    """The training rows of a replayed choice against stored ones (key, label, user_id): rows of either that the other lacks or labels otherwise. A
+    faithful replay gives no row."""
+    a, b = (x.select(*key, F.col("label").alias(n)) for x, n in ((chosen, "label"), (stored, "stored_label")))
+    return a.join(b, key, "full").where(~F.col("label").eqNullSafe(F.col("stored_label")))
+
+
 def validation_split(users: DataFrame, n_val: int = 8, rare: tuple[int, ...] = (3, 4), per_rare: int = 2, least: int = 20, seed: int = 1000) -> DataFrame:
     """users (fold, user_id, counts map<int,long>) of the training part -> part: 'val' for n_val users of each fold, 'train' for the others.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import first_number, interval_iou, normal_answer, yes_no
+from .timeline import held_segments
 from ..schema import CHANNELS, CLASSES, MODALITY
 
 
@@ -91,7 +92,7 @@ def grounding_precision(cited: DataFrame, segments: DataFrame) -> DataFrame:
     """cited (id, user_id, activity, start, end) over segments (user_id, t_start, t_end, y_true): the share of an answer's cited spans at least
     half of whose segments are truly of the activity. Spans without a segment don't count."""
     k = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("activity")) - 1
-    inside = cited.join(segments, "user_id").where("t_start >= start and t_end <= end")
+    inside = held_segments(cited.withColumnsRenamed({"start": "start_s", "end": "end_s"}), segments, 3_600.0).withColumnsRenamed({"start_s": "start", "end_s": "end"})
     span = inside.groupBy("id", "start", "end").agg((F.avg((F.col("y_true") == k).cast("double")) >= 0.5).alias("ok"))
     return span.groupBy("id").agg(F.avg(F.col("ok").cast("double")).alias("grounding_precision"))
 

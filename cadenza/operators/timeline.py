@@ -306,11 +306,16 @@ def at_time(probes: DataFrame, intervals: DataFrame) -> DataFrame:
     return beside(probes, intervals).withColumn("_h", held).select(*probes.columns, F.col("_h.activity").alias("activity"), F.col("_h.start_s").alias("start_s"), F.col("_h.end_s").alias("end_s"))
 
 
-def nearest(probes: DataFrame, intervals: DataFrame) -> DataFrame:
+def nearest_interval(probes: DataFrame, intervals: DataFrame) -> DataFrame:
     """As at_time, but without a holding interval the one with the nearest end counts, the earlier of equals; a user without any has no row."""
     ahead, back = F.greatest(F.lit(0.0), F.col("_next.start_s") - F.col("time_s")), F.col("time_s") - F.col("_last.end_s")
-    first = F.when((F.col("_next").isNull()) | (F.col("_last").isNotNull() & (ahead > 0) & (back <= ahead)), F.col("_last.activity")).otherwise(F.col("_next.activity"))
-    return beside(probes, intervals).where("_next is not null or _last is not null").select(*probes.columns, first.alias("activity"))
+    near = F.when(F.col("_next").isNull() | (F.col("_last").isNotNull() & (ahead > 0) & (back <= ahead)), F.col("_last")).otherwise(F.col("_next"))
+    found = beside(probes, intervals).where("_next is not null or _last is not null").withColumn("_h", near)
+    return found.select(*probes.columns, F.col("_h.activity").alias("activity"), F.col("_h.start_s").alias("start_s"), F.col("_h.end_s").alias("end_s"))
+
+
+def nearest(probes: DataFrame, intervals: DataFrame) -> DataFrame:
+    return nearest_interval(probes, intervals).select(*probes.columns, "activity")
 
 
 def held_segments(intervals: DataFrame, segments: DataFrame, width_s: float) -> DataFrame:

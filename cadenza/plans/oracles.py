@@ -171,3 +171,27 @@ SELECT vec_id, peak, CAST(lag AS INTEGER) AS lag FROM (SELECT ac.vec_id, round(r
 }
 
 ORACLES |= {"features_213": features_sql(), "viterbi_smooth": viterbi_sql(BASE)}
+
+ORACLES |= {
+    "window_blocks": f"""{BASE} SELECT user_id, CAST(block AS BIGINT) AS block, min(d) AS window, count(*) AS n FROM (SELECT *, sum(nb) OVER (PARTITION BY user_id ORDER BY t_start, ord ROWS UNBOUNDED PRECEDING) AS block FROM
+    (SELECT *, CASE WHEN d <> lag(d) OVER (PARTITION BY user_id ORDER BY t_start, ord) THEN 1 ELSE 0 END AS nb FROM (SELECT *, CAST(floor(win / 86400) AS BIGINT) AS d FROM tb))) GROUP BY user_id, block""",
+    "positional_align": f"{BASE} SELECT user_id, ord, y, ys AS y_smooth FROM sm",
+    "extrapolated_top": "SELECT user_id, n AS extrapolated, rows, round(n / rows, 6) AS share FROM (SELECT user_id, count(*) AS rows, count(*) FILTER (event_type = 'error') AS n FROM events GROUP BY user_id) ORDER BY n / rows DESC, user_id LIMIT 5",
+    "replay_faults": "SELECT user_id, event_id AS ord, 0 AS label, 0 AS stored_label FROM events WHERE false",
+    "balanced_fold": """WITH t AS (SELECT label, CASE WHEN vec_id % 10 < 6 THEN 'real' WHEN vec_id % 10 < 8 THEN 'val' ELSE 'test' END AS kind, count(*) AS n FROM embeddings GROUP BY ALL)
+SELECT label, kind, n FROM t UNION ALL SELECT label, 'changed', CAST(floor(n * 2.5) - n AS BIGINT) FROM t WHERE kind = 'real' AND floor(n * 2.5) > n""",
+    "dev_measured": f"""{BASE}, nm AS (SELECT user_id, activity, round(sum(duration_s), 1) AS total_s, count(*) AS n, min(start_s) AS first, row_number() OVER (PARTITION BY user_id ORDER BY activity) AS k FROM rw GROUP BY user_id, activity),
+pm AS (SELECT user_id, activity, round(sum(duration_s), 1) AS total_s, count(*) AS n, min(start_s) AS first FROM iv GROUP BY user_id, activity),
+bh AS (SELECT 'p' AS s, user_id, max(CASE WHEN activity = 'Lying down' AND duration_s >= 86400 THEN 1 ELSE 0 END) AS lying, max(CASE WHEN activity = 'Bicycling' AND duration_s >= 3600 THEN 1 ELSE 0 END) AS ride,
+    coalesce(sum(duration_s) FILTER (activity IN ('Lying down', 'Sitting')), 0) >= coalesce(sum(duration_s) FILTER (activity IN ('Walking', 'Running', 'Bicycling')), 0) AS rest FROM iv GROUP BY user_id
+    UNION ALL SELECT 't', user_id, max(CASE WHEN activity = 'Lying down' AND duration_s >= 86400 THEN 1 ELSE 0 END), max(CASE WHEN activity = 'Bicycling' AND duration_s >= 3600 THEN 1 ELSE 0 END),
+    coalesce(sum(duration_s) FILTER (activity IN ('Lying down', 'Sitting')), 0) >= coalesce(sum(duration_s) FILTER (activity IN ('Walking', 'Running', 'Bicycling')), 0) FROM rw GROUP BY user_id),
+ow AS (SELECT t.user_id, p.lying AS pl, p.ride AS pr, p.rest AS pe, t.lying AS tl, t.ride AS tr, t.rest AS te FROM bh AS t JOIN bh AS p ON p.user_id = t.user_id AND p.s = 'p' WHERE t.s = 't')
+SELECT nm.user_id || '_duration_' || k AS id, 'How long was the user ' || lower(nm.activity) || '?' AS query, {NUMBER.format('coalesce(pm.total_s, 0)')} || ' seconds' AS answer, nm.activity AS activity_event, {NUMBER.format('nm.total_s')} || ' seconds' AS true_answer FROM nm LEFT JOIN pm USING (user_id, activity) WHERE k <= 6
+UNION ALL SELECT nm.user_id || '_count_' || k, 'How many separate times did the user ' || lower(nm.activity) || ' during the recording?', CAST(coalesce(pm.n, 0) AS VARCHAR), nm.activity, CAST(nm.n AS VARCHAR) FROM nm LEFT JOIN pm USING (user_id, activity) WHERE k <= 6
+UNION ALL SELECT nm.user_id || '_grounding_' || k, 'Did the user begin ' || lower(nm.activity) || ' at any point, and if so, when?', CASE WHEN pm.first IS NULL THEN 'No' ELSE 'Yes, ' || lower(nm.activity) || ' began at ' || {NUMBER.format('pm.first')} || ' seconds' END, nm.activity,
+    'Yes, ' || lower(nm.activity) || ' began at ' || {NUMBER.format('nm.first')} || ' seconds' FROM nm LEFT JOIN pm USING (user_id, activity) WHERE k <= 6
+UNION ALL SELECT user_id || '_open_world_1', 'Did the user lie down for a prolonged period?', CASE WHEN pl = 1 THEN 'Likely yes' ELSE 'No' END, 'Prolonged lying down', CASE WHEN tl = 1 THEN 'Likely yes' ELSE 'No' END FROM ow
+UNION ALL SELECT user_id || '_open_world_2', 'Was the user using a wheeled or pedal-based mode of movement?', CASE WHEN pr = 1 THEN 'Yes' ELSE 'No' END, CASE WHEN pr = 1 THEN 'Unknown outdoor physical activity, consistent with cycling' ELSE 'N/A' END, CASE WHEN tr = 1 THEN 'Yes' ELSE 'No' END FROM ow
+UNION ALL SELECT user_id || '_open_world_3', 'Was the user mostly at rest or mostly physically active?', CASE WHEN pe THEN 'Mostly at rest' ELSE 'Mostly physically active' END, 'Overall activity level', CASE WHEN te THEN 'Mostly at rest' ELSE 'Mostly physically active' END FROM ow""",
+}

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import intent as I
 from ..functions import scalar as S
 from ..functions.signal import feature_names
-from ..operators import etl, metrics, questions, resolve, sampling, scoring, signal_ops
+from ..operators import development, etl, metrics, questions, resolve, sampling, scoring, signal_ops
 from ..operators import timeline as T
 from ..schema import CLASSES, SEGMENT, TimelineConfig
 from ..session import written
+from ..sources import readers
 from ..sources.readers import events_as_segments
 
 DAY = 86_400.0
@@ -537,12 +538,72 @@ def pareto_frontier(spark, sf):
 
 
 def rf_predict(spark, sf):
-    """The default forest on the 213 features, trained on all vectors and all their labels, and its predictions for the same vectors."""
+    """The default forest on the 213 features, with all labels: it learns from the vectors whose ids aren't divisible by 5 and predicts all; held_out are the others."""
     from ..operators import ml
 
-    f = signal_ops.with_features(pseudo_segments(spark, sf)).select("vec_id", F.col("label").alias("y"), "features")
-    model = ml.fit(f, ml.forest())
-    return ml.predict(f, model).select("vec_id", "y", "y_pred")
+    f = written(signal_ops.with_features(pseudo_segments(spark, sf)).select("vec_id", F.col("label").alias("y"), "features"), "features")
+    held = F.col("vec_id") % 5 == 0
+    return ml.predict(f, ml.fit(f.where(~held), ml.forest())).select("vec_id", held.alias("held_out"), "y", "y_pred")
+
+
+# --- blocks, places and folds ---------------------------------------------------------------------
+
+
+def window_blocks(spark, sf):
+    """Stretches of one day in each user's events."""
+    rows = segs(spark, sf).withColumn("window", F.floor(F.col("window") / DAY).cast("long"))
+    return etl.contiguous_blocks(rows, ["t_start", "ord"]).groupBy("user_id", "block").agg(F.min("window").alias("window"), F.count("*").alias("n"))
+
+
+def positional_align(spark, sf):
+    """Smoothed labels without their keys, laid beside the events by place."""
+    plain = smoothed(spark, sf).select("user_id", F.col("t_start").alias("_t"), F.col("ord").alias("_o"), "y_smooth")
+    return readers.aligned(plain, segs(spark, sf), ["user_id"], ["t_start", "ord"], ["_t", "_o"]).select("user_id", "ord", "y", "y_smooth")
+
+
+def extrapolated_top(spark, sf):
+    """Errors taken as continued rows."""
+    e = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("rows"), F.count_if(F.col("event_type") == "error").alias("extrapolated"))
+    return etl.most_extrapolated(e).select("user_id", "extrapolated", "rows", F.round("share", 6).alias("share"))
+
+
+def dev_answers(spark, sf):
+    """Development questions from the true timeline, answered over the smoothed one without parsing."""
+    true, pred = written(raw_intervals(spark, sf), "true"), written(intervals(spark, sf), "predicted")
+    q = written(development.generate(true, prolonged_s=DAY, min_episode_s=3_600.0), "questions")
+    return development.answer(q, pred, DAY, 3_600.0).join(q.select("id", "true_answer"), "id").select("id", "type", "query", "answer", "activity_event", "true_answer")
+
+
+def dev_measured(spark, sf):
+    """Of these, the questions that draw nothing by lot: durations, counts, onsets and behaviour."""
+    return dev_answers(spark, sf).where("type in ('duration', 'count', 'grounding', 'open_world')").select("id", "query", "answer", "activity_event", "true_answer")
+
+
+def balanced_fold(spark, sf):
+    """Vectors as segments of ten users, six of them for training: real and changed segments of each class."""
+    rows = pseudo_segments(spark, sf).select(F.pmod("vec_id", F.lit(10)).alias("user_id"), F.col("vec_id").alias("window"), F.lit(0).alias("seg_index"), F.lit(0).alias("seg_start"), "label", "signal")
+    users = rows.select("user_id").distinct().withColumn("part", F.when(F.col("user_id") < 6, "train").when(F.col("user_id") < 8, "val").otherwise("test"))
+    train, _, rest = sampling.balanced_fold(rows, users, 1_000_000, 2.5)
+    both = train.select("label", F.when(F.col("copy") == 0, "real").otherwise("changed").alias("kind")).unionByName(rest.select("label", F.col("part").alias("kind")))
+    return both.groupBy("label", "kind").agg(F.count("*").alias("n"))
+
+
+def replay_faults(spark, sf):
+    """A choice of training rows made twice differs nowhere."""
+    e = events_as_segments(table(spark, sf, "events")).withColumn("label", F.col("y")).withColumn("seg_index", F.col("ord"))
+    one, two = (sampling.training_set(e.repartition(n), 1_000).select("user_id", "ord", "label") for n in (3, 5))
+    return sampling.replayed(one, two, ["user_id", "ord"])
+
+
+def robustness_sweep(spark, sf):
+    """Accuracy of a forest on damaged segments of the vectors with odd ids; it learns from the others."""
+    from ..operators import ml
+
+    rows = pseudo_segments(spark, sf).select("vec_id", F.col("label").alias("y"), "signal")
+    even = signal_ops.with_features(rows.where("vec_id % 2 = 0")).select("vec_id", "y", "features")
+    model = ml.fit(written(even, "features"), ml.forest(trees=40))
+    out = development.robustness(rows.where("vec_id % 2 = 1"), {"noise": [0.0, 1.0], "dropout": [50.0], "rate": [8.0]}, ["vec_id"], lambda f: ml.predict(f, model))
+    return out.select("kind", "level", F.round("accuracy", 6).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -552,4 +613,5 @@ QUERIES = {f.__name__: f for f in (
     yes_no_norm, confusion_matrix, confusion_shares, class_metrics, overall_metrics, interval_iou, qa_score, qa_errors, strictness_curve, question_set, qa_end_to_end, class_distribution, natural_prior, water_fill_quota,
     spread_pick, training_set, split_cover, split_faults, user_set_ops, segment_slide, dist_features, shape_features, zcr_jerk, corr_features, spectral_features, band_energy, autocorr_peak, gait_frequency, features_213,
     interval_evidence, augment_segments, degrade_segments, interp_asof, resample_grid, hour_features, unit_decision, user_znorm, outer_label_join, label_argmax, weighted_argmax, geo_mean_weights, pareto_frontier, rf_predict,
+    window_blocks, positional_align, extrapolated_top, dev_answers, dev_measured, balanced_fold, replay_faults, robustness_sweep,
 )}

@@ -101,3 +101,12 @@ def events_as_segments(events: DataFrame) -> DataFrame:
 
 def in_order(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+
+
+def aligned(predictions: DataFrame, segments: DataFrame, by: list[str], order: list[str], predicted_order: list[str]) -> DataFrame:
+    """segments with the predictions' columns, joined by place: the n-th prediction of a group is that of its n-th segment. A group with more of one
+    than of the other raises, when rows are read."""
+    (a, b), extra = (in_order(segments, by, order), in_order(predictions, by, predicted_order)), [c for c in predictions.columns if c not in segments.columns]
+    both = a.withColumn("_left", F.lit(True)).join(b.select(*by, "place", *extra).withColumn("_right", F.lit(True)), [*by, "place"], "full")
+    fault = F.raise_error(F.concat(F.lit("predictions and segments differ in number: "), F.concat_ws("/", *[F.col(c).cast("string") for c in by])))
+    return both.where(F.when(F.col("_left").isNull() | F.col("_right").isNull(), fault).otherwise(F.lit(True))).drop("_left", "_right", "place")
