@@ -77,11 +77,13 @@ def bitmap(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
 def with_bit(rows: DataFrame, key: str, found: tuple[DataFrame, int], name: str) -> DataFrame:
     """Adds `name`: whether the bitmap may hold the row's key; never wrong for one that it holds."""
     bits, size = found
+    at, place, held = spare(rows, "_bucket", "_slot", "_bits")
     slot = F.pmod(F.xxhash64(key), F.lit(size))
-    marked = rows.withColumns({"_bucket": F.floor(slot / ROW_BITS).cast("int"), "_slot": (slot % ROW_BITS).cast("int")}).join(F.broadcast(bits), "_bucket", "left")
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_slot") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    on = F.coalesce(F.call_function("shiftright", byte, (F.col("_slot") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    return marked.withColumn(name, on).drop("_bucket", "_slot", "_bits")
+    sides = F.broadcast(bits.select(F.col("_bucket").alias(at), F.col("_bits").alias(held)))
+    marked = rows.withColumns({at: F.floor(slot / ROW_BITS).cast("int"), place: (slot % ROW_BITS).cast("int")}).join(sides, at, "left")
+    byte = F.conv(F.hex(F.substring(held, F.floor(F.col(place) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.coalesce(F.call_function("shiftright", byte, (F.col(place) % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return marked.withColumn(name, on).drop(at, place, held)
 
 
 def connected_components(links: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
