@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import exact, packing, quality, secrets, simhash
-from cadenza.llm.common import new_path, spare, table, written
+from cadenza.llm.common import bitmap, new_path, spare, table, with_bit, written
 from cadenza.llm.queries import tokenizer_path
 
 #: No stage but the second can be expressed in SQL; tests hold the stages against brute-force versions.
@@ -47,13 +47,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; each secret in its text is replaced by a mark, and n_chars follows. Rows without a finding are as before."""
-    blob, spans = spare(docs, "_blob", "_spans")
+    blob, spans, some = spare(docs, "_blob", "_spans", "_some")
     found = secrets.blob_findings(secrets.update_ledger(docs)).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
-    own = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    rows = docs.withColumn(blob, own).join(written(found, "findings"), blob, "left")
+    found = written(found, "findings")
+    rows = docs.withColumn(blob, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    # only texts that may have findings are shuffled
+    rows = with_bit(rows, blob, bitmap(found, blob), some)
+    hit = rows.where(F.col(some)).join(found, blob, "left")
     clean = F.when(F.col(spans).isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col(spans)))
-    rows = rows.withColumn("text", clean)
-    return rows.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast("long")).select(*docs.columns)
+    hit = hit.withColumn("text", clean)
+    hit = hit.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast("long"))
+    return hit.select(*docs.columns).unionByName(rows.where(~F.col(some)).select(*docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
