@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .wordbpe import WordEncoder, encoder
+from .wordbpe import WordEncoder, by_words, encoder
 
 #: Code points of a leaf, and of the shortest run without white space that is joined token by token.
 LEAF, RUN = 16_384, 2_048
@@ -153,7 +153,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
     Null texts are empty and have no ids; null ids stay; repeated rows are returned each time; an empty
     table gives an empty result; other columns are left out. Rows with texts of up to `leaf` code
-    points are encoded where they are. Leaves of longer ones are dealt out to all tasks.
+    points are encoded where they are. Leaves of longer ones are dealt out to all tasks; not so with a tokenizer of other rules
+    than those that make words independent, which encodes each text whole.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -162,6 +163,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.encode(t) for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
 
+    if not by_words(tokenizer):
+        return rows.mapInArrow(short, "doc_id long, ids binary")
     long = long_ids(rows.where(F.char_length("text") > leaf), tokenizer, leaf)
     return rows.where(F.char_length("text") <= leaf).mapInArrow(short, "doc_id long, ids binary").unionByName(long)
 

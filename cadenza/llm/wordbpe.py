@@ -7,12 +7,26 @@ cache; the cache has a fixed bound, so a worker's memory does not follow the cor
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
 
 import numpy as np
 
+#: The rules of a tokenizer file that this encoder follows. Files with other rules are left to the library.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+}
 #: Words kept before the cache starts anew.
 MOST_WORDS = 500_000
 #: Longer words are not kept.
@@ -29,8 +43,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def by_words(path: str) -> bool:
+    """Whether the tokenizer file has the rules under which a text's ids are its words' ids one after another."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    special = [t for t in made.get("added_tokens") or [] if not t["content"].startswith("<|") or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]
+    return made["model"]["type"] == "BPE" and not made["model"].get("dropout") and not special and all(made.get(k) == v for k, v in RULES.items())
+
+
 class WordEncoder(dict):
-    """Maps a word to its ids as little-endian unsigned 32-bit bytes."""
+    """Maps a word to its ids as little-endian unsigned 32-bit bytes. With a tokenizer of other rules, whole texts go to the library."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -40,6 +62,7 @@ class WordEncoder(dict):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.whole_texts = not by_words(path)
         self.split_piece = self.tok.model.tokenize
         self.letters = byte_letters()
         size = self.tok.get_vocab_size(with_added_tokens=True)
@@ -87,10 +110,14 @@ class WordEncoder(dict):
         return np.array(self.tok.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self.whole_texts:
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, self.words(text)))
 
     def decode(self, ids) -> bytes:
         """What the library's decode gives where the tokenizer has no decoder: the tokens with a space between."""
+        if self.whole_texts:
+            return self.tok.decode(list(ids), skip_special_tokens=False).encode("utf-8")
         return b" ".join(map(self.names.__getitem__, ids))
 
 

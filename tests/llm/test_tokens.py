@@ -112,3 +112,19 @@ def test_hot_length_is_ranked_by_salt(spark, monkeypatch):
     p = spark.range(300).selectExpr("id as doc_id", "0 as piece", "case when id < 200 then 30L else id % 50 + 1 end as length")
     rows = packing.pack(p, 64, 8).collect()
     assert len(rows) == 300 and check_packing(rows, 64) >= sum(r["length"] for r in rows) / 64
+
+
+def test_a_tokenizer_of_other_rules(spark, docs, texts, tokenizer):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from cadenza.llm import wordbpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert wordbpe.by_words(tokenizer) and not wordbpe.by_words(path)
+    tok = Tokenizer.from_file(path)
+    got = sorted((x["doc_id"] or 0, bytes(x["ids"])) for x in bpe.encode_documents(docs, path, leaf=50).collect())
+    ids = [(d or 0, tok.encode(t or "", add_special_tokens=False).ids) for d, t in texts]
+    assert got == sorted((d, np.array(x, "<u4").tobytes()) for d, x in ids)
+    decoded = sorted((x["doc_id"] or 0, x["text"]) for x in bpe.decode_ids(bpe.encode_documents(docs, path), path).collect())
+    assert decoded == sorted((d, tok.decode(x, skip_special_tokens=False)) for d, x in ids)
