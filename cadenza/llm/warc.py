@@ -138,6 +138,9 @@ def members(read_at, size: int) -> dict[str, tuple[int, int, int]]:
     tail_at = max(0, size - 65_557)
     tail = read_at(tail_at, size - tail_at)
     end = tail.rfind(b"PK\x05\x06")
+    # a comment may hold the signature: the end record is the one whose comment ends the file
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail)):
+        end = tail.rfind(b"PK\x05\x06", 0, end)
     if end < 0:
         raise ValueError("no end of central directory: not a ZIP archive")
     count, length, at = struct.unpack_from("<HII", tail, end + 10)

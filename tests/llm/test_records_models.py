@@ -39,6 +39,27 @@ def test_archive_round_trip(pages):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_comments_that_look_like_an_end(tmp_path):
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("x", b"payload")
+        z.comment = b"note PK\x05\x06 " + bytes(40) + b" and more"
+    raw = path.read_bytes()
+    at, size, method = warc.members(lambda a, n: raw[a : a + n], len(raw))["x"]
+    assert raw[at : at + size] == b"payload" and method == 0
+    with pytest.raises(ValueError, match="no end"):
+        warc.members(lambda a, n: raw[:-5][a : a + n], len(raw) - 5)
+
+
+def test_pages_with_one_id_and_long_payloads(spark):
+    """Ids that clash over different payloads, a payload of several megabytes, empty and null ones."""
+    long = "<p>" + "x" * 3_000_000 + "</p>"
+    rows = [(1, "a", long), (2, "b", long), (2, "c", "y" * 200), (3, "d", None), (3, "e", ""), (4, "f", "y" * 200), (None, "g", None), (2, "b", "z" * 99)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = collections.Counter((x["page_id"], x["payload_bytes"], x["record_type"], x["refers_to"]) for x in warc.archive_pages(df).collect())
+    assert got == collections.Counter([(1, 3_000_007, "response", None), (2, 3_000_007, "revisit", 1), (2, 200, "response", None), (3, 0, "response", None), (3, 0, "response", None), (4, 200, "revisit", 2), (None, 0, "response", None), (2, 99, "response", None)])
+
+
 def test_payloads_and_archive_rolling(spark, pages, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 100)
     df, rows = pages
