@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import CLASSES, INTENTS, OPEN_PHRASES, PROLONGED_WORDS, VERB_STEMS
+from ..schema import CLASSES, INTENT_RULES, INTENTS, OPEN_PHRASES, PROLONGED_WORDS, VERB_STEMS
 from .scalar import json_in, seconds_in
 
 
@@ -26,16 +26,12 @@ def starts_any(text: Column, words) -> Column:
 
 
 def rule_intent(query: Column) -> Column:
+    """The first of INTENT_RULES that fits."""
     s = F.lower(query)
-    return (
-        F.when(s.contains(" or ") & has_any(s, ("more", "longer", "spend")), "comparison")
-        .when(starts_any(s, ("how many", "how often")) | s.contains("times"), "count")
-        .when(s.startswith("how long") | has_any(s, ("total time", "how much time")), "duration")
-        .when(has_any(s, ("when", "begin", "start", "onset")), "grounding")
-        .when(starts_any(s, ("is ", "was ", "did ", "does ")), "verification")
-        .when(has_any(s, ("what activity", "what is", "doing")), "identification")
-        .otherwise("unsupported")
-    )
+    out = F
+    for intent, begins, holds, must in INTENT_RULES:
+        out = out.when((starts_any(s, begins) | has_any(s, holds)) & s.contains(must), intent)
+    return out.otherwise("unsupported")
 
 
 def recovered_activities(query: Column) -> Column:

@@ -19,6 +19,15 @@ VERB_STEMS = (
     ("bicycl", "Bicycling"), ("pedal", "Bicycling"),
     ("stand", "Standing in place"), ("stood", "Standing in place"),
 )
+#: What a question asks for, in the order in which rules are tried: intent, how it may begin, what it may hold, what it must hold besides.
+INTENT_RULES = (
+    ("comparison", (), ("more", "longer", "spend"), " or "),
+    ("count", ("how many", "how often"), ("times",), ""),
+    ("duration", ("how long",), ("total time", "how much time"), ""),
+    ("grounding", (), ("when", "begin", "start", "onset"), ""),
+    ("verification", ("is ", "was ", "did ", "does "), (), ""),
+    ("identification", (), ("what activity", "what is", "doing"), ""),
+)
 GERUND = {c: c.lower() for c in CLASSES}
 MODALITY, CHANNELS, NA = "Accelerometer, Gyroscope", "All", "N/A"
 SEGMENT, RATE, SECONDS = 128, 32.0, 4.0
