@@ -49,13 +49,12 @@ def label_rows(samples: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def to_model_labels(rows: DataFrame, label: str = "label") -> DataFrame:
-    """1..7 to 0..6; what is already 0..6 (it has a 0) stays; anything else raises."""
-    lowest = rows.agg(F.min(label).alias("m"), F.max(label).alias("M")).first()  # one row
-    if lowest["m"] is None or lowest["m"] == 0:
-        return rows
-    if not 1 <= lowest["m"] <= lowest["M"] <= 7:
-        raise ValueError("labels must lie in 1..7")
-    return rows.withColumn(label, (F.col(label) - 1).cast("int"))
+    """1..7 to 0..6; what is already 0..6 (it has a 0) stays; anything else raises, when rows are read."""
+    ends = F.broadcast(rows.agg(F.min(label).alias("_least"), F.max(label).alias("_most")))  # one row
+    fault = F.raise_error(F.lit("labels must lie in 1..7")).cast("int")
+    own = F.col(label).cast("int")
+    value = F.when(F.col("_least") == 0, own).when((F.col("_least") >= 1) & (F.col("_most") <= 7), own - 1).when(F.col("_least").isNotNull(), fault)
+    return rows.crossJoin(ends).withColumn(label, value).drop("_least", "_most")
 
 
 def segment(windows: DataFrame, signals: list[str], length: int = SEGMENT, stride: int = SEGMENT // 2) -> DataFrame:

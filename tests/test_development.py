@@ -104,3 +104,12 @@ def test_overhead(spark):
     sizes = spark.createDataFrame([("rules", 0, 0.0, 1.0)], "name string, params long, size_mb double, peak_mb double")
     x = D.overhead(scored, parsed, timings, sizes).first()
     assert (x["accuracy"], x["agreement"], x["median_ms"], x["joules"]) == (0.75, 0.5, 3.0, 0.03)
+
+
+def test_labels_of_the_model(spark):
+    of = lambda *v: spark.createDataFrame([(x,) for x in v], "label int")
+    values = lambda df: sorted((x["label"] for x in etl.to_model_labels(df).collect()), key=lambda x: (x is not None, x))
+    assert values(of(1, 7, 3, None)) == [None, 0, 2, 6] and values(of(0, 6)) == [0, 6] and values(of()) == []
+    for bad in ((1, 8), (-1, 3)):
+        with pytest.raises(Exception, match="labels must lie"):
+            values(of(*bad))
