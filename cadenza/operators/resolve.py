@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intent import Parser, has_any, parse
-from ..functions.scalar import span_text, whole
+from ..functions.scalar import evidence_text, span_text, whole
 from ..schema import CHANNELS, DYNAMIC, MODALITY, NA, PROLONGED_WORDS, STATIC, WHEELED_WORDS, TimelineConfig
 from ..session import written
-from .timeline import at_time, clean_timeline, ranked_spans, totals
+from .timeline import at_time, clean_timeline, ranked_spans, totals, with_evidence
 
 SPAN = "struct<start:double,end:double>"
-FACT = "struct<start_s:double,end_s:double,duration_s:double>"
+#: Of what was measured in an interval (see signal_ops.EVIDENCE), what facts and explanations quote.
+QUOTED = ("acc_mag_mean", "acc_mag_std", "dynamic_acc_std", "gyro_mag_mean", "gyro_mag_std", "step_freq_hz", "step_freq_share", "gravity_dir")
+MEASURED = "struct<" + ",".join(f"{f}:{'array<double>' if f == 'gravity_dir' else 'double'}" for f in QUOTED) + ">"
 
 
 def cited(intervals: DataFrame, top: int = 3) -> DataFrame:
@@ -25,7 +27,9 @@ def by_activity(intervals: DataFrame, prolonged_s: float) -> DataFrame:
     """What any answer needs of a user's activity, from one pass: totals, onset, longest spans, and how many last long enough to be prolonged."""
     w = Window.partitionBy("user_id", "activity").orderBy(F.desc("duration_s"), "start_s")
     ranked = intervals.withColumn("_rank", F.row_number().over(w))
-    span = F.when(F.col("_rank") <= 3, F.struct("_rank", F.col("start_s").alias("start"), F.col("end_s").alias("end")))
+    own = F.col("evidence") if "evidence" in intervals.columns else F.lit(None).cast(MEASURED)
+    own = F.struct(*[own[f].alias(f) for f in QUOTED])
+    span = F.when(F.col("_rank") <= 3, F.struct("_rank", F.col("start_s").alias("start"), F.col("end_s").alias("end"), own.alias("e")))
     out = ranked.groupBy("user_id", "activity").agg(
         F.round(F.sum("duration_s"), 1).alias("total_s"),
         F.sum("observed_s").alias("observed_s"),
@@ -34,9 +38,10 @@ def by_activity(intervals: DataFrame, prolonged_s: float) -> DataFrame:
         F.array_sort(F.collect_list(span)).alias("_s"),
         F.min("start_s").alias("onset_s"),
         F.min_by("end_s", "start_s").alias("onset_end"),
+        F.min_by(own, "start_s").alias("onset_measured"),
         F.nullif(F.sum((F.col("duration_s") >= prolonged_s).cast("long")), F.lit(0)).alias("n_long"),
     )
-    return out.withColumn("spans", F.transform("_s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).drop("_s")
+    return out.withColumn("spans", F.transform("_s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).withColumn("measured", F.transform("_s", lambda s: s["e"])).drop("_s")
 
 
 def by_user(intervals: DataFrame, acts: DataFrame | None = None) -> DataFrame:
@@ -63,7 +68,7 @@ def resolve(questions: DataFrame, intervals: DataFrame, raw: DataFrame | None =
     activity_event, spans, timestamps_text, modality, channels, explanation, facts (JSON).
 
     What can't be answered is N/A throughout. `raw` are the intervals before cleaning, from which a No cites the
-    longest candidate that was too short."""
+    longest candidate that was too short. Where the intervals have `evidence` (see timeline.with_evidence), explanations and facts quote it."""
     raw = intervals if raw is None else raw
     acts = written(by_activity(intervals, config.prolonged_s), "activities")
     users = by_user(intervals, acts)
@@ -72,7 +77,13 @@ def resolve(questions: DataFrame, intervals: DataFrame, raw: DataFrame | None =
     q = q.withColumn("_prolonged", (F.col("intent") == "open_world") & has_any(F.col("_q"), PROLONGED_WORDS))
     q = q.withColumn("_wheeled", (F.col("intent") == "open_world") & ~F.col("_prolonged") & (has_any(F.col("_q"), WHEELED_WORDS) | F.coalesce(F.col("a1") == "Bicycling", F.lit(False))))
     hits = at_time(q.where("time_s is not null and intent in ('identification', 'verification')").select("id", "user_id", "time_s"), intervals)
-    q = q.join(users, "user_id", "left").join(hits.select("id", F.col("activity").alias("hit"), F.col("start_s").alias("hit_start"), F.col("end_s").alias("hit_end")), "id", "left")
+    hits = hits.select("id", "user_id", F.col("activity").alias("hit"), F.col("start_s").alias("hit_start"), F.col("end_s").alias("hit_end"))
+    if "evidence" in intervals.columns:
+        own = intervals.select("user_id", F.col("activity").alias("hit"), F.col("start_s").alias("hit_start"), F.struct(*[F.col("evidence")[f].alias(f) for f in QUOTED]).alias("hit_measured"))
+        hits = hits.join(own, ["user_id", "hit", "hit_start"], "left")
+    else:
+        hits = hits.withColumn("hit_measured", F.lit(None).cast(MEASURED))
+    q = q.join(users, "user_id", "left").join(hits.drop("user_id"), "id", "left")
     main = F.when(F.col("_prolonged"), F.coalesce("a1", "leading_static")).when(F.col("_wheeled"), F.lit("Bicycling")).when((F.col("intent") == "identification") & F.col("time_s").isNull(), F.col("leading")).otherwise(F.col("a1"))
     q = q.withColumn("main", main)
     q = q.join(acts.withColumnRenamed("activity", "main"), ["user_id", "main"], "left")
@@ -128,6 +139,15 @@ def answers(c: TimelineConfig) -> list[Column]:
         .otherwise(col("spans"))
         .cast(f"array<{SPAN}>")
     )
+    one = lambda e: F.array(e)
+    measured = (
+        F.when(kind("identification") & at | kind("verification") & at, one(col("hit_measured")))
+        .when(kind("grounding"), one(col("onset_measured")))
+        .otherwise(col("measured"))
+        .cast(f"array<{MEASURED}>")
+    )
+    words = F.coalesce(evidence_text(F.get("measured", lit(0))), lit(""))
+    with_words = F.when(words != "", F.concat(lit(", with "), words)).otherwise("")
     both = F.concat(col("a1"), lit(" = "), whole(total), lit(" seconds total, "), col("a2"), lit(" = "), whole(total2), lit(" seconds total"))
     text = F.when(~blank & kind("comparison"), both).otherwise(span_text(spans))
     length = lambda x: whole(x)
@@ -147,7 +167,7 @@ def answers(c: TimelineConfig) -> list[Column]:
                 has_long,
                 F.concat(
                     lit("A continuous "), low, lit(" interval of "), length(first_s), lit(" s ("), length(first["start"]), lit(" to "), length(first["end"]), lit(" s) "), F.when(first_s <= c.prolonged_s, "reaches").otherwise("exceeds"),
-                    lit(" the "), limit, lit(" s ("), whole(lit(c.prolonged_s / 60)), lit(" min) threshold for a prolonged period."), F.when(col("n_long") > 1, F.concat(lit(" "), col("n_long").cast("string"), lit(" such intervals were found in total."))).otherwise(""),
+                    lit(" the "), limit, lit(" s ("), whole(lit(c.prolonged_s / 60)), lit(" min) threshold for a prolonged period"), with_words, lit("."), F.when(col("n_long") > 1, F.concat(lit(" "), col("n_long").cast("string"), lit(" such intervals were found in total."))).otherwise(""),
                 ),
             )
             .when(has, F.concat(lit("The longest continuous "), low, lit(" interval lasts "), length(first_s), lit(" s ("), length(first["start"]), lit(" to "), length(first["end"]), lit(" s), short of the "), limit, lit(" s ("), whole(lit(c.prolonged_s / 60)), lit(" min) needed to count as prolonged.")))
@@ -155,14 +175,14 @@ def answers(c: TimelineConfig) -> list[Column]:
         )
         .when(
             col("_wheeled"),
-            F.when(has, F.concat(n.cast("string"), lit(" bicycling episode"), F.when(n > 1, "s").otherwise(""), lit(" totalling "), whole(total), lit(" s were detected; the longest runs "), length(first_s), lit(" s ("), length(first["start"]), lit(" to "), length(first["end"]), lit(" s), consistent with sustained pedal-driven movement.")))
+            F.when(has, F.concat(n.cast("string"), lit(" bicycling episode"), F.when(n > 1, "s").otherwise(""), lit(" totalling "), whole(total), lit(" s were detected; the longest runs "), length(first_s), lit(" s ("), length(first["start"]), lit(" to "), length(first["end"]), lit(" s)"), with_words, lit(", consistent with sustained pedal-driven movement.")))
             .when(cand.isNotNull(), F.concat(lit("No bicycling episode lasting at least "), least, lit(" s was detected. The longest candidate segment was "), length(cand["duration_s"]), lit(" s ("), length(cand["start_s"]), lit(" to "), length(cand["end_s"]), lit(" s), too brief to indicate sustained pedalling and consistent with a transient misclassification.")))
             .otherwise("No segment in the recording was classified as bicycling."),
         )
         .when(plain, F.concat(lit("Static activities (lying, sitting, standing in place) account for "), whole(col("static_s")), lit(" s against "), whole(col("dynamic_s")), lit(" s of movement.")))
         .otherwise(NA)
     )
-    facts = F.when(~blank & kind("comparison"), F.to_json(F.map_from_arrays(F.array(F.concat(col("a1"), lit("_total_s")), F.concat(col("a2"), lit("_total_s"))), F.array(total, total2)))).when(~blank & has & ~plain, F.to_json(F.struct(F.when(kind("duration") | kind("count") | (kind("verification") & yes), total).alias("total_s"), F.when(kind("duration") | kind("count"), n).alias("n_intervals"), F.when(kind("grounding"), col("onset_s")).alias("onset_s"), F.transform(spans, lambda s: F.struct(s["start"].alias("start_s"), s["end"].alias("end_s"), (s["end"] - s["start"]).alias("duration_s"))).alias("intervals")))).otherwise("{}")
+    facts = F.when(~blank & kind("comparison"), F.to_json(F.map_from_arrays(F.array(F.concat(col("a1"), lit("_total_s")), F.concat(col("a2"), lit("_total_s"))), F.array(total, total2)))).when(~blank & ~plain & (has | kind("identification")) & ~(col("_prolonged") & ~has_long), F.to_json(F.struct(F.when(kind("duration") | kind("count") | (kind("verification") & yes), total).alias("total_s"), F.when(kind("duration") | kind("count"), n).alias("n_intervals"), F.when(kind("grounding"), col("onset_s")).alias("onset_s"), F.transform(spans, lambda s, i: F.struct(s["start"].alias("start_s"), s["end"].alias("end_s"), (s["end"] - s["start"]).alias("duration_s"), *[F.get(measured, i)[f].alias(f) for f in QUOTED if f != "step_freq_share"])).alias("intervals")))).otherwise("{}")
     known = F.when(blank, NA)
     return [answer.alias("answer"), event.alias("activity_event"), spans.alias("spans"), text.alias("timestamps_text"), known.otherwise(MODALITY).alias("modality"), known.otherwise(CHANNELS).alias("channels"), explain.alias("explanation"), facts.alias("facts")]
 
@@ -172,7 +192,9 @@ def answer_block() -> Column:
     return F.concat(F.lit("Answer: "), "answer", F.lit("\nActivity/Event: "), "activity_event", F.lit("\nEvidence:\n    Timestamp(s): "), "timestamps_text", F.lit("\n    Sensor Modality: "), "modality", F.lit("\n    Sensor Channel(s): "), "channels", F.lit("\nExplanation: "), F.coalesce("explanation", F.lit(NA)))
 
 
-def answer(questions: DataFrame, intervals: DataFrame, config: TimelineConfig = TimelineConfig(), parser: Parser = parse) -> DataFrame:
-    """questions (id, user_id, query) over uncleaned intervals: clean, parse, resolve and format."""
-    cleaned = written(clean_timeline(intervals, config.min_episode_s, config.max_gap_s), "cleaned")
+def answer(questions: DataFrame, intervals: DataFrame, config: TimelineConfig = TimelineConfig(), parser: Parser = parse, evidence: DataFrame | None = None) -> DataFrame:
+    """questions (id, user_id, query) over uncleaned intervals: clean, parse, resolve and format. `evidence` (see signal_ops.timeline_evidence) of the uncleaned
+    intervals follows them through cleaning and is quoted."""
+    cleaned = clean_timeline(intervals, config.min_episode_s, config.max_gap_s)
+    cleaned = written(cleaned if evidence is None else with_evidence(cleaned, evidence), "cleaned")
     return resolve(parser(questions), cleaned, intervals, config).withColumn("text", answer_block())

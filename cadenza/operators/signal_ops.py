@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signal as S
 from ..schema import SEGMENT, SIX
+from . import timeline as T
 
 #: Segments that one numpy call works on.
 AT_ONCE = 2_000
@@ -76,7 +77,24 @@ EVIDENCE = "acc_mag_mean double, acc_mag_std double, dynamic_acc_std double, gyr
 def interval_evidence(segments: DataFrame, by: list[str], signal: str = "signal", samples: int = SEGMENT) -> DataFrame:
     """What was measured in each interval (the columns `by`). Segments become sums first, which add up by an ordinary
     aggregate, so an interval of any length is never gathered in one place."""
-    sums = changed(segments.select(*by, signal), signal, "_sums", "double", lambda x, _: S.evidence_rows(x)).drop(signal)
+    return evidence_of_sums(segment_sums(segments.select(*by, signal), signal), by, samples)
+
+
+def segment_sums(segments: DataFrame, signal: str = "signal") -> DataFrame:
+    """Adds _sums, what evidence needs of a segment, in place of the signal."""
+    return changed(segments, signal, "_sums", "double", lambda x, _: S.evidence_rows(x)).drop(signal)
+
+
+def timeline_evidence(segments: DataFrame, max_gap_s: float, label: str = "y_smooth", signal: str = "signal") -> DataFrame:
+    """Evidence of each interval that T.merge_intervals makes of the segments (user_id, t_start, t_end, ord, the label, signal): user_id, label, start_s and the
+    measurements. Where intervals begin is found without the signals, which become sums where they are and meet their intervals by the segment's place."""
+    own = T.islands(segments.select("user_id", "t_start", "t_end", "ord", F.col(label).cast("int").alias("label")), max_gap_s, "label")
+    own = own.select("user_id", "t_start", "ord", "label", F.min("t_start").over(Window.partitionBy("user_id", "_island")).alias("start_s"))
+    sums = segment_sums(segments.select("user_id", "t_start", "ord", signal), signal)
+    return evidence_of_sums(sums.join(own, ["user_id", "t_start", "ord"]), ["user_id", "label", "start_s"])
+
+
+def evidence_of_sums(sums: DataFrame, by: list[str], samples: int = SEGMENT) -> DataFrame:
     n = 19 + samples // 2 + 1
     total = sums.groupBy(*by).agg(*[F.sum(F.col("_sums")[i]).alias(f"_{i}") for i in range(n)]).select(*by, F.array(*[F.col(f"_{i}") for i in range(n)]).alias("_sums"))
     schema = ", ".join([f"`{c}` {t}" for c, t in total.dtypes if c in by] + [EVIDENCE])
@@ -135,8 +153,6 @@ def merge_sensors(acc: DataFrame, gyro: DataFrame) -> DataFrame:
 def interpolated_asof(left: DataFrame, right: DataFrame, by: str, t: str, value: str) -> DataFrame:
     """left (by, t, ...) with `value` of right (by, t, value) read at its times by linear interpolation; null outside. Both clocks are
     merged and each left row looks back and ahead, so there is no join of ranges and no Python."""
-    from pyspark.sql import Window
-
     names = left.columns
     a = left.select("*", F.lit(None).cast("double").alias("_v"), F.lit(None).cast("double").alias("_tv"), F.lit(1).alias("_own"))
     b = right.select(*[F.col(c) if c in (by, t) else F.lit(None).cast(dict(left.dtypes)[c]).alias(c) for c in names], F.col(value).cast("double").alias("_v"), F.col(t).cast("double").alias("_tv"), F.lit(0).alias("_own"))

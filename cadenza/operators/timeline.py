@@ -132,14 +132,19 @@ def smooth(segments: DataFrame, config: TimelineConfig = TimelineConfig(), emiss
     return mode_smooth(rows, config.mode_k)
 
 
+def islands(segments: DataFrame, max_gap_s: float, label: str = "y_smooth") -> DataFrame:
+    """Adds _island: a new one begins where the label changes, or where a segment starts more than max_gap_s after the one before ended."""
+    last_label, last_end = F.lag(label).over(by_user()), F.lag("t_end").over(by_user())
+    new = (F.col(label) != last_label) | (F.col("t_start") - last_end > max_gap_s)
+    return segments.withColumn("_new", F.coalesce(new.cast("int"), F.lit(0))).withColumn("_island", F.sum("_new").over(up_to_here())).drop("_new")
+
+
 def merge_intervals(segments: DataFrame, max_gap_s: float, label: str = "y_smooth", min_interval_s: float = 0.0, seconds: float = SECONDS) -> DataFrame:
     """user_id, label, activity, start_s, end_s, duration_s, observed_s, n_segments (and mean confidence if there is one).
 
     A new interval begins where the label changes, or where a segment starts more than max_gap_s after the one
     before ended. Intervals shorter than min_interval_s are dropped, and their neighbours are not joined."""
-    last_label, last_end = F.lag(label).over(by_user()), F.lag("t_end").over(by_user())
-    new = (F.col(label) != last_label) | (F.col("t_start") - last_end > max_gap_s)
-    marked = segments.withColumn("_new", F.coalesce(new.cast("int"), F.lit(0))).withColumn("_island", F.sum("_new").over(up_to_here()))
+    marked = islands(segments, max_gap_s, label)
     more = [F.avg("confidence").alias("confidence")] if "confidence" in segments.columns else []
     out = marked.groupBy("user_id", "_island").agg(F.min(label).cast("int").alias("label"), F.min("t_start").alias("start_s"), F.max("t_end").alias("end_s"), F.count("*").alias("n_segments"), *more)
     out = out.withColumn("duration_s", F.col("end_s") - F.col("start_s")).withColumn("observed_s", F.col("n_segments") * seconds).withColumn("activity", activity_name(F.col("label")))
@@ -162,19 +167,31 @@ def transitions(intervals: DataFrame) -> DataFrame:
 
 
 def coalesce_intervals(intervals: DataFrame, max_gap_s: float) -> DataFrame:
-    """Join neighbours of one activity that lie max_gap_s or less apart; the duration then covers the gap."""
+    """Join neighbours of one activity that lie max_gap_s or less apart; the duration then covers the gap.
+
+    evidence_of says whose evidence the whole has, by the start of the interval that was measured: a part's own (its start, unless a column evidence_of says
+    otherwise), if the part is longer than all before it together and has any."""
     w = Window.partitionBy("user_id").orderBy("start_s")
+    if "evidence_of" not in intervals.columns:
+        intervals = intervals.withColumn("evidence_of", F.col("start_s"))
     new = (F.col("activity") != F.lag("activity").over(w)) | (F.col("start_s") - F.lag("end_s").over(w) > max_gap_s)
     marked = intervals.withColumn("_new", F.coalesce(new.cast("int"), F.lit(0))).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = marked.groupBy("user_id", "_island").agg(F.min_by("label", "start_s").alias("label"), F.min("activity").alias("activity"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.sum("observed_s").alias("observed_s"), F.sum("n_segments").alias("n_segments"))
-    return out.select("user_id", "label", "activity", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "observed_s", "n_segments")
+    before = Window.partitionBy("user_id", "_island").orderBy("start_s").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = F.max("end_s").over(before) - F.min("start_s").over(before)
+    marked = marked.withColumn("_own", so_far.isNull() | ((F.col("end_s") - F.col("start_s") > so_far) & F.col("evidence_of").isNotNull()))
+    out = marked.groupBy("user_id", "_island").agg(
+        F.min_by("label", "start_s").alias("label"), F.min("activity").alias("activity"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.sum("observed_s").alias("observed_s"), F.sum("n_segments").alias("n_segments"),
+        F.max_by("evidence_of", F.when(F.col("_own"), F.col("start_s"))).alias("evidence_of"),
+    )
+    return out.select("user_id", "label", "activity", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "observed_s", "n_segments", "evidence_of")
 
 
-def absorb(label: list, start: list[float], end: list[float], observed: list[float], n_segments: list[int], min_episode_s: float, max_gap_s: float) -> list[int]:
+def absorb(label: list, start: list[float], end: list[float], observed: list[float], n_segments: list[int], evidence: list, min_episode_s: float, max_gap_s: float) -> list[int]:
     """Clean one chain of intervals in which no gap is longer than max_gap_s, in place; returns the places of those that are left.
 
     The shortest interval under min_episode_s (the earliest of equals) takes the label of its longer neighbour
     (the earlier of equals) within max_gap_s and is joined to what it then touches; without a neighbour it goes.
+    Of two that are joined the first's evidence stays, unless the second is longer and has any; what changes its label loses its own.
     A heap of short intervals and links between neighbours make that n log n."""
     import heapq
 
@@ -197,6 +214,8 @@ def absorb(label: list, start: list[float], end: list[float], observed: list[flo
             before[b] = a
 
     def join(a: int, b: int) -> None:
+        if length[b] > length[a] and evidence[b] is not None:
+            evidence[a] = evidence[b]
         end[a] = max(end[a], end[b])
         length[a] = end[a] - start[a]
         observed[a] += observed[b]
@@ -230,7 +249,7 @@ def absorb(label: list, start: list[float], end: list[float], observed: list[flo
         if not sides:
             unlink(i)
             continue
-        label[i] = label[max(sides, key=length.__getitem__)]
+        label[i], evidence[i] = label[max(sides, key=length.__getitem__)], None
         stamp[i] += 1
         settle(i)
     return [i for i in range(n) if alive[i]]
@@ -238,11 +257,12 @@ def absorb(label: list, start: list[float], end: list[float], observed: list[flo
 
 CLEANED = "user_id long, label int, activity string, start_s double, end_s double, duration_s double, observed_s double, n_segments long"
 #: What cleaning changes of it.
-ABSORBED = "user_id long, label int, activity string, start_s double, end_s double, observed_s double, n_segments long"
+ABSORBED = "user_id long, label int, activity string, start_s double, end_s double, observed_s double, n_segments long, evidence_of double"
 
 
 def clean_timeline(intervals: DataFrame, min_episode_s: float = 60.0, max_gap_s: float = 120.0) -> DataFrame:
-    """Absorb intervals too short to be real into their neighbours.
+    """Absorb intervals too short to be real into their neighbours. evidence_of says, by its start, which interval's evidence each one has, all of whose
+    segments have its label; null if it has none.
 
     Intervals more than max_gap_s apart never touch each other, so chains of near intervals, not users, are dealt out and cleaned, many in
     one call. Where a chain begins is found by a window over the user's intervals, which a task sorts with spilling."""
@@ -263,12 +283,19 @@ def clean_timeline(intervals: DataFrame, min_episode_s: float = 60.0, max_gap_s:
                 for to, values in zip(out[1:], chain, strict=True):
                     to += [values[i] for i in stay]
             label, activity = zip(*out[1], strict=True) if out[1] else ((), ())
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([out[0], label, activity, *out[2:]], kinds, strict=True)], names)
 
-    rows = chained.select(F.col("user_id").cast("long").alias("user_id"), "_chain", F.col("label").cast("int").alias("label"), "activity", "start_s", "end_s", F.col("observed_s").cast("double").alias("observed_s"), F.col("n_segments").cast("long").alias("n_segments"))
+    rows = chained.select(F.col("user_id").cast("long").alias("user_id"), "_chain", F.col("label").cast("int").alias("label"), "activity", "start_s", "end_s", F.col("observed_s").cast("double").alias("observed_s"), F.col("n_segments").cast("long").alias("n_segments"), (F.col("evidence_of") if "evidence_of" in intervals.columns else F.col("start_s")).cast("double").alias("evidence_of"))
     done = rows.repartition("user_id", "_chain").sortWithinPartitions("user_id", "_chain", "start_s").mapInArrow(clean, ABSORBED)
-    return done.select("user_id", "label", "activity", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "observed_s", "n_segments")
+    return done.select("user_id", "label", "activity", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "observed_s", "n_segments", "evidence_of")
+
+
+def with_evidence(intervals: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Adds evidence, a struct of what was measured, to intervals with evidence_of; null where nothing was. `evidence`: user_id, label, start_s of the measured interval, and the measurements."""
+    keys = ("user_id", "label", "start_s")
+    e = evidence.select("user_id", F.col("label").cast("int").alias("label"), F.col("start_s").cast("double").alias("evidence_of"), F.struct(*[c for c in evidence.columns if c not in keys]).alias("evidence"))
+    return intervals.join(e, ["user_id", "label", "evidence_of"], "left")
 
 
 def ranked_spans(intervals: DataFrame, top: int = 3) -> DataFrame:

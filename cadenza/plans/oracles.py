@@ -89,6 +89,12 @@ ORACLES: dict[str, str] = {
     "activity_balance": f"{BASE} SELECT user_id, static_s, dynamic_s, static_s >= dynamic_s AS at_rest FROM md",
     "transitions": f"{BASE} SELECT * FROM (SELECT user_id, activity AS from_activity, lead(activity) OVER w AS to_activity, lead(start_s) OVER w AS at_s FROM iv WINDOW w AS (PARTITION BY user_id ORDER BY start_s)) WHERE at_s IS NOT NULL",
     "transition_matrix": f"{BASE} SELECT from_activity, to_activity, count(*) AS n FROM (SELECT activity AS from_activity, lead(activity) OVER (PARTITION BY user_id ORDER BY start_s) AS to_activity FROM iv) WHERE to_activity IS NOT NULL GROUP BY ALL",
+    "timeline_evidence": f"""{BASE}, sg AS (SELECT vec_id, i, c, CAST(CAST(CAST(embedding[CAST((i * (c + 1)) % 64 + 1 AS INTEGER)] AS DOUBLE) + CASE WHEN c = 2 THEN 1 ELSE 0 END AS FLOAT) AS DOUBLE) AS x FROM embeddings, range(128) AS t(i), range(6) AS u(c) WHERE vec_id < 500),
+wd AS (SELECT vec_id, i, {", ".join(f"max(x) FILTER (c = {c}) AS x{c}" for c in range(6))} FROM sg GROUP BY vec_id, i),
+mg AS (SELECT *, sqrt(x0 * x0 + x1 * x1 + x2 * x2) AS am, sqrt(x3 * x3 + x4 * x4 + x5 * x5) AS gm, pow(x0 - avg(x0) OVER v, 2) + pow(x1 - avg(x1) OVER v, 2) + pow(x2 - avg(x2) OVER v, 2) AS dy FROM wd WINDOW v AS (PARTITION BY vec_id)),
+vs AS (SELECT vec_id, sum(am) AS a1, sum(am * am) AS a2, sum(gm) AS g1, sum(gm * gm) AS g2, sum(dy) AS dy, sum(x0) AS s0, sum(x1) AS s1, sum(x2) AS s2 FROM mg GROUP BY vec_id),
+ev AS (SELECT user_id, min(ys) AS label, min(t_start) AS start_s, count(*) * 128.0::DOUBLE AS m, sum(a1) AS a1, sum(a2) AS a2, sum(g1) AS g1, sum(g2) AS g2, sum(dy) AS dy, sum(s0) AS s0, sum(s1) AS s1, sum(s2) AS s2 FROM il JOIN vs ON vec_id = ord % 500 GROUP BY user_id, island)
+SELECT user_id, label, start_s, round(a1 / m, 4) AS acc_mag_mean, round(sqrt(greatest(0, a2 / m - pow(a1 / m, 2))), 4) AS acc_mag_std, round(sqrt(dy / (3 * m)), 4) AS dynamic_acc_std, round(g1 / m, 4) AS gyro_mag_mean, round(sqrt(greatest(0, g2 / m - pow(g1 / m, 2))), 4) AS gyro_mag_std, round(sqrt(s0 * s0 + s1 * s1 + s2 * s2) / m, 4) AS gravity_mag_g FROM ev""",
     "coalesce_intervals": f"""{BASE}, h AS (SELECT *, sum(nw2) OVER (PARTITION BY user_id ORDER BY t_start, ord ROWS UNBOUNDED PRECEDING) AS island FROM
     (SELECT *, CASE WHEN y <> lag(y) OVER u OR t_start - lag(t_end) OVER u > 3600 THEN 1 ELSE 0 END AS nw2 FROM tb WINDOW u AS (PARTITION BY user_id ORDER BY t_start, ord))),
 hi AS (SELECT user_id, min(y) AS label, min(t_start) AS start_s, max(t_end) AS end_s, count(*) AS n_segments FROM h GROUP BY user_id, island),

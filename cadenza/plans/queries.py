@@ -95,11 +95,11 @@ def transition_matrix(spark, sf):
 
 
 def coalesce_intervals(spark, sf):
-    return T.coalesce_intervals(raw_intervals(spark, sf, 3_600.0), DAY)
+    return T.coalesce_intervals(raw_intervals(spark, sf, 3_600.0), DAY).select(*INTERVAL)
 
 
 def clean_timeline(spark, sf):
-    return T.clean_timeline(raw_intervals(spark, sf), 3_600.0, DAY)
+    return T.clean_timeline(raw_intervals(spark, sf), 3_600.0, DAY).select(*INTERVAL)
 
 
 def recording_span(spark, sf):
@@ -462,6 +462,33 @@ def interval_evidence(spark, sf):
     return e.select("label", F.round("acc_mag_mean", 3).alias("acc_mag_mean"), F.round("dynamic_acc_std", 3).alias("dynamic_acc_std"), F.round("gravity_mag_g", 3).alias("gravity_mag_g"), "dominant_channel")
 
 
+def measured_events(spark, sf) -> DataFrame:
+    """Events as segments with a signal: that of the vector whose id is the event's modulo 500."""
+    v = pseudo_segments(spark, sf).where("vec_id < 500").select(F.col("vec_id").alias("_v"), "signal")
+    return smoothed(spark, sf).withColumn("_v", F.pmod("ord", F.lit(500))).join(v, "_v").drop("_v")
+
+
+def timeline_evidence(spark, sf):
+    e = signal_ops.timeline_evidence(measured_events(spark, sf), DAY)
+    return e.select("user_id", "label", "start_s", "acc_mag_mean", "acc_mag_std", "dynamic_acc_std", "gyro_mag_mean", "gyro_mag_std", "gravity_mag_g")
+
+
+def cleaned_evidence(spark, sf):
+    """Cleaned intervals with the evidence that is left to them."""
+    e = written(signal_ops.timeline_evidence(measured_events(spark, sf), DAY), "evidence")
+    c = T.with_evidence(T.clean_timeline(intervals(spark, sf), 3_600.0, DAY), e)
+    return c.select("user_id", "label", "start_s", "end_s", "evidence_of", F.col("evidence.acc_mag_mean").alias("acc_mag_mean"))
+
+
+def answer_evidence(spark, sf):
+    """Questions whose explanations quote what was measured."""
+    iv = written(intervals(spark, sf), "intervals")
+    asked = F.explode(F.array(*map(F.lit, ("Was there a prolonged period of sitting?", "Was there a prolonged period of walking?", "Was the user using a wheeled or pedal-based mode of movement?"))))
+    q = iv.select("user_id").distinct().withColumn("query", asked).withColumn("id", F.concat_ws("/", "user_id", "query"))
+    e = written(signal_ops.timeline_evidence(measured_events(spark, sf), DAY), "evidence")
+    return resolve.answer(q, iv, CONFIG, evidence=e).select("user_id", "query", "answer", "explanation", "facts")
+
+
 def augment_segments(spark, sf):
     a = signal_ops.augmented(pseudo_segments(spark, sf), ["vec_id"])
     return a.select("vec_id", F.size("augmented").alias("n"))
@@ -612,6 +639,6 @@ QUERIES = {f.__name__: f for f in (
     answer_verification, answer_verification_at, answer_identification, answer_identification_overall, answer_open_world, answer_prolonged, answer_wheeled, answer_blocks, intent_rules, activity_recovery, first_number,
     yes_no_norm, confusion_matrix, confusion_shares, class_metrics, overall_metrics, interval_iou, qa_score, qa_errors, strictness_curve, question_set, qa_end_to_end, class_distribution, natural_prior, water_fill_quota,
     spread_pick, training_set, split_cover, split_faults, user_set_ops, segment_slide, dist_features, shape_features, zcr_jerk, corr_features, spectral_features, band_energy, autocorr_peak, gait_frequency, features_213,
-    interval_evidence, augment_segments, degrade_segments, interp_asof, resample_grid, hour_features, unit_decision, user_znorm, outer_label_join, label_argmax, weighted_argmax, geo_mean_weights, pareto_frontier, rf_predict,
+    interval_evidence, timeline_evidence, cleaned_evidence, answer_evidence, augment_segments, degrade_segments, interp_asof, resample_grid, hour_features, unit_decision, user_znorm, outer_label_join, label_argmax, weighted_argmax, geo_mean_weights, pareto_frontier, rf_predict,
     window_blocks, positional_align, extrapolated_top, dev_answers, dev_measured, balanced_fold, replay_faults, robustness_sweep,
 )}

@@ -93,7 +93,7 @@ def slow_clean(rows, least, gap):
 def absorbed(rows):
     a, start, end = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [])
     label = ["ABC".index(x) for x in a]
-    stay = T.absorb(label, start, end, [4.0] * len(rows), [1] * len(rows), 60, 120)
+    stay = T.absorb(label, start, end, [4.0] * len(rows), [1] * len(rows), list(start), 60, 120)
     return [("ABC"[label[i]], start[i], end[i]) for i in stay]
 
 
