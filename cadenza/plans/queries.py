@@ -573,6 +573,39 @@ def rf_predict(spark, sf):
     return ml.predict(f, ml.fit(f.where(~held), ml.forest())).select("vec_id", held.alias("held_out"), "y", "y_pred")
 
 
+def boosting_predict(spark, sf):
+    """Boosting with its defaults on the 213 features, learnt and held out as in rf_predict."""
+    from ..operators import ml
+
+    f = written(signal_ops.with_features(pseudo_segments(spark, sf)).select("vec_id", F.col("label").alias("y"), "features"), "features")
+    held = F.crc32(F.col("vec_id").cast("string").cast("binary")) % 5 == 0
+    return ml.predict(f, ml.fit(f.where(~held), ml.boosting())).select("vec_id", held.alias("held_out"), "y", "y_pred")
+
+
+def network(spark, sf, shape, clip: float | None) -> DataFrame:
+    """Learnt from the vectors whose crc32(id as text) mod 5 is over 1, watched on those where it is 1; held_out are the others."""
+    from ..operators import ml, networks
+
+    rows = written(pseudo_segments(spark, sf).select("vec_id", F.col("label").alias("y"), "signal"), "segments")
+    part = F.crc32(F.col("vec_id").cast("string").cast("binary")) % 5
+    model = networks.fit(rows.where(part > 1), rows.where(part == 1), ["vec_id"], networks.replace(shape, classes=10), clip=clip)
+    return ml.predict(rows, model).select("vec_id", (part == 0).alias("held_out"), "y", "y_pred")
+
+
+def network_predict(spark, sf):
+    """Two-scale convolution."""
+    from ..operators import networks
+
+    return network(spark, sf, networks.TWO_SCALE, None)
+
+
+def recurrent_predict(spark, sf):
+    """Two-scale convolution with a recurrent layer and attention."""
+    from ..operators import networks
+
+    return network(spark, sf, networks.RECURRENT, 5.0)
+
+
 # --- blocks, places and folds ---------------------------------------------------------------------
 
 
@@ -639,6 +672,6 @@ QUERIES = {f.__name__: f for f in (
     answer_verification, answer_verification_at, answer_identification, answer_identification_overall, answer_open_world, answer_prolonged, answer_wheeled, answer_blocks, intent_rules, activity_recovery, first_number,
     yes_no_norm, confusion_matrix, confusion_shares, class_metrics, overall_metrics, interval_iou, qa_score, qa_errors, strictness_curve, question_set, qa_end_to_end, class_distribution, natural_prior, water_fill_quota,
     spread_pick, training_set, split_cover, split_faults, user_set_ops, segment_slide, dist_features, shape_features, zcr_jerk, corr_features, spectral_features, band_energy, autocorr_peak, gait_frequency, features_213,
-    interval_evidence, timeline_evidence, cleaned_evidence, answer_evidence, augment_segments, degrade_segments, interp_asof, resample_grid, hour_features, unit_decision, user_znorm, outer_label_join, label_argmax, weighted_argmax, geo_mean_weights, pareto_frontier, rf_predict,
+    interval_evidence, timeline_evidence, cleaned_evidence, answer_evidence, augment_segments, degrade_segments, interp_asof, resample_grid, hour_features, unit_decision, user_znorm, outer_label_join, label_argmax, weighted_argmax, geo_mean_weights, pareto_frontier, rf_predict, boosting_predict, network_predict, recurrent_predict,
     window_blocks, positional_align, extrapolated_top, dev_answers, dev_measured, balanced_fold, replay_faults, robustness_sweep,
 )}
