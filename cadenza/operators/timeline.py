@@ -6,7 +6,7 @@ user are ordered by (t_start, ord), ord being any column that tells rows of one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +14,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CLASSES, SECONDS, TimelineConfig
+from ..session import written
 
 
-def by_user():
-    return Window.partitionBy("user_id").orderBy("t_start", "ord")
+#: Seconds of a user's time, and segments of a run, that one task works on.
+BLOCK_S, BLOCK_ROWS = 86_400.0, 20_000
 
 
-def up_to_here():
-    return by_user().rowsBetween(Window.unboundedPreceding, 0)
+def in_block(*keys: str):
+    return Window.partitionBy("user_id", *keys).orderBy("t_start", "ord")
+
+
+def numbered(rows: DataFrame, name: str, carried: list[str], begins: Callable, place: str | None = None, block_s: float = BLOCK_S) -> DataFrame:
+    """Adds `name`, a number that goes up at each row of a user for which begins(before, own) holds; both give a column of the row before and of the row itself. And
+    `place`, if it is named: how many rows with the same number come before.
+
+    Blocks of a user's time are numbered apart. What each of them has first and last, and how often its number goes up, is one row; along these, a small
+    fraction of all rows, a window finds out what the blocks' first rows do and where their numbers start. So no task holds a user. The blocks' table is
+    written and then joined, so what is before is read twice, not twice for each operator."""
+    rows = rows.withColumn("_block", F.floor(F.col("t_start") / block_s).cast("long"))
+    w = in_block("_block")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    step = lambda before, own: F.coalesce(begins(before, own).cast("long"), F.lit(0))
+    rows = rows.withColumn("_before", F.lag(F.struct(*carried)).over(w)).withColumn("_row", F.row_number().over(w) - 1)
+    rows = rows.withColumn("_new", step(lambda c: F.col("_before")[c], F.col))
+    rows = rows.withColumn("_in", F.sum("_new").over(so_far)).withColumn("_at", F.max(F.when(F.col("_new") == 1, F.col("_row"))).over(so_far)).drop("_before", "_new")
+    own, at = F.struct(*carried), F.struct("t_start", "ord")
+    blocks = rows.groupBy("user_id", "_block").agg(F.min_by(own, at).alias("_first"), F.max_by(own, at).alias("_last"), F.max("_in").alias("_n"), F.max("_at").alias("_at"), F.count("*").alias("_rows"))
+    u = Window.partitionBy("user_id").orderBy("_block")
+    earlier = u.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_own", step(lambda c: F.lag("_last").over(u)[c], lambda c: F.col("_first")[c])).withColumn("_rows_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    # of all the user's rows, the place of the last one where the number went up
+    last_new = F.col("_rows_before") + F.coalesce("_at", F.when(F.col("_own") == 1, F.lit(0)))
+    blocks = blocks.withColumn("_up", last_new).withColumn("_since", F.when(F.col("_own") == 1, F.col("_rows_before")).otherwise(F.coalesce(F.max("_up").over(earlier), F.lit(0))))
+    blocks = blocks.select("user_id", "_block", (F.coalesce(F.sum(F.col("_n") + F.col("_own")).over(earlier), F.lit(0)) + F.col("_own")).alias("_from"), (F.col("_rows_before") - F.col("_since")).alias("_late"))
+    out = rows.join(written(blocks, "blocks"), ["user_id", "_block"]).withColumn(name, (F.col("_from") + F.col("_in")).cast("long"))
+    if place:
+        out = out.withColumn(place, F.coalesce(F.col("_row") - F.col("_at"), F.col("_row") + F.col("_late")).cast("long"))
+    return out.drop("_block", "_row", "_in", "_at", "_from", "_late")
+
+
+def placed(rows: DataFrame, block_s: float = BLOCK_S) -> DataFrame:
+    """rows with place, each one's place in its user's run from 0, as smoothing_runs gives it; counted here for runs from elsewhere."""
+    if "place" in rows.columns:
+        return rows
+    return numbered(rows, "_run", ["run"], lambda before, own: own("run") != before("run"), "place", block_s).drop("_run")
 
 
 def activity_name(label: Column) -> Column:
@@ -30,53 +67,85 @@ def activity_name(label: Column) -> Column:
 
 def time_base(segments: DataFrame, seconds: float = SECONDS) -> DataFrame:
     """Adds t_start and t_end, in seconds from the user's first window: each segment lasts `seconds`."""
-    first = F.min("window").over(Window.partitionBy("user_id"))
-    start = (F.col("window") - first + F.col("seg_index") * seconds).cast("double")
-    return segments.withColumn("t_start", start).withColumn("t_end", F.col("t_start") + seconds)
+    first = written(segments.groupBy("user_id").agg(F.min("window").alias("_first")), "first_windows")
+    start = (F.col("window") - F.col("_first") + F.col("seg_index") * seconds).cast("double")
+    out = segments.join(first, "user_id").withColumn("t_start", start).withColumn("t_end", F.col("t_start") + seconds)
+    return out.select(*segments.columns, "t_start", "t_end")
 
 
-def smoothing_runs(segments: DataFrame, max_gap_s: float) -> DataFrame:
-    """Adds run: a new one begins where the start lies more than max_gap_s after the start before."""
-    step = F.col("t_start") - F.lag("t_start").over(by_user())
-    return segments.withColumn("_new", F.coalesce((step > max_gap_s).cast("int"), F.lit(0))).withColumn("run", F.sum("_new").over(up_to_here()).cast("long")).drop("_new")
+def smoothing_runs(segments: DataFrame, max_gap_s: float, block_s: float = BLOCK_S) -> DataFrame:
+    """Adds run, and each segment's place in it: a new one begins where the start lies more than max_gap_s after the start before."""
+    return numbered(segments, "run", ["t_start"], lambda before, own: own("t_start") - before("t_start") > max_gap_s, "place", block_s)
 
 
-def mode_smooth(segments: DataFrame, k: int = 5) -> DataFrame:
+def mode_smooth(segments: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, block_s: float = BLOCK_S) -> DataFrame:
     """Adds y_smooth: the commonest label of the k segments around, within the run. Beyond its ends the run's first or last
-    label counts on. Of equally common labels the segment's own is kept, or else the lowest."""
+    label counts on. Of equally common labels the segment's own is kept, or else the lowest. A run is smoothed in blocks of block_rows segments, each
+    with copies of the k // 2 before and behind it."""
     if k <= 1:
         return segments.withColumn("y_smooth", F.col("y"))
-    w = Window.partitionBy("user_id", "run").orderBy("t_start", "ord")
+    part = F.floor(F.col("place") / block_rows)
+    near = lambda d: F.floor((F.col("place") + d) / block_rows)
+    spread = placed(segments, block_s).withColumn("_home", part).withColumn("_part", F.explode(F.sequence(F.greatest(near(-(k // 2)), F.lit(0)), near(k // 2))))
+    w = in_block("run", "_part")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     near = []
     for d in range(-(k // 2), k - k // 2):
         edge = F.first("y") if d < 0 else F.last("y")
         near.append(F.col("y") if d == 0 else F.coalesce(F.lag("y", -d).over(w) if d < 0 else F.lead("y", d).over(w), edge.over(whole)))
-    out = segments.withColumn("_near", F.array(*near))
+    out = spread.withColumn("_near", F.array(*near)).where("_part = _home")
     times = lambda c: F.size(F.filter("_near", lambda x: x == c))
     most = F.array_max(F.transform("_near", times))
     lowest = F.array_min(F.filter("_near", lambda x: times(x) == most))
-    return out.withColumn("y_smooth", F.when(times(F.col("y")) == most, F.col("y")).otherwise(lowest)).drop("_near")
+    return out.withColumn("y_smooth", F.when(times(F.col("y")) == most, F.col("y")).otherwise(lowest)).select(*segments.columns, "y_smooth")
+
 
+def moves(p_stay: float, c: int) -> np.ndarray:
+    """Log chances of a state (row) to be followed by another: a state lasts with p_stay, all others are equally likely."""
+    return np.where(np.eye(c, dtype=bool), np.log(p_stay), np.log((1 - p_stay) / (c - 1)))
 
-def viterbi(obs: np.ndarray, p_stay: float) -> np.ndarray:
-    """Best state sequence for log evidence obs (steps x states): a state lasts with p_stay, all others are equally
-    likely to follow. Since all changes cost the same, only the best earlier state competes with staying."""
+
+def viterbi(obs: np.ndarray, p_stay: float, entry: int | None = None, exit_: int | None = None) -> np.ndarray:
+    """Best state sequence for log evidence obs (steps x states). entry: the state before the first step, where there is one; exit_: the state of the last, where it is known."""
     n, c = obs.shape
-    stay, move = np.log(p_stay), np.log((1 - p_stay) / (c - 1))
+    follow = moves(p_stay, c)
     back = np.empty((n, c), np.int64)
-    score = obs[0] - np.log(c)
+    score = obs[0] + (-np.log(c) if entry is None else follow[entry])
     for i in range(1, n):
-        reach = score[:, None] + np.where(np.eye(c, dtype=bool), stay, move)
+        reach = score[:, None] + follow
         back[i] = reach.argmax(0)
         score = reach.max(0) + obs[i]
     path = np.empty(n, np.int64)
-    path[-1] = score.argmax()
+    path[-1] = score.argmax() if exit_ is None else exit_
     for i in range(n - 1, 0, -1):
         path[i - 1] = back[i, path[i]]
     return path
 
 
+def max_plus(obs: np.ndarray, p_stay: float, first: bool) -> np.ndarray:
+    """The best scores of a block's steps from each state before it (row) to each of its last step (column): the product of its steps' matrices where
+    products are sums and sums are maxima. A run's first block has one row, from before any state."""
+    c = obs.shape[1]
+    follow = moves(p_stay, c)
+    score = obs[:1] - np.log(c) if first else follow + obs[0]
+    for o in obs[1:]:
+        score = (score[:, :, None] + follow).max(1) + o
+    return score
+
+
+def ends_of_blocks(blocks: list[np.ndarray]) -> list[int]:
+    """The best path's state at the end of each block of a run, from their matrices in order: scores forwards, states backwards."""
+    upto, from_ = [blocks[0][0]], []
+    for m in blocks[1:]:
+        reach = upto[-1][:, None] + m
+        from_.append(reach.argmax(0))
+        upto.append(reach.max(0))
+    ends = [int(upto[-1].argmax())]
+    for f in reversed(from_):
+        ends.append(int(f[ends[-1]]))
+    return ends[::-1]
+
+
 def stretches(batches: Iterator[pa.RecordBatch], keys: int, many: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """(rows, where each stretch begins) from rows that are sorted so that those with equal first `keys` columns follow one another: whole
     stretches, about `many` rows at a time, so that a short stretch costs no call of its own."""
@@ -103,27 +172,71 @@ def stretches(batches: Iterator[pa.RecordBatch], keys: int, many: int = 20_000)
         yield t, begins(t)
 
 
-def viterbi_smooth(segments: DataFrame, emission: list[list[float]], p_stay: float = 0.95) -> DataFrame:
-    """Adds y_smooth by the most likely sequence of true labels of each run; emission[true][predicted]. Runs, not users, are dealt out; a run without a
-    gap is decoded as one, 8 bytes for each segment and class."""
-    log_e = np.log(np.clip(np.asarray(emission, float), 1e-9, None))
-    names = segments.columns
-    order = ["user_id", "run", "t_start", "ord"]
-    rows = segments.select("user_id", "run", *[c for c in names if c not in ("user_id", "run")])
-    at = rows.columns.index("y")
+def viterbi_smooth(segments: DataFrame, emission: list[list[float]] | None, p_stay: float = 0.95, block_rows: int = BLOCK_ROWS, block_s: float = BLOCK_S) -> DataFrame:
+    """Adds y_smooth by the most likely sequence of true labels of each run; emission[true][predicted] is what a label says, unless the segments have log_proba
+    (an array: the classifier's log posterior of each class), which then says it.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A run is decoded in blocks of block_rows segments. Where it has more than one, each block's matrix of best scores comes first; along
+    a run's matrices goes the scan that finds the best path's states at the blocks' ends, between which each block is then decoded apart. Paths of exactly equal
+    scores may differ from those of a decoding in one piece, by rounding."""
+    posterior = "log_proba" in segments.columns
+    if emission is None and not posterior:
+        raise ValueError("decoding needs an emission table, or log_proba of each segment")
+    log_e = None if posterior else np.log(np.clip(np.asarray(emission, float), 1e-9, None))
+    names = segments.columns
+    said = "log_proba" if posterior else "y"
+    kinds = dict(segments.dtypes)
+
+    def evidence(column: pa.ChunkedArray) -> np.ndarray:
+        if posterior:
+            flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+            return flat.reshape(len(column), -1)
+        return log_e[:, column.to_numpy()].T
+
+    rows = placed(segments, block_s).withColumn("_part", F.floor(F.col("place") / block_rows).cast("long"))
+    keys = ["user_id", "run", "_part"]
+    key_kinds = f"user_id {kinds['user_id']}, run {kinds['run']}, _part long"
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, begin in stretches(batches, 3):
+            parts = np.split(evidence(t.column(3)), begin[1:])
+            first = (t.column(2).to_numpy()[begin] == 0).tolist()
+            made = [max_plus(o, p_stay, f).tobytes() for o, f in zip(parts, first, strict=True)]
+            at = pa.array(begin)
+            yield pa.RecordBatch.from_arrays([*(t.column(i).combine_chunks().take(at) for i in range(3)), pa.array(made, pa.binary())], [*keys, "m"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, begin in stretches(batches, 2):
-            y = t.column(at).to_numpy()
-            paths = [viterbi(log_e[:, part].T, p_stay) for part in np.split(y, begin[1:])]
-            yield from t.append_column("y_smooth", pa.array(np.concatenate(paths), pa.int32())).combine_chunks().to_batches()
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.repartition("user_id", "run").sortWithinPartitions(*order).mapInArrow(work, f"{schema}, y_smooth int").select(*names, "y_smooth")
+            made = t.column(3).to_pylist()
+            entry, exit_ = [], []
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), t.num_rows], strict=True):
+                c = len(made[lo]) // 8
+                ends = ends_of_blocks([np.frombuffer(m, float).reshape(-1, c) for m in made[lo:hi]])
+                entry += [None, *ends[:-1]]
+                exit_ += ends
+            yield pa.RecordBatch.from_arrays([*(t.column(i).combine_chunks() for i in range(3)), pa.array(entry, pa.int32()), pa.array(exit_, pa.int32())], [*keys, "_entry", "_exit"])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, begin in stretches(batches, 3):
+            at = pa.array(begin)
+            entry, exit_ = (t.column(c).combine_chunks().take(at).to_pylist() for c in ("_entry", "_exit"))
+            parts = np.split(evidence(t.column(said)), begin[1:])
+            paths = [viterbi(o, p_stay, a, b) for o, a, b in zip(parts, entry, exit_, strict=True)]
+            out = t.drop_columns(["_part", "_entry", "_exit"]).append_column("y_smooth", pa.array(np.concatenate(paths), pa.int32()))
+            yield from out.combine_chunks().to_batches()
+
+    long_runs = rows.where(F.col("place") == block_rows).select("user_id", "run")
+    blocks = rows.select(*keys, said, "t_start", "ord").join(long_runs, ["user_id", "run"], "left_semi")
+    blocks = blocks.repartition(*keys).sortWithinPartitions(*keys, "t_start", "ord").select(*keys, said).mapInArrow(matrices, f"{key_kinds}, m binary")
+    ends = blocks.repartition("user_id", "run").sortWithinPartitions(*keys).mapInArrow(scan, f"{key_kinds}, _entry int, _exit int")
+    rest = [c for c in names if c not in keys]
+    both = rows.join(ends, keys, "left").select(*keys, *rest, "_entry", "_exit").repartition(*keys).sortWithinPartitions(*keys, "t_start", "ord")
+    schema = ", ".join(f"`{n}` {kinds[n]}" for n in ("user_id", "run", *rest))
+    return both.mapInArrow(decode, f"{schema}, y_smooth int").select(*names, "y_smooth")
 
 
 def smooth(segments: DataFrame, config: TimelineConfig = TimelineConfig(), emission: list[list[float]] | None = None) -> DataFrame:
-    """Adds run and y_smooth as the configuration says: mode, viterbi or none."""
+    """Adds run and y_smooth as the configuration says: mode, viterbi (from log_proba where the segments have it) or none."""
     if config.smoothing == "none":
         return segments.withColumn("y_smooth", F.col("y"))
     rows = smoothing_runs(segments, config.max_gap_s)
@@ -132,19 +245,18 @@ def smooth(segments: DataFrame, config: TimelineConfig = TimelineConfig(), emiss
     return mode_smooth(rows, config.mode_k)
 
 
-def islands(segments: DataFrame, max_gap_s: float, label: str = "y_smooth") -> DataFrame:
+def islands(segments: DataFrame, max_gap_s: float, label: str = "y_smooth", block_s: float = BLOCK_S) -> DataFrame:
     """Adds _island: a new one begins where the label changes, or where a segment starts more than max_gap_s after the one before ended."""
-    last_label, last_end = F.lag(label).over(by_user()), F.lag("t_end").over(by_user())
-    new = (F.col(label) != last_label) | (F.col("t_start") - last_end > max_gap_s)
-    return segments.withColumn("_new", F.coalesce(new.cast("int"), F.lit(0))).withColumn("_island", F.sum("_new").over(up_to_here())).drop("_new")
+    begins = lambda before, own: (own(label) != before(label)) | (own("t_start") - before("t_end") > max_gap_s)
+    return numbered(segments, "_island", [label, "t_start", "t_end"], begins, None, block_s)
 
 
-def merge_intervals(segments: DataFrame, max_gap_s: float, label: str = "y_smooth", min_interval_s: float = 0.0, seconds: float = SECONDS) -> DataFrame:
+def merge_intervals(segments: DataFrame, max_gap_s: float, label: str = "y_smooth", min_interval_s: float = 0.0, seconds: float = SECONDS, block_s: float = BLOCK_S) -> DataFrame:
     """user_id, label, activity, start_s, end_s, duration_s, observed_s, n_segments (and mean confidence if there is one).
 
     A new interval begins where the label changes, or where a segment starts more than max_gap_s after the one
     before ended. Intervals shorter than min_interval_s are dropped, and their neighbours are not joined."""
-    marked = islands(segments, max_gap_s, label)
+    marked = islands(segments, max_gap_s, label, block_s)
     more = [F.avg("confidence").alias("confidence")] if "confidence" in segments.columns else []
     out = marked.groupBy("user_id", "_island").agg(F.min(label).cast("int").alias("label"), F.min("t_start").alias("start_s"), F.max("t_end").alias("end_s"), F.count("*").alias("n_segments"), *more)
     out = out.withColumn("duration_s", F.col("end_s") - F.col("start_s")).withColumn("observed_s", F.col("n_segments") * seconds).withColumn("activity", activity_name(F.col("label")))
