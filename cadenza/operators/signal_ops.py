@@ -85,10 +85,10 @@ def segment_sums(segments: DataFrame, signal: str = "signal") -> DataFrame:
     return changed(segments, signal, "_sums", "double", lambda x, _: S.evidence_rows(x)).drop(signal)
 
 
-def timeline_evidence(segments: DataFrame, max_gap_s: float, label: str = "y_smooth", signal: str = "signal") -> DataFrame:
+def timeline_evidence(segments: DataFrame, max_gap_s: float, label: str = "y_smooth", signal: str = "signal", block_s: float = T.BLOCK_S) -> DataFrame:
     """Evidence of each interval that T.merge_intervals makes of the segments (user_id, t_start, t_end, ord, the label, signal): user_id, label, start_s and the
     measurements. Where intervals begin is found without the signals, which become sums where they are and meet their intervals by the segment's place."""
-    own = T.islands(segments.select("user_id", "t_start", "t_end", "ord", F.col(label).cast("int").alias("label")), max_gap_s, "label")
+    own = T.islands(segments.select("user_id", "t_start", "t_end", "ord", F.col(label).cast("int").alias("label")), max_gap_s, "label", block_s)
     own = own.select("user_id", "t_start", "ord", "label", F.min("t_start").over(Window.partitionBy("user_id", "_island")).alias("start_s"))
     sums = segment_sums(segments.select("user_id", "t_start", "ord", signal), signal)
     return evidence_of_sums(sums.join(own, ["user_id", "t_start", "ord"]), ["user_id", "label", "start_s"])

@@ -30,8 +30,8 @@ def numbered(rows: DataFrame, name: str, carried: list[str], begins: Callable, p
     `place`, if it is named: how many rows with the same number come before.
 
     Blocks of a user's time are numbered apart. What each of them has first and last, and how often its number goes up, is one row; along these, a small
-    fraction of all rows, a window finds out what the blocks' first rows do and where their numbers start. So no task holds a user. The blocks' table is
-    written and then joined, so what is before is read twice, not twice for each operator."""
+    fraction of all rows, a window finds out what the blocks' first rows do and where their numbers start. So no task holds a user. Rows are
+    written with their blocks' numbers, so that what came before is computed once."""
     rows = rows.withColumn("_block", F.floor(F.col("t_start") / block_s).cast("long"))
     w = in_block("_block")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -39,6 +39,7 @@ def numbered(rows: DataFrame, name: str, carried: list[str], begins: Callable, p
     rows = rows.withColumn("_before", F.lag(F.struct(*carried)).over(w)).withColumn("_row", F.row_number().over(w) - 1)
     rows = rows.withColumn("_new", step(lambda c: F.col("_before")[c], F.col))
     rows = rows.withColumn("_in", F.sum("_new").over(so_far)).withColumn("_at", F.max(F.when(F.col("_new") == 1, F.col("_row"))).over(so_far)).drop("_before", "_new")
+    rows = written(rows, name.strip("_"))
     own, at = F.struct(*carried), F.struct("t_start", "ord")
     blocks = rows.groupBy("user_id", "_block").agg(F.min_by(own, at).alias("_first"), F.max_by(own, at).alias("_last"), F.max("_in").alias("_n"), F.max("_at").alias("_at"), F.count("*").alias("_rows"))
     u = Window.partitionBy("user_id").orderBy("_block")
@@ -48,7 +49,7 @@ def numbered(rows: DataFrame, name: str, carried: list[str], begins: Callable, p
     last_new = F.col("_rows_before") + F.coalesce("_at", F.when(F.col("_own") == 1, F.lit(0)))
     blocks = blocks.withColumn("_up", last_new).withColumn("_since", F.when(F.col("_own") == 1, F.col("_rows_before")).otherwise(F.coalesce(F.max("_up").over(earlier), F.lit(0))))
     blocks = blocks.select("user_id", "_block", (F.coalesce(F.sum(F.col("_n") + F.col("_own")).over(earlier), F.lit(0)) + F.col("_own")).alias("_from"), (F.col("_rows_before") - F.col("_since")).alias("_late"))
-    out = rows.join(written(blocks, "blocks"), ["user_id", "_block"]).withColumn(name, (F.col("_from") + F.col("_in")).cast("long"))
+    out = rows.join(blocks, ["user_id", "_block"]).withColumn(name, (F.col("_from") + F.col("_in")).cast("long"))
     if place:
         out = out.withColumn(place, F.coalesce(F.col("_row") - F.col("_at"), F.col("_row") + F.col("_late")).cast("long"))
     return out.drop("_block", "_row", "_in", "_at", "_from", "_late")
@@ -67,7 +68,7 @@ def activity_name(label: Column) -> Column:
 
 def time_base(segments: DataFrame, seconds: float = SECONDS) -> DataFrame:
     """Adds t_start and t_end, in seconds from the user's first window: each segment lasts `seconds`."""
-    first = written(segments.groupBy("user_id").agg(F.min("window").alias("_first")), "first_windows")
+    first = segments.groupBy("user_id").agg(F.min("window").alias("_first"))
     start = (F.col("window") - F.col("_first") + F.col("seg_index") * seconds).cast("double")
     out = segments.join(first, "user_id").withColumn("t_start", start).withColumn("t_end", F.col("t_start") + seconds)
     return out.select(*segments.columns, "t_start", "t_end")

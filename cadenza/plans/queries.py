@@ -19,6 +19,8 @@ from ..sources import readers
 from ..sources.readers import events_as_segments
 
 DAY = 86_400.0
+#: Events are a hundred times rarer than segments: what one task works on of a user's time is longer.
+MONTH = 30 * DAY
 S213 = feature_names()
 CONFIG = TimelineConfig(max_gap_s=DAY, min_interval_s=0.0, min_episode_s=3_600.0, prolonged_s=DAY)
 
@@ -32,15 +34,15 @@ def segs(spark, sf) -> DataFrame:
 
 
 def smoothed(spark, sf) -> DataFrame:
-    return T.mode_smooth(T.smoothing_runs(segs(spark, sf), DAY))
+    return T.mode_smooth(T.smoothing_runs(segs(spark, sf), DAY, MONTH))
 
 
 def intervals(spark, sf) -> DataFrame:
-    return T.merge_intervals(smoothed(spark, sf), DAY)
+    return T.merge_intervals(smoothed(spark, sf), DAY, block_s=MONTH)
 
 
 def raw_intervals(spark, sf, gap: float = DAY) -> DataFrame:
-    return T.merge_intervals(segs(spark, sf), gap, "y")
+    return T.merge_intervals(segs(spark, sf), gap, "y", block_s=MONTH)
 
 
 INTERVAL = ["user_id", "label", "activity", "start_s", "end_s", "duration_s", "observed_s", "n_segments"]
@@ -53,7 +55,7 @@ def seg_time_base(spark, sf):
 
 
 def smooth_runs(spark, sf):
-    return T.smoothing_runs(segs(spark, sf), DAY).select("user_id", "ord", "run")
+    return T.smoothing_runs(segs(spark, sf), DAY, MONTH).select("user_id", "ord", "run")
 
 
 def mode_smooth_k5(spark, sf):
@@ -63,7 +65,7 @@ def mode_smooth_k5(spark, sf):
 def viterbi_smooth(spark, sf):
     n = len(CLASSES)
     emission = [[0.7 if i == j else 0.3 / (n - 1) for j in range(n)] for i in range(n)]
-    return T.viterbi_smooth(T.smoothing_runs(segs(spark, sf), DAY), emission).select("user_id", "ord", "y", "y_smooth")
+    return T.viterbi_smooth(T.smoothing_runs(segs(spark, sf), DAY, MONTH), emission).select("user_id", "ord", "y", "y_smooth")
 
 
 def interval_merge(spark, sf):
@@ -71,7 +73,7 @@ def interval_merge(spark, sf):
 
 
 def interval_min_duration(spark, sf):
-    return T.merge_intervals(smoothed(spark, sf), DAY, min_interval_s=3_600.0).select(*INTERVAL)
+    return T.merge_intervals(smoothed(spark, sf), DAY, min_interval_s=3_600.0, block_s=MONTH).select(*INTERVAL)
 
 
 def totals_counts(spark, sf):
@@ -469,13 +471,13 @@ def measured_events(spark, sf) -> DataFrame:
 
 
 def timeline_evidence(spark, sf):
-    e = signal_ops.timeline_evidence(measured_events(spark, sf), DAY)
+    e = signal_ops.timeline_evidence(measured_events(spark, sf), DAY, block_s=MONTH)
     return e.select("user_id", "label", "start_s", "acc_mag_mean", "acc_mag_std", "dynamic_acc_std", "gyro_mag_mean", "gyro_mag_std", "gravity_mag_g")
 
 
 def cleaned_evidence(spark, sf):
     """Cleaned intervals with the evidence that is left to them."""
-    e = written(signal_ops.timeline_evidence(measured_events(spark, sf), DAY), "evidence")
+    e = written(signal_ops.timeline_evidence(measured_events(spark, sf), DAY, block_s=MONTH), "evidence")
     c = T.with_evidence(T.clean_timeline(intervals(spark, sf), 3_600.0, DAY), e)
     return c.select("user_id", "label", "start_s", "end_s", "evidence_of", F.col("evidence.acc_mag_mean").alias("acc_mag_mean"))
 
@@ -485,7 +487,7 @@ def answer_evidence(spark, sf):
     iv = written(intervals(spark, sf), "intervals")
     asked = F.explode(F.array(*map(F.lit, ("Was there a prolonged period of sitting?", "Was there a prolonged period of walking?", "Was the user using a wheeled or pedal-based mode of movement?"))))
     q = iv.select("user_id").distinct().withColumn("query", asked).withColumn("id", F.concat_ws("/", "user_id", "query"))
-    e = written(signal_ops.timeline_evidence(measured_events(spark, sf), DAY), "evidence")
+    e = written(signal_ops.timeline_evidence(measured_events(spark, sf), DAY, block_s=MONTH), "evidence")
     return resolve.answer(q, iv, CONFIG, evidence=e).select("user_id", "query", "answer", "explanation", "facts")
 
 
