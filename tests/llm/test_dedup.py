@@ -292,3 +292,29 @@ def test_stretch_hashes():
     v[200:260] = v[20:80]
     h = passages.stretch_hashes(v, 46)
     assert len(h) == 255 and [i for i in range(100, 255) if h[i] in h[:100]] == list(range(200, 215))
+
+
+def plain_regions(links, least, agree):
+    """Each link looks at all stretches before it, the latest first."""
+    out = []
+    for lo, hi, shift, fns in sorted((min(x["lo"], x["hi"]), max(x["lo"], x["hi"]) + least - 1, x["shift"], x["fns"] | x["hot"]) for x in links):
+        for r in out[::-1]:
+            if lo <= r[1] + 1 and abs(shift - r[2][-1]) <= passages.reach(max(hi, r[1]) - r[0] + 1):
+                r[1], r[3] = max(r[1], hi), r[3] | fns
+                r[2].append(shift)
+                break
+        else:
+            out.append([lo, hi, [shift], fns])
+    return sorted({(max(0, lo), hi, sorted(shifts)[len(shifts) // 2]) for lo, hi, shifts, fns in out if fns.bit_count() >= agree})
+
+
+def test_regions_among_decoys():
+    """Three links that agree make one stretch, however many links of other offsets lie between them."""
+    link = lambda lo, shift, fns: {"lo": lo, "hi": lo, "shift": shift, "fns": fns, "hot": 0}
+    mine = [link(100, 7, 1), link(101, 7, 2), link(102, 7, 4)]
+    decoys = [link(100 + i // 9, 1000 * (i + 1), 8) for i in range(18)]
+    assert passages.regions(mine, 46, 3) == passages.regions(mine + decoys, 46, 3) != []
+    for seed in range(60):
+        r = random.Random(seed)
+        links = [link(r.randrange(400), r.choice([0, 3, 11, 40, 90, 300, 301, r.randrange(2000)]), 1 << r.randrange(5)) for _ in range(r.randrange(1, 260))]
+        assert passages.regions(links, 46, 3) == plain_regions(links, 46, 3)
