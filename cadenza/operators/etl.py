@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import magnitude, to_g
 from ..schema import GRAVITY, SEGMENT
+from ..session import written
 
 
 def valid_samples(samples: DataFrame) -> DataFrame:
@@ -33,6 +35,55 @@ def rescale(samples: DataFrame, units: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.when(F.col("unit") == "m/s2", to_g(F.col(c), GRAVITY)).otherwise(F.col(c)) for c in ("x", "y", "z")})
 
 
+MANIFEST = "user_id string, version string, rows long, unit string, median_mag double, run long"
+
+
+def versions(samples: DataFrame) -> DataFrame:
+    """user_id, version, rows: equal samples of a user, in whatever order, have one version."""
+    at = F.xxhash64("window", "x", "y", "z").cast("decimal(38,0)")
+    minutes = samples.groupBy(F.col("user_id").cast("string").alias("user_id"), "window").agg(F.sum(at).alias("_s"), F.count("*").alias("_n"))
+    sums = [F.sum(c).cast("string") for c in (F.col("_s"), F.xxhash64("window", "_s", "_n").cast("decimal(38,0)"), F.col("_n"))]
+    return minutes.groupBy("user_id").agg(F.sha2(F.concat_ws("/", *sums), 256).alias("version"), F.sum("_n").alias("rows"))
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """What was rescaled last of each user; without a manifest an empty table."""
+    try:
+        rows = spark.read.schema(MANIFEST).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], MANIFEST)
+    return rows.groupBy("user_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "user_id"]), "run").alias("_m")).select("user_id", "_m.*")
+
+
+def rescale_run(samples: DataFrame, path: str, manifest_path: str, least: float = 0.80) -> DataFrame:
+    """Rescale what has changed: user_id, status (rescaled, kept, flagged or unchanged), unit, median_mag of each user of the samples.
+
+    Users whose samples have the version that the manifest has for them are unchanged: nothing of theirs is written. The others' folders at `path` (by
+    user_id) are replaced: in g where they recorded m/s2 (rescaled), as they are where they recorded g (kept) or no unit fits (flagged). The manifest gets
+    their rows when all folders stand, so a run that dies is done again by the next. Users who are no longer among the samples stay as they are. Two runs at once aren't
+    provided for."""
+    spark = samples.sparkSession
+    samples = samples.withColumn("user_id", F.col("user_id").cast("string")).where("user_id is not null")
+    before = written(manifest(spark, manifest_path), "manifest")
+    now = versions(samples)
+    due = written(now.join(before.select("user_id", "version"), ["user_id", "version"], "left_anti"), "due")
+    users = due.join(unit_decision(unit_stats(samples.join(due.select("user_id"), "user_id", "left_semi")), least).select("user_id", "unit", "median_mag"), "user_id", "left")
+    users = written(users, "due_users")
+    if users.isEmpty():
+        done = users
+    else:
+        rows = rescale(samples.join(users.select("user_id"), "user_id", "left_semi"), users).drop("unit")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("user_id").parquet(path)
+        run = (before.agg(F.max("run")).first()[0] or 0) + 1
+        done = users.withColumn("run", F.lit(run).cast("long"))
+        done.select(*[c.split()[0] for c in MANIFEST.split(", ")]).write.mode("append").parquet(manifest_path)
+    status = F.when(F.col("unit") == "m/s2", "rescaled").when(F.col("unit") == "g", "kept").otherwise("flagged")
+    same = before.join(now.select("user_id", "version"), ["user_id", "version"], "left_semi").select("user_id", F.lit("unchanged").alias("status"), "unit", "median_mag")
+    return done.select("user_id", status.alias("status"), "unit", "median_mag").unionByName(same)
+
+
 def label_codes(one: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
     """Two label tables on (user_id, window), each with some of the columns -> label, 1 for the first column. A label is on above 0.5; null or
     NaN is off; rows without a label go; two labels at once raise."""

@@ -14,8 +14,8 @@ from ..functions.signal import feature_names
 from ..operators import development, etl, metrics, questions, resolve, sampling, scoring, signal_ops
 from ..operators import timeline as T
 from ..schema import CLASSES, SEGMENT, TimelineConfig
-from ..session import written
-from ..sources import readers
+from ..session import new_path, written
+from ..sources import numpy_files, readers
 from ..sources.readers import events_as_segments
 
 DAY = 86_400.0
@@ -530,6 +530,24 @@ def unit_decision(spark, sf):
     return u.select("user_id", F.round("median_mag", 5).alias("median_mag"), F.round("in_g", 5).alias("in_g"), F.round("in_ms2", 5).alias("in_ms2"), "unit")
 
 
+def rescale_runs(spark, sf):
+    """A second run over the values of unit_decision, of which those of every tenth user have changed since the first."""
+    e = events_as_segments(table(spark, sf, "events"))
+    samples = lambda more: e.select("user_id", F.floor(F.col("window") / 3600).alias("window"), (F.col("value") / 10 + more).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    out, known = new_path(spark, "rescaled"), new_path(spark, "rescale_manifest")
+    etl.rescale_run(samples(F.lit(0)), out, known, 0.4)
+    second = etl.rescale_run(samples(F.when(F.col("user_id") % 10 == 0, 1).otherwise(0)), out, known, 0.4)
+    return second.select(F.col("user_id").cast("long").alias("user_id"), (F.col("status") == "unchanged").alias("unchanged"))
+
+
+def npz_round_trip(spark, sf):
+    """Vectors written as archives and read again."""
+    path = new_path(spark, "vectors_npz")
+    numpy_files.write_arrays(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), path, rows=200)
+    v = numpy_files.read_arrays(spark, path, rows=150)
+    return v.select("vec_id", F.col("label").cast("int").alias("label"), F.size("embedding").alias("n"), F.get("embedding", F.lit(0)).cast("double").alias("first"), F.get("embedding", F.lit(63)).cast("double").alias("last"))
+
+
 def user_znorm(spark, sf):
     e = events_as_segments(table(spark, sf, "events"))
     return etl.user_znorm(e.select("user_id", "ord", "value"), ["value"]).select("user_id", "ord", F.round("value_z", 5).alias("value_z"))
@@ -674,6 +692,6 @@ QUERIES = {f.__name__: f for f in (
     answer_verification, answer_verification_at, answer_identification, answer_identification_overall, answer_open_world, answer_prolonged, answer_wheeled, answer_blocks, intent_rules, activity_recovery, first_number,
     yes_no_norm, confusion_matrix, confusion_shares, class_metrics, overall_metrics, interval_iou, qa_score, qa_errors, strictness_curve, question_set, qa_end_to_end, class_distribution, natural_prior, water_fill_quota,
     spread_pick, training_set, split_cover, split_faults, user_set_ops, segment_slide, dist_features, shape_features, zcr_jerk, corr_features, spectral_features, band_energy, autocorr_peak, gait_frequency, features_213,
-    interval_evidence, timeline_evidence, cleaned_evidence, answer_evidence, augment_segments, degrade_segments, interp_asof, resample_grid, hour_features, unit_decision, user_znorm, outer_label_join, label_argmax, weighted_argmax, geo_mean_weights, pareto_frontier, rf_predict, boosting_predict, network_predict, recurrent_predict,
+    interval_evidence, timeline_evidence, cleaned_evidence, answer_evidence, augment_segments, degrade_segments, interp_asof, resample_grid, hour_features, unit_decision, rescale_runs, npz_round_trip, user_znorm, outer_label_join, label_argmax, weighted_argmax, geo_mean_weights, pareto_frontier, rf_predict, boosting_predict, network_predict, recurrent_predict,
     window_blocks, positional_align, extrapolated_top, dev_answers, dev_measured, balanced_fold, replay_faults, robustness_sweep,
 )}
