@@ -53,22 +53,19 @@ def seed_of(*key) -> int:
     return int.from_bytes(hashlib.blake2b(repr(key).encode(), digest_size=8).digest(), "little")
 
 
+def seeds_of(b: pa.RecordBatch, key: list[str], *more) -> list[int]:
+    """A seed for each row of a batch, from its key columns."""
+    return [seed_of(*more, *k) for k in zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in key), strict=True)]
+
+
 def augmented(segments: DataFrame, key: list[str], seed: int = 0, signal: str = "signal") -> DataFrame:
     """Each segment as it might have been; the random numbers follow from the seed and the row's key, so a repeated task gives the same."""
 
-    def work(x, b):
-        keys = list(zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in key), strict=True))
-        return np.stack([S.augment(s, np.random.default_rng(seed_of(seed, *k))).ravel() for s, k in zip(x, keys, strict=True)]) if len(x) else x.reshape(0, 0)
-
-    return changed(segments, signal, "augmented", "float", work)
+    return changed(segments, signal, "augmented", "float", lambda x, b: S.augment(x, seeds_of(b, key, seed)))
 
 
 def degraded(segments: DataFrame, kind: str, level: float, key: list[str], seed: int = 12345, signal: str = "signal") -> DataFrame:
-    def work(x, b):
-        keys = list(zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in key), strict=True))
-        return np.stack([S.degrade(s[None], kind, level, np.random.default_rng(seed_of(seed, kind, level, *k)))[0].ravel() for s, k in zip(x, keys, strict=True)]) if len(x) else x.reshape(0, 0)
-
-    return changed(segments, signal, "degraded", "float", work)
+    return changed(segments, signal, "degraded", "float", lambda x, b: S.degrade(x, kind, level, seeds_of(b, key, seed, kind, level)))
 
 
 EVIDENCE = "acc_mag_mean double, acc_mag_std double, dynamic_acc_std double, gyro_mag_mean double, gyro_mag_std double, step_freq_hz double, step_freq_share double, gravity_dir array<double>, gravity_mag_g double, dominant_channel string, channel_std map<string,double>"

@@ -91,6 +91,9 @@ ORACLES: dict[str, str] = {
     "transition_matrix": f"{BASE} SELECT from_activity, to_activity, count(*) AS n FROM (SELECT activity AS from_activity, lead(activity) OVER (PARTITION BY user_id ORDER BY start_s) AS to_activity FROM iv) WHERE to_activity IS NOT NULL GROUP BY ALL",
     "rescale_runs": "SELECT DISTINCT user_id, user_id % 10 <> 0 AS unchanged FROM events",
     "npz_round_trip": "SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS n, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last FROM embeddings",
+    "augment_segments": "SELECT vec_id, CAST(768 AS INTEGER) AS n, true AS gravity_kept, true AS changed FROM embeddings",
+    "degrade_segments": """SELECT vec_id, round((4 * list_sum(list_transform(range(32), lambda j: CAST(embedding[CAST(2 * j + 1 AS INTEGER)] AS DOUBLE))) - CAST(embedding[1] AS DOUBLE) / 2 + CAST(embedding[63] AS DOUBLE) / 2) / 128, 4) + 0.0 AS mean,
+    true AS rate_same, true AS loss_same FROM embeddings""",
     "timeline_evidence": f"""{BASE}, sg AS (SELECT vec_id, i, c, CAST(CAST(CAST(embedding[CAST((i * (c + 1)) % 64 + 1 AS INTEGER)] AS DOUBLE) + CASE WHEN c = 2 THEN 1 ELSE 0 END AS FLOAT) AS DOUBLE) AS x FROM embeddings, range(128) AS t(i), range(6) AS u(c) WHERE vec_id < 500),
 wd AS (SELECT vec_id, i, {", ".join(f"max(x) FILTER (c = {c}) AS x{c}" for c in range(6))} FROM sg GROUP BY vec_id, i),
 mg AS (SELECT *, sqrt(x0 * x0 + x1 * x1 + x2 * x2) AS am, sqrt(x3 * x3 + x4 * x4 + x5 * x5) AS gm, pow(x0 - avg(x0) OVER v, 2) + pow(x1 - avg(x1) OVER v, 2) + pow(x2 - avg(x2) OVER v, 2) AS dy FROM wd WINDOW v AS (PARTITION BY vec_id)),

@@ -492,13 +492,21 @@ def answer_evidence(spark, sf):
 
 
 def augment_segments(spark, sf):
+    """Whether gravity is about as large in a changed segment as it was, and whether anything has changed."""
     a = signal_ops.augmented(pseudo_segments(spark, sf), ["vec_id"])
-    return a.select("vec_id", F.size("augmented").alias("n"))
+    mean = lambda x, c: F.aggregate(F.filter(x, lambda _, i: i % 6 == c), F.lit(0.0), lambda s, v: s + v) / SEGMENT
+    size = lambda x: F.sqrt(sum(F.pow(mean(F.col(x), c), 2) for c in range(3)))
+    return a.select("vec_id", F.size("augmented").alias("n"), (F.abs(size("augmented") - size("signal")) < 0.25).alias("gravity_kept"), (F.col("augmented") != F.col("signal")).alias("changed"))
 
 
 def degrade_segments(spark, sf):
-    d = signal_ops.degraded(pseudo_segments(spark, sf), "rate", 10.0, ["vec_id"])
-    return d.select("vec_id", F.size("degraded").alias("n"))
+    """Means of the first channel at half the rate, and whether full rate and no loss change nothing."""
+    rows = pseudo_segments(spark, sf).select("vec_id", "signal")
+    half = signal_ops.degraded(rows, "rate", 16.0, ["vec_id"])
+    same = lambda d, name: signal_ops.degraded(d, "rate" if name == "rate_same" else "dropout", 32.0 if name == "rate_same" else 0.0, ["vec_id"]).withColumn(name, F.col("degraded") == F.col("signal")).drop("degraded")
+    first = F.aggregate(F.filter("degraded", lambda _, i: i % 6 == 0), F.lit(0.0), lambda s, v: s + v) / SEGMENT
+    both = half.withColumn("mean", F.round(first, 4) + 0.0).drop("degraded")
+    return same(same(both, "rate_same"), "loss_same").select("vec_id", "mean", "rate_same", "loss_same")
 
 
 def interp_asof(spark, sf):
