@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import seconds_in, whole
-from ..schema import DYNAMIC, NA, STATIC
-from . import metrics, scoring, signal_ops
-from .timeline import nearest_interval
+from ..schema import DYNAMIC, NA, STATIC, TimelineConfig
+from ..session import written
+from . import metrics, resolve, scoring, signal_ops
+from .timeline import build, nearest_interval
 
 # --- fixed values: the wordings of the development questions and of their answers --------------------
 IDENTIFICATION = "What activity is the user performing at {t} seconds?"
@@ -146,20 +147,34 @@ def answer(questions: DataFrame, intervals: DataFrame, prolonged_s: float = 480.
 
 
 def robustness(segments: DataFrame, levels: dict[str, list[float]], key: list[str], predict: Callable[[DataFrame], DataFrame], ask: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """kind, level, accuracy, macro_f1 (and what `ask` gives, one row for each level): segments (signal, y, ...) are damaged by each kind and level, described, and classified.
-
-    `predict` takes rows with features and adds y_pred; `ask` takes its rows to the scores of questions answered over them. Each level is one
-    branch of one job."""
-    out = []
-    for kind, grid in levels.items():
-        for level in grid:
-            damaged = signal_ops.degraded(segments, kind, level, key).drop("signal").withColumnRenamed("degraded", "signal")
-            seen = predict(signal_ops.with_features(damaged))
-            row = metrics.overall_metrics(metrics.confusion(seen.select(F.col("y").alias("y_true"), "y_pred"))).select("accuracy", "macro_f1")
-            if ask is not None:
-                row = row.crossJoin(F.broadcast(ask(seen)))  # one row with one row
-            out.append(row.select(F.lit(kind).alias("kind"), F.lit(float(level)).alias("level"), "*"))
-    return reduce(DataFrame.unionByName, out)
+    """kind, level, accuracy, macro_f1 and what `ask` adds: segments (signal, y, ...) damaged by each kind and level, described, and classified.
+
+    Each segment is read once and goes on once for each level; `predict` takes all these rows with their features and adds y_pred. `ask` takes them (with
+    _level, the level's number, but without signals) to a row for each _level, see question_scores."""
+    grid = [(kind, float(level)) for kind, some in levels.items() for level in some]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_level"), F.lit(kind).alias("kind"), F.lit(level).alias("level")) for i, (kind, level) in enumerate(grid)]))
+    rows = segments.withColumn("_l", each).select(*segments.columns, "_l.*")
+    damaged = signal_ops.degraded_each(rows, key).drop("signal").withColumnRenamed("degraded", "signal")
+    seen = written(predict(signal_ops.with_features(damaged)).drop("signal", "features", "probability"), "seen")
+    cm = metrics.confusion(seen, "y", "y_pred", "_level", "kind", "level")
+    out = metrics.overall_metrics(cm, "_level", "kind", "level").select("_level", "kind", "level", "accuracy", "macro_f1")
+    return (out if ask is None else out.join(ask(seen), "_level", "left")).drop("_level")
+
+
+def question_scores(questions: DataFrame, n_levels: int, config: TimelineConfig = TimelineConfig()) -> Callable[[DataFrame], DataFrame]:
+    """What robustness may ask: questions (as questions.generate makes them, with their truth) answered over the timeline of each level's labels; qa_macro, the mean over
+    types of the share that is right, and qa_per_type. Users have whole numbers; a user at a level is a user of its own, so all levels are answered in one go."""
+
+    def ask(seen: DataFrame) -> DataFrame:
+        own = (F.col("user_id") * n_levels + F.col("_level")).cast("long")
+        iv = written(build(seen.select(own.alias("user_id"), "window", "seg_index", "ord", F.col("y_pred").alias("y")), config), "level_intervals")
+        q = questions.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(n_levels - 1)))).withColumn("user_id", own).withColumn("id", F.concat_ws("/", "id", "_level"))
+        q = written(q, "level_questions")
+        said = resolve.answer(q.select("id", "user_id", "query"), iv, config).select("id", "answer", "spans", "modality", "channels")
+        per = scoring.score(q.join(said, "id")).groupBy("_level", "type").agg(F.avg(F.col("correct").cast("double")).alias("share"))
+        return per.groupBy("_level").agg(F.avg("share").alias("qa_macro"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "share")))).alias("qa_per_type"))
+
+    return ask
 
 
 def overhead(scored: DataFrame, parsed: DataFrame, timings: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -68,6 +68,20 @@ def degraded(segments: DataFrame, kind: str, level: float, key: list[str], seed:
     return changed(segments, signal, "degraded", "float", lambda x, b: S.degrade(x, kind, level, seeds_of(b, key, seed, kind, level)))
 
 
+def degraded_each(rows: DataFrame, key: list[str], seed: int = 12345, signal: str = "signal") -> DataFrame:
+    """As degraded, but by the kind and level that each row names; those of one kind and level in a batch are damaged together."""
+
+    def work(x, b):
+        out = np.empty(x.shape, np.float32)
+        ways = list(zip(b.column(b.schema.get_field_index("kind")).to_pylist(), b.column(b.schema.get_field_index("level")).to_pylist(), strict=True))
+        for kind, level in sorted(set(ways)):
+            at = np.array([i for i, w in enumerate(ways) if w == (kind, level)])
+            out[at] = S.degrade(x[at], kind, level, seeds_of(b.take(pa.array(at)), key, seed, kind, level))
+        return out
+
+    return changed(rows, signal, "degraded", "float", work)
+
+
 EVIDENCE = "acc_mag_mean double, acc_mag_std double, dynamic_acc_std double, gyro_mag_mean double, gyro_mag_std double, step_freq_hz double, step_freq_share double, gravity_dir array<double>, gravity_mag_g double, dominant_channel string, channel_std map<string,double>"
 
 

@@ -71,7 +71,7 @@ def time_base(segments: DataFrame, seconds: float = SECONDS) -> DataFrame:
     first = segments.groupBy("user_id").agg(F.min("window").alias("_first"))
     start = (F.col("window") - F.col("_first") + F.col("seg_index") * seconds).cast("double")
     out = segments.join(first, "user_id").withColumn("t_start", start).withColumn("t_end", F.col("t_start") + seconds)
-    return out.select(*segments.columns, "t_start", "t_end")
+    return out.select(*[c for c in segments.columns if c not in ("t_start", "t_end")], "t_start", "t_end")
 
 
 def smoothing_runs(segments: DataFrame, max_gap_s: float, block_s: float = BLOCK_S) -> DataFrame:

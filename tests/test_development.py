@@ -113,3 +113,39 @@ def test_labels_of_the_model(spark):
     for bad in ((1, 8), (-1, 3)):
         with pytest.raises(Exception, match="labels must lie"):
             values(of(*bad))
+
+
+def test_sweep_with_questions(spark):
+    """All levels in one plan: damage is what `degraded` does, and questions are answered over each level's own timeline."""
+    from cadenza.operators import questions, signal_ops
+    from cadenza.operators import timeline as T
+
+    r, rows = random.Random(2), []
+    for u in (3, 8):
+        for i in range(120):
+            y = [1, 2, 0, 4][i // 30]
+            rows.append((u, 1000 + 4 * i, 0, i, y, [r.gauss(0, 1) for _ in range(768)]))
+    df = spark.createDataFrame(rows, "user_id long, window long, seg_index int, ord long, y int, signal array<float>").repartition(3)
+    levels = {"noise": [0.0, 2.0], "rate": [8.0]}
+    seen = {}
+
+    def predict(f):
+        seen["columns"] = f.columns
+        return f.withColumn("y_pred", F.when((F.col("kind") == "noise") & (F.col("level") == 0), F.col("y")).when(F.col("kind") == "rate", F.lit(1)).otherwise(F.when(F.col("y") == 4, 2).otherwise(F.col("y"))))
+
+    iv = T.clean_timeline(T.build(df.drop("signal")))
+    q = questions.generate(iv)
+    out = {(x["kind"], x["level"]): x for x in D.robustness(df, levels, ["user_id", "ord"], predict, D.question_scores(q, 3)).collect()}
+    assert "features" in seen["columns"] and set(out) == {("noise", 0.0), ("noise", 2.0), ("rate", 8.0)}
+    best, some, worst = out["noise", 0.0], out["noise", 2.0], out["rate", 8.0]
+    assert best["accuracy"] == 1.0 and some["accuracy"] == 0.75 and worst["accuracy"] == 0.25
+    assert best["qa_macro"] > some["qa_macro"] > worst["qa_macro"] and best["qa_per_type"]["duration"] == 1.0
+    from cadenza.operators import resolve, scoring
+
+    said = resolve.answer(q.select("id", "user_id", "query"), T.build(df.drop("signal"))).select("id", "answer", "spans", "modality", "channels")
+    direct = {x["type"]: x["accuracy"] for x in scoring.aggregate(scoring.score(q.join(said, "id"))).collect() if x["type"]}
+    assert best["qa_per_type"] == pytest.approx(direct) and best["qa_macro"] == pytest.approx(sum(direct.values()) / len(direct))
+    each = signal_ops.degraded_each(df.withColumn("kind", F.when(F.col("ord") % 2 == 0, "rate").otherwise("dropout")).withColumn("level", F.lit(10.0)), ["user_id", "ord"])
+    plain = signal_ops.degraded(df.where("ord % 2 = 1"), "dropout", 10.0, ["user_id", "ord"])
+    of = lambda d: {(x["user_id"], x["ord"]): x["degraded"] for x in d.where("ord % 2 = 1").collect()}
+    assert of(each) == of(plain)

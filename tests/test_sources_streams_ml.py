@@ -83,4 +83,5 @@ def test_forest_query_takes_all_labels(spark, tmp_path, monkeypatch):
     assert sorted(x["vec_id"] for x in got) == list(range(80))
     assert {x["y"] for x in got} == {x["y_pred"] for x in got} == set(range(10))
     assert [(m.getNumTrees(), m.getMaxDepth()) for m in made] == [(200, 20)]
-    assert (ml.boosting().getClassifier().getMaxIter(), ml.boosting().getClassifier().getMaxDepth()) == (400, 6)
+    b = ml.boosting()
+    assert (b.rounds, b.rate, b.leaves, b.least_leaf, b.l2, b.hold_one_in, b.patience) == (400, 0.08, 63, 100, 1.0, 10, 20)
