@@ -119,6 +119,7 @@ def test_sweep_with_questions(spark):
     """All levels in one plan: damage is what `degraded` does, and questions are answered over each level's own timeline."""
     from cadenza.operators import questions, signal_ops
     from cadenza.operators import timeline as T
+    from cadenza.session import written
 
     r, rows = random.Random(2), []
     for u in (3, 8):
@@ -133,8 +134,8 @@ def test_sweep_with_questions(spark):
         seen["columns"] = f.columns
         return f.withColumn("y_pred", F.when((F.col("kind") == "noise") & (F.col("level") == 0), F.col("y")).when(F.col("kind") == "rate", F.lit(1)).otherwise(F.when(F.col("y") == 4, 2).otherwise(F.col("y"))))
 
-    iv = T.clean_timeline(T.build(df.drop("signal")))
-    q = questions.generate(iv)
+    iv = written(T.clean_timeline(T.build(df.drop("signal"))), "true")
+    q = written(questions.generate(iv), "questions")
     out = {(x["kind"], x["level"]): x for x in D.robustness(df, levels, ["user_id", "ord"], predict, D.question_scores(q, 3)).collect()}
     assert "features" in seen["columns"] and set(out) == {("noise", 0.0), ("noise", 2.0), ("rate", 8.0)}
     best, some, worst = out["noise", 0.0], out["noise", 2.0], out["rate", 8.0]
