@@ -318,3 +318,42 @@ def test_regions_among_decoys():
         r = random.Random(seed)
         links = [link(r.randrange(400), r.choice([0, 3, 11, 40, 90, 300, 301, r.randrange(2000)]), 1 << r.randrange(5)) for _ in range(r.randrange(1, 260))]
         assert passages.regions(links, 46, 3) == plain_regions(links, 46, 3)
+
+
+def family(n: int, seed: int) -> tuple[list[tuple[int, str]], dict[int, list[bytes]]]:
+    """Texts around copies of one passage of 100 words with two words changed in each, and their words."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    passage = [word() for _ in range(100)]
+    docs = []
+    for i in range(n):
+        own = passage[:]
+        for j in rng.sample(range(100), 2) if i else ():
+            own[j] = word()
+        docs.append((i * 7 + 3, " ".join([word() for _ in range(30)] + own + [word() for _ in range(30)])))
+    rng.shuffle(docs)
+    return docs, {i: passages.word_list(t) for i, t in docs}
+
+
+@pytest.mark.parametrize("n, seed", [(60, 1), (60, 2), (60, 3), (300, 4)])
+def test_families_of_edited_copies(spark, n, seed):
+    docs, words = family(n, seed)
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    got = {tuple(sorted((r["doc_id"], r["other_doc_id"]))) for r in rows}
+    assert len(got) == len(rows)
+    for r in rows:
+        for p in r["passages"]:
+            assert p["similarity"] >= 0.8 and p["end_word"] - p["start_word"] >= 50
+    found = components(words, got)
+    alike_to_one = {a for a in words if any(passages.verified(words[a], words[b], 46, 0.8) for b in words if b != a)}
+    assert {found[a] for a in alike_to_one} == {3}
+
+
+def test_pairs_of_several_rounds_are_one(spark):
+    p = lambda i, j, k, e: {"start_word": i, "end_word": j, "other_start_word": k, "other_end_word": e, "similarity": 0.9}
+    schema = passages.PAIR
+    one = spark.createDataFrame([(1, 2, 10, 20, [p(0, 60, 5, 65)], 60), (1, 3, 10, None, [p(0, 50, 0, 50)], 50)], schema)
+    two = spark.createDataFrame([(1, 2, 10, 20, [p(0, 60, 5, 65), p(0, 70, 5, 75), p(100, 150, 90, 140)], 70)], schema)
+    got = {(r["a"], r["b"]): r for r in passages.merged([one, two]).collect()}
+    assert set(got) == {(1, 2), (1, 3)} and got[1, 3]["other_doc_id"] is None and got[1, 3]["longest_words"] == 50
+    assert [(x["start_word"], x["end_word"]) for x in got[1, 2]["passages"]] == [(0, 70), (100, 150)] and got[1, 2]["longest_words"] == 70
