@@ -441,6 +441,47 @@ def test_dedup_stages_tell_rows_apart(spark, docs, tmp_path):
     assert sorted((x["text"] or "", x["n_chars"] or 0, x["_spans"] or "") for x in corpus_pipeline.redact_secrets(spark, df3, "").collect()) == [("", 0, ""), ("[SECRET]", 8, "s"), ("plain", 5, "t")]
 
 
+def test_edges_of_filter_and_pack(spark, tokenizer, tmp_path):
+    """Null, empty, repeated and unlabelled rows, null ids and columns of the stages' own names: each row is judged as the model judges its text, and each has places of its own."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    r = random.Random(8)
+    good = lambda: " ".join(r.choice(["the", "house", "stands", "near", "water", "and", "trees."]) for _ in range(60)) + f" {r.random()}"
+    bad = lambda: "".join(r.choice("$$%%!!||##AB ") for _ in range(400))
+    rows = [(i, good() if i % 3 else bad()) for i in range(90)]
+    rows += [(None, rows[1][1]), (None, rows[0][1]), (1, rows[0][1]), (200, None), (201, ""), (1, rows[1][1]), (None, None), (202, good() * 60)]
+    docs = spark.createDataFrame([(*x, 0.5, "x", 7) for x in rows], "doc_id long, text string, score double, _row string, predicted int").repartition(4)
+    spark.createDataFrame([(i, 1 if i % 3 else 0, 0) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    model = quality.train(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    key = lambda x: (-1 if x[0] is None else x[0], x[1] is None, x[1] or "")
+    want = [x for x, s in zip(rows, model.score([t or "" for _, t in rows]), strict=True) if s >= quality.THRESHOLD]
+    out = corpus_pipeline.quality_filter(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = [(x["doc_id"], x["text"]) for x in out.collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert (None, rows[1][1]) in got and (1, rows[0][1]) not in got and got.count(rows[1]) == 2
+
+    pieces = corpus_pipeline.pack(spark, docs, "").collect()
+    tok = Tokenizer.from_file(tokenizer)
+    tok.no_truncation()
+    tok.no_padding()
+    lengths = sorted((-1 if d is None else d, len(tok.encode(t or "", add_special_tokens=False).ids) + 1) for d, t in rows)
+    assert max(n for _, n in lengths) > 2048
+    cut = sorted((d, min(2048, n - k)) for d, n in lengths for k in range(0, n, 2048))
+    assert sorted((-1 if x["doc_id"] is None else x["doc_id"], x["length"]) for x in pieces) == cut
+    held = {}
+    for x in pieces:
+        held.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for places in held.values():
+        end = 0
+        for at, n in sorted(places):
+            assert at == end
+            end += n
+        assert end <= 2048
+
+
 def test_stages_of_nothing(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
