@@ -15,7 +15,8 @@ ORACLE_SQL = None
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Each row is judged by its text alone, so equal texts stay or go together, whatever their ids; null
+    texts are judged as empty ones and stay null; a score that equals the threshold stays; an empty table gives an empty result."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.keep(docs, model)
 
@@ -46,7 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; each secret in its text is replaced by a mark, and n_chars follows. Rows without a finding are as before."""
+    """Every document stays; each secret in its text is replaced by a mark, and n_chars follows. Rows without a finding are as
+    before, so null texts stay null; repeated rows are redacted each time; an empty table gives an empty result."""
     blob, spans, some = spare(docs, "_blob", "_spans", "_some")
     found = secrets.blob_findings(secrets.update_ledger(docs)).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     found = written(found, "findings")
@@ -61,7 +63,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens and their places in sequences of 2048."""
+    """Pieces of the documents' tokens and their places in sequences of 2048. Null and empty texts give one piece of the closing id; rows with null or
+    repeated ids and repeated rows have pieces and places of their own; pieces of equal length go by id, which may be told apart by nothing
+    but their tokens; other columns are left out; an empty table gives an empty result."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
