@@ -38,13 +38,13 @@ def markdown(rows: DataFrame, most: int = 1_000) -> str:
     return "\n".join(["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns), *("| " + " | ".join(map(text, r)) + " |" for r in found)])
 
 
-def save_model(model, path: str, weights: list[float], use_time: bool, n_features: int) -> None:
-    """A fitted pipeline, and beside it what prediction needs to know."""
+def save_model(model, path: str, weights: list[float], use_time: bool, n_features: int, **more) -> None:
+    """A fitted pipeline, and beside it what prediction needs to know and what else is to be kept."""
     from pyspark.sql import SparkSession
 
     model.write().overwrite().save(f"{path}/model")
     spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(json.dumps({"weights": weights, "use_time": use_time, "n_features": n_features}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+    spark.createDataFrame([(json.dumps({"weights": weights, "use_time": use_time, "n_features": n_features, **more}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
 
 def load_model(path: str):

@@ -1,10 +1,11 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import ml
+from cadenza.operators import ml, signal_ops
 from cadenza.sources import readers, sinks
 from cadenza.streaming import timeline_stream
 
@@ -41,6 +42,27 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown(df).splitlines()[2] == "| u | 1 | 0.1235 |"
 
 
+def test_deploy(spark, tmp_path):
+    """One call: quotas, features, hours, forest, mean weights and the saved model, which predicts as the fitted one does."""
+    r = np.random.default_rng(1)
+    wave = lambda y: (np.sin(np.arange(128)[:, None] * (0.1 + 0.3 * y)) + r.normal(0, 0.1, (128, 6))).ravel().tolist()
+    rows = [(u, 1_444_000_000 + 60 * i, i, i % 3, wave(i % 3)) for u in range(3) for i in range(30 if u else 60)] + [(0, 1, 0, None, wave(0))]
+    df = spark.createDataFrame(rows, "user_id long, window long, seg_index int, label int, signal array<double>")
+    model, about = ml.deploy(df, [[1.0] * 7, [4.0, 1.0, 0.25] + [1.0] * 4], str(tmp_path / "m"), cap=24, trees=10, depth=5)
+    # 24 of each class by equal quotas: eight of each user
+    assert about["train_per_class"] == [24] * 3 + [0] * 4 and about["n_train"] == 72 and about["n_features"] == 215 and about["nodes"] > 10
+    assert about["weights"] == pytest.approx([2.0, 1.0, 0.5, 1, 1, 1, 1])
+    again, kept = sinks.load_model(str(tmp_path / "m"))
+    assert kept == about
+    seen = ml.with_time(signal_ops.with_features(df.where("label is not null")))
+    got = [sorted((x["user_id"], x["window"], x["y_pred"]) for x in ml.predict(seen, m, about["weights"]).select("user_id", "window", "y_pred").collect()) for m in (model, again)]
+    assert got[0] == got[1] and ml.predict(seen, again, kept["weights"]).where("label = y_pred").count() > 110
+    with pytest.raises(ValueError):
+        ml.deploy(df.limit(0), [[1.0] * 7], str(tmp_path / "n"))
+    with pytest.raises(ValueError):
+        ml.mean_weights([[1.0, 0.0], [1.0, 1.0]])
+
+
 def test_forest(spark, tmp_path):
     r = random.Random(0)
     rows = [(u, 1_444_000_000 + 60 * i, y := r.randrange(3), [y + r.gauss(0, 0.3), r.gauss(0, 1)]) for u in range(4) for i in range(40)]
