@@ -34,12 +34,19 @@ def rule_intent(query: Column) -> Column:
     return out.otherwise("unsupported")
 
 
+STEM_CLASS = dict(VERB_STEMS)
+
+
 def recovered_activities(query: Column) -> Column:
-    """Classes named in the text, in class order; without any, those of verb stems at a word's start, in the stems' order."""
+    """Classes named in the text, in class order; without any, those of verb stems at a word's start, in the stems' order.
+
+    No stem begins another, so one pass finds at each word's start the only one that can be there."""
     s = F.lower(query)
     named = F.filter(F.array(*map(F.lit, CLASSES)), lambda c: F.contains(s, F.lower(c)))
-    stems = F.array(*[F.when(s.rlike(rf"\b{stem}"), F.lit(c)) for stem, c in VERB_STEMS])
-    return F.when(F.size(named) > 0, named).otherwise(F.array_distinct(F.filter(stems, lambda c: c.isNotNull())))
+    met = F.regexp_extract_all(s, F.lit(rf"\b({'|'.join(STEM_CLASS)})"), F.lit(1))
+    stems = F.array_intersect(F.array(*map(F.lit, STEM_CLASS)), met)  # in the order of the first
+    classes = F.create_map(*[F.lit(x) for pair in VERB_STEMS for x in pair])
+    return F.when(F.size(named) > 0, named).otherwise(F.array_distinct(F.transform(stems, lambda stem: classes[stem])))
 
 
 REPLY = "intent string, activities array<string>, time_s string"

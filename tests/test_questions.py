@@ -125,3 +125,23 @@ def test_yes_no_takes_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r["conv_id"]: r["yn"] for r in queries.yes_no_norm(spark, str(tmp_path)).collect()}
     assert got == {0: "yes", 1: "no", 2: "mostly physically active today", 3: "yes", 4: None}
+
+
+def test_stems_in_one_pass(spark):
+    """Against a search for each stem apart; the text is searched by one expression."""
+    import random
+    import re
+
+    from cadenza.schema import CLASSES, VERB_STEMS
+
+    r, words = random.Random(1), [a for a, _ in VERB_STEMS] + ["xwalk", "lie", "the", "lies", "Ran", "stroll-jog", "_run", "standing in place"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 5))) for _ in range(400)]
+
+    def plain(s):
+        named = [c for c in CLASSES if c.lower() in s.lower()]
+        return named or list(dict.fromkeys(c for stem, c in VERB_STEMS if re.search(rf"\b{stem}", s.lower())))
+
+    out = spark.createDataFrame([(t,) for t in texts], "q string").select("q", I.recovered_activities(F.col("q")).alias("a"))
+    assert all(x["a"] == plain(x["q"]) for x in out.collect())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and plan.count("regexp_extract_all") == 1
