@@ -62,6 +62,12 @@ def placed(rows: DataFrame, block_s: float = BLOCK_S) -> DataFrame:
     return numbered(rows, "_run", ["run"], lambda before, own: own("run") != before("run"), "place", block_s).drop("_run")
 
 
+def in_time(intervals: DataFrame) -> list[str]:
+    """What a user's intervals are ordered by. Of those that start at one moment, as segments of one second make them, the one whose first segment (ord) comes first is
+    the earlier; intervals from elsewhere, without ord, go by their ends."""
+    return ["start_s", "ord"] if "ord" in intervals.columns else ["start_s", "end_s"]
+
+
 def activity_name(label: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, CLASSES)), label.cast("int") + 1)
 
@@ -253,15 +259,15 @@ def islands(segments: DataFrame, max_gap_s: float, label: str = "y_smooth", bloc
 
 
 def merge_intervals(segments: DataFrame, max_gap_s: float, label: str = "y_smooth", min_interval_s: float = 0.0, seconds: float = SECONDS, block_s: float = BLOCK_S) -> DataFrame:
-    """user_id, label, activity, start_s, end_s, duration_s, observed_s, n_segments (and mean confidence if there is one).
+    """user_id, label, activity, start_s, end_s, duration_s, observed_s, n_segments, ord of the first segment (and mean confidence if there is one).
 
     A new interval begins where the label changes, or where a segment starts more than max_gap_s after the one
     before ended. Intervals shorter than min_interval_s are dropped, and their neighbours are not joined."""
     marked = islands(segments, max_gap_s, label, block_s)
     more = [F.avg("confidence").alias("confidence")] if "confidence" in segments.columns else []
-    out = marked.groupBy("user_id", "_island").agg(F.min(label).cast("int").alias("label"), F.min("t_start").alias("start_s"), F.max("t_end").alias("end_s"), F.count("*").alias("n_segments"), *more)
+    out = marked.groupBy("user_id", "_island").agg(F.min(label).cast("int").alias("label"), F.min("t_start").alias("start_s"), F.max("t_end").alias("end_s"), F.count("*").alias("n_segments"), F.min_by("ord", F.struct("t_start", "ord")).alias("ord"), *more)
     out = out.withColumn("duration_s", F.col("end_s") - F.col("start_s")).withColumn("observed_s", F.col("n_segments") * seconds).withColumn("activity", activity_name(F.col("label")))
-    return out.where(F.col("duration_s") >= min_interval_s).select("user_id", "label", "activity", "start_s", "end_s", "duration_s", "observed_s", "n_segments", *[F.col("confidence") for _ in more])
+    return out.where(F.col("duration_s") >= min_interval_s).select("user_id", "label", "activity", "start_s", "end_s", "duration_s", "observed_s", "n_segments", "ord", *[F.col("confidence") for _ in more])
 
 
 def totals(intervals: DataFrame) -> DataFrame:
@@ -275,7 +281,7 @@ def recording_span(segments: DataFrame) -> DataFrame:
 
 def transitions(intervals: DataFrame) -> DataFrame:
     """from_activity, to_activity, at_s: the start of each interval but the user's first."""
-    w = Window.partitionBy("user_id").orderBy("start_s")
+    w = Window.partitionBy("user_id").orderBy(*in_time(intervals))
     return intervals.select("user_id", F.col("activity").alias("from_activity"), F.lead("activity").over(w).alias("to_activity"), F.lead("start_s").over(w).alias("at_s")).where("at_s is not null")
 
 
@@ -284,17 +290,18 @@ def coalesce_intervals(intervals: DataFrame, max_gap_s: float) -> DataFrame:
 
     evidence_of says whose evidence the whole has, by the start of the interval that was measured: a part's own (its start, unless a column evidence_of says
     otherwise), if the part is longer than all before it together and has any."""
-    w = Window.partitionBy("user_id").orderBy("start_s")
+    order = in_time(intervals)
+    w = Window.partitionBy("user_id").orderBy(*order)
     if "evidence_of" not in intervals.columns:
         intervals = intervals.withColumn("evidence_of", F.col("start_s"))
     new = (F.col("activity") != F.lag("activity").over(w)) | (F.col("start_s") - F.lag("end_s").over(w) > max_gap_s)
     marked = intervals.withColumn("_new", F.coalesce(new.cast("int"), F.lit(0))).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    before = Window.partitionBy("user_id", "_island").orderBy("start_s").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("user_id", "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     so_far = F.max("end_s").over(before) - F.min("start_s").over(before)
     marked = marked.withColumn("_own", so_far.isNull() | ((F.col("end_s") - F.col("start_s") > so_far) & F.col("evidence_of").isNotNull()))
     out = marked.groupBy("user_id", "_island").agg(
         F.min_by("label", "start_s").alias("label"), F.min("activity").alias("activity"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.sum("observed_s").alias("observed_s"), F.sum("n_segments").alias("n_segments"),
-        F.max_by("evidence_of", F.when(F.col("_own"), F.col("start_s"))).alias("evidence_of"),
+        F.max_by("evidence_of", F.when(F.col("_own"), F.struct(*order))).alias("evidence_of"),
     )
     return out.select("user_id", "label", "activity", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "observed_s", "n_segments", "evidence_of")
 
@@ -379,7 +386,8 @@ def clean_timeline(intervals: DataFrame, min_episode_s: float = 60.0, max_gap_s:
 
     Intervals more than max_gap_s apart never touch each other, so chains of near intervals, not users, are dealt out and cleaned, many in
     one call. Where a chain begins is found by a window over the user's intervals, which a task sorts with spilling."""
-    w = Window.partitionBy("user_id").orderBy("start_s")
+    order = in_time(intervals)
+    w = Window.partitionBy("user_id").orderBy(*order)
     reach = F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
     chained = intervals.withColumn("_new", F.coalesce((F.col("start_s") - reach > max_gap_s).cast("int"), F.lit(0))).withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     names = [x.split()[0] for x in ABSORBED.split(", ")]
@@ -399,8 +407,8 @@ def clean_timeline(intervals: DataFrame, min_episode_s: float = 60.0, max_gap_s:
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([out[0], label, activity, *out[2:]], kinds, strict=True)], names)
 
-    rows = chained.select(F.col("user_id").cast("long").alias("user_id"), "_chain", F.col("label").cast("int").alias("label"), "activity", "start_s", "end_s", F.col("observed_s").cast("double").alias("observed_s"), F.col("n_segments").cast("long").alias("n_segments"), (F.col("evidence_of") if "evidence_of" in intervals.columns else F.col("start_s")).cast("double").alias("evidence_of"))
-    done = rows.repartition("user_id", "_chain").sortWithinPartitions("user_id", "_chain", "start_s").mapInArrow(clean, ABSORBED)
+    rows = chained.select(F.col("user_id").cast("long").alias("user_id"), "_chain", F.col("label").cast("int").alias("label"), "activity", "start_s", "end_s", F.col("observed_s").cast("double").alias("observed_s"), F.col("n_segments").cast("long").alias("n_segments"), (F.col("evidence_of") if "evidence_of" in intervals.columns else F.col("start_s")).cast("double").alias("evidence_of"), F.col(order[1]).alias("_next"))
+    done = rows.repartition("user_id", "_chain").sortWithinPartitions("user_id", "_chain", "start_s", "_next").drop("_next").mapInArrow(clean, ABSORBED)
     return done.select("user_id", "label", "activity", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "observed_s", "n_segments", "evidence_of")
 
 

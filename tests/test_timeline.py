@@ -206,3 +206,15 @@ def test_lookups_by_brute_force(spark):
     segments = spark.createDataFrame([(u, float(t), float(t + 4)) for u in range(6) for t in range(0, 200, 3)], "user_id long, t_start double, t_end double")
     got = sorted((x["user_id"], x["start_s"], x["t_start"]) for x in T.held_segments(i, segments, 25.0).collect())
     assert got == sorted((u, s, float(t)) for u, _, s, e in rows for t in range(0, 200, 3) if s <= t and t + 4 <= e)
+
+
+def test_intervals_of_one_moment(spark):
+    """Segments that share a second begin several intervals at once: they follow one another as their segments do, whatever the partitions."""
+    s = segs(spark, [2, 0, 2, 0, 0, 1], [0, 0, 0, 0, 50, 50])
+    merged = T.merge_intervals(s, 120, "y")
+    for n in (1, 3, 7):
+        iv = merged.repartition(n, "label", "end_s").sortWithinPartitions("label")
+        got = [(r[1], r[2]) for r in sorted(T.transitions(iv).collect(), key=lambda r: r[3])]
+        assert got[:3] == [("Walking", "Lying down"), ("Lying down", "Walking"), ("Walking", "Lying down")]
+        assert got[3] == ("Lying down", "Sitting") and len(got) == 4
+        assert T.coalesce_intervals(iv, 120).count() == 5
