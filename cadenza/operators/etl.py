@@ -57,13 +57,18 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "user_id"]), "run").alias("_m")).select("user_id", "_m.*")
 
 
-def rescale_run(samples: DataFrame, path: str, manifest_path: str, least: float = 0.80) -> DataFrame:
+def rescale_run(samples: DataFrame, path: str, manifest_path: str, least: float = 0.80, folders: str = "user_id") -> DataFrame:
     """Rescale what has changed: user_id, status (rescaled, kept, flagged or unchanged), unit, median_mag of each user of the samples.
 
     Users whose samples have the version that the manifest has for them are unchanged: nothing of theirs is written. The others' folders at `path` (by
     user_id) are replaced: in g where they recorded m/s2 (rescaled), as they are where they recorded g (kept) or no unit fits (flagged). The manifest gets
     their rows when all folders stand, so a run that dies is done again by the next. Users who are no longer among the samples stay as they are. Two runs at once aren't
-    provided for."""
+    provided for.
+
+    A folder for each user costs the driver some calls for each: with many users name folders="run". What a run writes is then one folder, the manifest says which
+    run has a user's last samples, and `rescaled` reads these."""
+    if folders not in ("user_id", "run"):
+        raise ValueError("folders: user_id or run")
     spark = samples.sparkSession
     samples = samples.withColumn("user_id", F.col("user_id").cast("string")).where("user_id is not null")
     before = written(manifest(spark, manifest_path), "manifest")
@@ -75,8 +80,12 @@ def rescale_run(samples: DataFrame, path: str, manifest_path: str, least: float
         done = users
     else:
         rows = rescale(samples.join(users.select("user_id"), "user_id", "left_semi"), users).drop("unit")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("user_id").parquet(path)
         run = (before.agg(F.max("run")).first()[0] or 0) + 1
+        out = rows.write.mode("overwrite").option("compression", "zstd")
+        if folders == "run":
+            out.parquet(f"{path}/run={run}")
+        else:
+            out.option("partitionOverwriteMode", "dynamic").partitionBy("user_id").parquet(path)
         done = users.withColumn("run", F.lit(run).cast("long"))
         done.select(*[c.split()[0] for c in MANIFEST.split(", ")]).write.mode("append").parquet(manifest_path)
     status = F.when(F.col("unit") == "m/s2", "rescaled").when(F.col("unit") == "g", "kept").otherwise("flagged")
@@ -84,6 +93,12 @@ def rescale_run(samples: DataFrame, path: str, manifest_path: str, least: float
     return done.select("user_id", status.alias("status"), "unit", "median_mag").unionByName(same)
 
 
+def rescaled(spark: SparkSession, path: str, manifest_path: str) -> DataFrame:
+    """The last samples of each user that runs with folders="run" have written."""
+    rows = spark.read.option("basePath", path).parquet(path).withColumn("run", F.col("run").cast("long"))
+    return rows.join(manifest(spark, manifest_path).select("user_id", "run"), ["user_id", "run"], "left_semi").drop("run")
+
+
 def label_codes(one: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
     """Two label tables on (user_id, window), each with some of the columns -> label, 1 for the first column. A label is on above 0.5; null or
     NaN is off; rows without a label go; two labels at once raise."""

@@ -61,3 +61,20 @@ def test_versions(spark):
     assert of(a) == of(a.repartition(5)) and of(a)["b"][1] == 2
     assert of(a.where("not (user_id = 'a' and window = 0 and t = 3)"))["a"] != of(a)["a"]
     assert etl.versions(a.limit(0)).count() == 0
+
+
+def test_a_folder_for_each_run(spark, tmp_path):
+    """Many users cost no folders of their own: the manifest tells whose samples are where, and what is read is as by users' folders."""
+    data = {f"u{i}": rows_of(f"u{i}", G if i % 2 else 1.0, 1) for i in range(12)}
+    frame = lambda: spark.createDataFrame([x for some in data.values() for x in some], SCHEMA).repartition(3)
+    both = {f: (str(tmp_path / f / "out"), str(tmp_path / f / "manifest")) for f in ("run", "user_id")}
+    run = lambda f: {r["user_id"]: r["status"] for r in etl.rescale_run(frame(), *both[f], folders=f).collect()}
+    read = lambda d: sorted(tuple(map(str, r)) for r in d.select("user_id", "window", "t", "x", "y", "z").collect())
+    assert run("run") == run("user_id") and sorted(os.listdir(both["run"][0])) == ["run=1"]
+    first = files(both["run"][0])
+    data["u3"] = rows_of("u3", G, 2)
+    assert run("run") == run("user_id") == {u: "rescaled" if u == "u3" else "unchanged" for u in data}
+    assert {k: v for k, v in files(both["run"][0]).items() if "run=1" in k} == first
+    assert read(etl.rescaled(spark, *both["run"])) == read(spark.read.parquet(both["user_id"][0]))
+    with pytest.raises(ValueError):
+        etl.rescale_run(frame(), *both["run"], folders="day")
