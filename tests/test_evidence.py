@@ -124,3 +124,20 @@ def test_answers_quote_evidence(spark):
     plain = {r["id"]: r for r in resolve.answer(q, iv).collect()}
     assert plain["1/0"]["explanation"].endswith("threshold for a prolonged period. 2 such intervals were found in total.")
     assert all(plain[k]["answer"] == out[k]["answer"] and plain[k]["spans"] == out[k]["spans"] for k in out)
+
+
+def test_signals_that_segments_share(spark):
+    """Named signals give what the same signals in each segment give; only names are shuffled with the segments."""
+    df, _ = segments(spark)
+    signals = df.where("user_id = 1 and ord < 7").select(F.col("ord").alias("name"), "signal")
+    named = df.drop("signal").withColumn("name", F.pmod("ord", F.lit(7)))
+    got = signal_ops.timeline_evidence(named, 120, "y", signals=signals)
+    held = signal_ops.timeline_evidence(named.join(signals, "name"), 120, "y")
+    key = lambda r: (r["user_id"], r["label"], r["start_s"])
+    got_rows, want = sorted(got.collect(), key=key), sorted(held.collect(), key=key)
+    assert len(got_rows) == len(want) > 10 and got.columns == held.columns
+    for a, b in zip(got_rows, want, strict=True):
+        assert key(a) == key(b) and a["dominant_channel"] == b["dominant_channel"]
+        assert all(np.isclose(a[k], b[k], atol=2e-4) for k in ("acc_mag_mean", "acc_mag_std", "dynamic_acc_std", "gyro_mag_mean", "gyro_mag_std", "gravity_mag_g"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "MapInArrow" in plan and "SortMergeJoin" not in plan
