@@ -1,0 +1,94 @@
+"""Forests grown in tasks: against splits found one by one, the same trees whatever is grown where, a bounded number of jobs, quality."""
+
+import random
+
+import numpy as np
+import pytest
+
+from cadenza.operators import forests, ml
+
+
+def data(n, seed, classes=3):
+    r = np.random.default_rng(seed)
+    y = r.integers(0, classes, n)
+    x = r.standard_normal((n, 9))
+    x[:, 0] += 3 * (y == 1)
+    x[:, 4] += 3 * (y == 2)
+    return x, y
+
+
+def frame(spark, x, y):
+    return spark.createDataFrame([(i, a.tolist(), int(c)) for i, (a, c) in enumerate(zip(x, y, strict=True))], "row long, features array<double>, y int").repartition(4)
+
+
+def test_splits_against_all_cuts():
+    """The best split of a node is the best of all cuts, tried one by one, and every leaf has the rows that it should."""
+    r = np.random.default_rng(2)
+    x, y = r.integers(0, 8, (300, 5)).astype(np.uint8), r.integers(0, 3, 300)
+    w, c = r.random(300) + 0.5, r.integers(1, 4, 300).astype(float)
+    f, cut, left, share = forests.grown(x, y, w, c, 6, 4, 5, 8, 3, (1,))
+    pure = lambda at: (np.bincount(y[at], (w * c)[at], 3) ** 2).sum() / (w * c)[at].sum()
+    best = max(pure(x[:, k] <= v) + pure(x[:, k] > v) for k in range(5) for v in range(7) if min(c[x[:, k] <= v].sum(), c[x[:, k] > v].sum()) >= 4)
+    at = x[:, f[0]] <= cut[0]
+    assert np.isclose(pure(at) + pure(~at), best)
+    of = forests.Tree(f, cut, left, left + 1, share).leaf_of(x)
+    for leaf in np.unique(of):
+        assert f[leaf] == -1 and np.allclose(share[leaf], np.bincount(y[of == leaf], (w * c)[of == leaf], 3)) and c[of == leaf].sum() >= 4
+    assert len(f) == 1 + 2 * (f >= 0).sum()
+
+
+def test_draws():
+    """Poisson numbers of mean 1, other ones for each tree."""
+    h = np.random.default_rng(0).integers(0, 1 << 63, 20_000).astype(np.uint64)
+    a, b = forests.draws(h, 0, 1).astype(float), forests.draws(h, 0, 2).astype(float)
+    assert abs(a.mean() - 1) < 0.03 and abs(a.var() - 1) < 0.05 and abs((a == 0).mean() - np.exp(-1)) < 0.02 and abs(np.corrcoef(a, b)[0, 1]) < 0.03
+
+
+@pytest.mark.parametrize("local", [1 << 16, 150])
+def test_forest_learns(spark, monkeypatch, local):
+    """All grown in one task each, or the upper nodes split over the cluster; jobs do not grow with nodes."""
+    monkeypatch.setattr(forests, "LOCAL_ROWS", local)
+    x, y = data(900, 3)
+    rows = frame(spark, x, y)
+    spark.sparkContext.setJobGroup(f"forest{local}", "")
+    model = ml.grow(rows.where("row < 700"), ml.forest(trees=12, depth=8))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"forest{local}"))
+    spark.sparkContext.setJobGroup("", "")
+    assert any(len(t.feature) > 1 for t in model.tops) == (local == 150) and jobs < 80
+    got = ml.predict(rows, model).collect()
+    assert sorted(r["row"] for r in got) == list(range(900))
+    assert np.mean([r["y"] == r["y_pred"] for r in got if r["row"] >= 700]) > 0.85
+    assert all(len(r["probability"]) == 7 and abs(sum(r["probability"]) - 1) < 1e-6 for r in got)
+    assert ml.predict(rows.limit(0), model).count() == 0
+
+
+def test_partitions_change_nothing(spark, monkeypatch):
+    """With the same bins, whose approximate quantiles do depend on partitions."""
+    x, y = data(300, 4)
+    monkeypatch.setattr(forests.Boosting, "edges_of", lambda *_: [np.unique(np.quantile(v, np.arange(1, 32) / 32)) for v in x.T])
+    rows = frame(spark, x, y)
+    of = lambda df: {r["row"]: r["probability"] for r in ml.predict(rows, ml.grow(df, ml.forest(trees=5, depth=6))).collect()}
+    one, two = of(rows.coalesce(1)), of(rows.repartition(7))
+    assert all(np.allclose(one[k], two[k], atol=1e-6) for k in one)
+
+
+def test_query_grows_its_forest(spark, tmp_path, monkeypatch):
+    from cadenza.plans import queries
+
+    r, grown = random.Random(6), []
+    rows = [(i, [float(x) for x in [r.gauss(i % 10, 0.1) for _ in range(64)]], i % 10) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(2).write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(ml, "forest", lambda f=ml.forest: f(trees=6, depth=4))
+    monkeypatch.setattr(forests, "fit", lambda *a, fit=forests.fit: grown.append(fit(*a)) or grown[-1])
+    got = queries.rf_predict(spark, str(tmp_path)).collect()
+    assert len(got) == 80 and len(grown) == 1 and grown[0].numClasses == 10
+
+
+def test_few_rows(spark):
+    """Of one or two rows some trees' samples are empty: they say what the classes' weights are."""
+    for n in (1, 2):
+        rows = frame(spark, np.arange(2.0 * n).reshape(n, 2), np.arange(n))
+        got = ml.predict(rows, ml.grow(rows, ml.forest(trees=25, depth=3))).collect()
+        assert len(got) == n and all(abs(sum(r["probability"]) - 1) < 1e-6 for r in got)
+    with pytest.raises(ValueError):
+        ml.grow(rows.limit(0), ml.forest())
