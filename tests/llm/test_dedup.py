@@ -379,3 +379,43 @@ def test_tiles_link_all_of_a_key_once(spark, n):
     at = {x["uid"]: x["at"] for x in laid.where("key = 1").collect()}
     want = {(a, b, at[b] - at[a]) for a in range(n) for b in range(a + 1, n)} | {(a, b, 0) for a in range(9) for b in range(a + 1, 9)} | {(0, b, 0) for b in range(1, n)}
     assert {(x["a"], x["b"], x["shift"]) for x in links} == want and len(links) == len(want)
+
+
+def ids_of(rows):
+    return {(d, x["class_id"]) for x in rows for d in (x["doc_id"], x["other_doc_id"])}
+
+
+@pytest.mark.parametrize("cell", [16, 1024])
+def test_classes_are_those_of_all_pairs(spark, monkeypatch, cell):
+    """Families of edited copies, texts of a common line and copies: classes as from all pairs, while rows grow as the texts and not as their pairs."""
+    monkeypatch.setattr(passages, "CELL", cell)
+    r = random.Random(8)
+    text = lambda n: [word(r) for _ in range(n)]
+    docs, words = family(150, 5)
+    line = text(20)
+    docs += [(5000 + i, " ".join(text(40) + line + text(40))) for i in range(120)]
+    same = " ".join(text(80))
+    docs += [(7000, same), (6999, same), (None, same), (7001, None), (7002, "a " * 300), (7003, "a " * 300 + "b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    every, rows = passages.repeated_passages(df).collect(), passages.passage_classes(df).collect()
+    of = lambda found: components({x or 0 for p in found for x in (p["doc_id"], p["other_doc_id"])}, [(x["doc_id"] or 0, x["other_doc_id"] or 0) for x in found])
+    assert of(rows) == of(every)
+    assert {d for d, c in ids_of(rows) if c == 3} >= set(words) and {d for d, c in ids_of(rows) if c == 6999} == {7000, 6999, None}
+    assert len(every) > 3_000 and len(rows) < 2 * len(docs)
+    for x in rows:
+        for p in x["passages"]:
+            assert p["similarity"] >= 0.8 and p["end_word"] - p["start_word"] >= 50
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_classes_of_overlapping_passages(spark, seed):
+    r = random.Random(100 + seed)
+    text = lambda n: [word(r) for _ in range(n)]
+    long, line = text(200), text(30)
+    docs = []
+    for i in range(60):
+        a = r.randrange(0, 150)
+        docs.append((i, " ".join(text(20) + (long[a : a + r.randrange(40, 70)] if i % 3 else line) + text(25) + (line if i % 2 else []) + text(8))))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert rows_groups(passages.passage_classes(df).collect()) == rows_groups(passages.repeated_passages(df).collect()) >= exact_groups_of(docs)
+    assert passages.passage_classes(df.limit(0)).count() == 0
