@@ -9,7 +9,7 @@ from ..functions.intent import Parser, has_any, parse
 from ..functions.scalar import evidence_text, span_text, whole
 from ..schema import CHANNELS, DYNAMIC, MODALITY, NA, PROLONGED_WORDS, STATIC, WHEELED_WORDS, TimelineConfig
 from ..session import written
-from .timeline import at_time, clean_timeline, ranked_spans, totals, with_evidence
+from .timeline import at_time, clean_timeline, in_time, ranked_spans, totals, with_evidence
 
 SPAN = "struct<start:double,end:double>"
 #: Of what was measured in an interval (see signal_ops.EVIDENCE), what facts and explanations quote.
@@ -29,6 +29,7 @@ def by_activity(intervals: DataFrame, prolonged_s: float) -> DataFrame:
     ranked = intervals.withColumn("_rank", F.row_number().over(w))
     own = F.col("evidence") if "evidence" in intervals.columns else F.lit(None).cast(MEASURED)
     own = F.struct(*[own[f].alias(f) for f in QUOTED])
+    first = F.struct(*in_time(intervals))
     span = F.when(F.col("_rank") <= 3, F.struct("_rank", F.col("start_s").alias("start"), F.col("end_s").alias("end"), own.alias("e")))
     out = ranked.groupBy("user_id", "activity").agg(
         F.round(F.sum("duration_s"), 1).alias("total_s"),
@@ -37,8 +38,8 @@ def by_activity(intervals: DataFrame, prolonged_s: float) -> DataFrame:
         F.min("start_s").alias("first_start"),
         F.array_sort(F.collect_list(span)).alias("_s"),
         F.min("start_s").alias("onset_s"),
-        F.min_by("end_s", "start_s").alias("onset_end"),
-        F.min_by(own, "start_s").alias("onset_measured"),
+        F.min_by("end_s", first).alias("onset_end"),
+        F.min_by(own, first).alias("onset_measured"),
         F.nullif(F.sum((F.col("duration_s") >= prolonged_s).cast("long")), F.lit(0)).alias("n_long"),
     )
     return out.withColumn("spans", F.transform("_s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).withColumn("measured", F.transform("_s", lambda s: s["e"])).drop("_s")

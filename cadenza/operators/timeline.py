@@ -426,7 +426,7 @@ def ranked_spans(intervals: DataFrame, top: int = 3) -> DataFrame:
 
 
 def onsets(intervals: DataFrame) -> DataFrame:
-    return intervals.groupBy("user_id", "activity").agg(F.min("start_s").alias("onset_s"), F.min_by("end_s", "start_s").alias("end_s"))
+    return intervals.groupBy("user_id", "activity").agg(F.min("start_s").alias("onset_s"), F.min_by("end_s", F.struct(*in_time(intervals))).alias("end_s"))
 
 
 def beside(probes: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -434,16 +434,19 @@ def beside(probes: DataFrame, intervals: DataFrame) -> DataFrame:
     structs of start_s, end_s, activity, or null.
 
     Both are laid on one line of time by their ends, and each probe looks ahead and back along it, so there is no join of probes with intervals.
-    Intervals of a user must end in the order in which they start, as those of a timeline do."""
+    Intervals of a user must end in the order in which they start, as those of a timeline do. Of those that start and end at one moment the earlier (see in_time) counts."""
     columns = probes.columns
     iv = F.struct("start_s", "end_s", "activity")
     kind = "struct<start_s:double,end_s:double,activity:string>"
-    own = probes.withColumns({"_at": F.col("time_s").cast("double"), "_probe": F.lit(0), "_s": F.lit(None).cast("double"), "_iv": F.lit(None).cast(kind)})
+    next_to = in_time(intervals)[1]
+    place = dict(intervals.dtypes)[next_to]
+    own = probes.withColumns({"_at": F.col("time_s").cast("double"), "_probe": F.lit(0), "_s": F.lit(None).cast("double"), "_o": F.lit(None).cast(place), "_iv": F.lit(None).cast(kind)})
     kinds = dict(probes.dtypes)
-    ends = intervals.select(*[F.col(c) if c == "user_id" else F.lit(None).cast(kinds[c]).alias(c) for c in columns], F.col("end_s").cast("double").alias("_at"), F.lit(1).alias("_probe"), F.col("start_s").cast("double").alias("_s"), iv.cast(kind).alias("_iv"))
+    ends = intervals.select(*[F.col(c) if c == "user_id" else F.lit(None).cast(kinds[c]).alias(c) for c in columns], F.col("end_s").cast("double").alias("_at"), F.lit(1).alias("_probe"), F.col("start_s").cast("double").alias("_s"), F.col(next_to).alias("_o"), iv.cast(kind).alias("_iv"))
     # of equal ends the earliest start is nearest to the probe on either side
-    back = Window.partitionBy("user_id").orderBy("_at", "_probe", F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("user_id").orderBy(F.desc("_at"), F.desc("_probe"), F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    first_last = (F.desc("_s"), F.desc("_o"))
+    back = Window.partitionBy("user_id").orderBy("_at", "_probe", *first_last).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("user_id").orderBy(F.desc("_at"), F.desc("_probe"), *first_last).rowsBetween(Window.unboundedPreceding, -1)
     line = own.unionByName(ends).withColumn("_last", F.last("_iv", True).over(back)).withColumn("_next", F.last("_iv", True).over(ahead))
     return line.where("_probe = 0").select(*columns, "_last", "_next")
 

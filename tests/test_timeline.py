@@ -218,3 +218,19 @@ def test_intervals_of_one_moment(spark):
         assert got[:3] == [("Walking", "Lying down"), ("Lying down", "Walking"), ("Walking", "Lying down")]
         assert got[3] == ("Lying down", "Sitting") and len(got) == 4
         assert T.coalesce_intervals(iv, 120).count() == 5
+
+
+def test_lookups_among_intervals_of_one_moment(spark):
+    """Of intervals that start and end together the one of the first segment holds the moment, and the earlier onset counts, whatever the partitions."""
+    labels = [3, 1, 3, 0, 2, 4]
+    s = T.time_base(spark.createDataFrame([(u, 0, 0, i, y) for u in range(40) for i, y in enumerate(labels[u % 6 :] + labels[: u % 6])] + [(u, 50, 0, 6, 1) for u in range(40)], SCHEMA))
+    merged = T.merge_intervals(s, 120, "y")
+    p = spark.createDataFrame([(u, u, 2.0) for u in range(40)], "id long, user_id long, time_s double")
+    for n, by in ((1, "label"), (3, "n_segments"), (5, "ord")):
+        i = merged.repartition(n, by).sortWithinPartitions("label")
+        first = {u: T.CLASSES[labels[u % 6]] for u in range(40)}
+        assert {x["id"]: x["activity"] for x in T.at_time(p, i).collect()} == first
+        assert {x["id"]: x["activity"] for x in T.nearest(p, i).collect()} == first
+        # of users whose last segment of the moment is Sitting, that interval goes on to 54 and is their only one of it
+        onset = {x["user_id"]: x["end_s"] for x in T.onsets(i.where("activity = 'Sitting'")).collect()}
+        assert onset == {u: 54.0 if u % 6 == 2 else 4.0 for u in range(40)}
