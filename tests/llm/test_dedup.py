@@ -421,3 +421,56 @@ def test_classes_of_overlapping_passages(spark, seed):
     assert found == rows_groups(passages.repeated_passages(df).collect())
     assert all(any(g <= f for f in found) for g in exact_groups_of(docs))
     assert passages.passage_classes(df.limit(0)).count() == 0
+
+
+def test_sketches_exclude_nothing_that_is_found():
+    """Passages of few different words share few bits; whatever is found in the stretches around shared minima, the sketches let it through."""
+    r = random.Random(3)
+    least, found, few = 46, 0, 0
+    for i in range(600):
+        kinds = [word(r) for _ in range((6, 12, 40, 400)[i % 4])]
+        body = [r.choice(kinds[:2] if i % 8 == 0 else kinds) for _ in range(r.randrange(50, 75))]
+        side = lambda: [word(r) for _ in range(r.randrange(0, 30))]
+        edited = [w if r.random() > 0.02 * (i % 5) else word(r) for w in body]
+        texts = [[w.encode() for w in side() + x + side()] for x in (body, edited)]
+        w = passages.Windows([passages.shingle_hashes(t) for t in texts], least, 5)
+        if (np.diff(w.bounds) < least).any():
+            continue
+        lo = w.bounds[:-1]
+        bits, again, merged = passages.sketches(w, lo, w.bounds[1:] - least)
+        shared = int(np.bitwise_count(bits[0] & bits[1]).sum())
+        if passages.verified(texts[0], texts[1], least, 0.8):
+            found += 1
+            few += shared < min(28, int(np.bitwise_count(bits).sum(axis=1).min()) // 2)
+            assert shared >= passages.least_common(again[:1], merged[:1], again[1:], merged[1:], least, 0.8)[0]
+    assert found > 200 and few > 0  # which a fixed number of bits would have left out
+
+
+def test_a_row_for_each_member(spark):
+    docs, words = family(60, 2)
+    docs += [(9000, None), (9001, "one " * 70), (9002, "one " * 70)]
+    links = passages.passage_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    rows = passages.members(links).collect()
+    assert sorted(x["doc_id"] for x in rows) == sorted({d for x in links.collect() for d in (x["doc_id"], x["other_doc_id"])})
+    assert {x["doc_id"] for x in rows if x["class_id"] == 3} >= set(words) and {x["doc_id"] for x in rows if x["class_id"] == 9001} == {9001, 9002}
+    text = dict(docs)
+    for x in rows:
+        a, b = (passages.word_list(text[x[c]]) for c in ("doc_id", "other_doc_id"))
+        assert x["n_links"] >= 1 and x["longest_words"] >= 50
+        for p in x["passages"]:
+            assert passages.jaccard(passages.shingle_hashes(a[p["start_word"] : p["end_word"]]), passages.shingle_hashes(b[p["other_start_word"] : p["other_end_word"]])) >= 0.8
+
+
+def test_a_family_is_joined_by_few_links(spark):
+    """Of edited copies that share keys each meets the first one; what is left to compare among all doesn't grow with the square of the family."""
+    made = []
+    for n in (100, 400):
+        docs, _ = family(n, 6)
+        rows, classes, laid = passages.laid_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "doc_id", "text", 50, 5, 3, True)
+        nobody = spark.createDataFrame([], "node long, component long")
+        heads = passages.candidate_pairs(passages.summed(passages.beside_heads(passages.apart(laid, nobody), 46, 0.8)), 46, 3)
+        pairs = passages.written(passages.verified_pairs(heads, rows, classes, 46, 0.8), "pairs")
+        met = passages.connected_components(pairs.select("a", "b"))
+        made.append((heads.count(), passages.across(passages.apart(laid, met), 46, 0.8).count()))
+        assert met.count() > 0.9 * n
+    assert made[1][0] < 8 * made[0][0] and made[1][1] < 8 * max(made[0][1], 50)
