@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -474,3 +475,17 @@ def test_a_family_is_joined_by_few_links(spark):
         made.append((heads.count(), passages.across(passages.apart(laid, met), 46, 0.8).count()))
         assert met.count() > 0.9 * n
     assert made[1][0] < 8 * made[0][0] and made[1][1] < 8 * max(made[0][1], 50)
+
+
+@pytest.mark.parametrize("share", [0, 0.001, 0.03, 0.5, 1])
+def test_packed_sketches(share):
+    rng = np.random.default_rng(4)
+    bits = rng.random((3000, passages.SKETCH)) < share
+    bits[0], bits[1], bits[2] = False, False, True
+    bits[1, [0, 254, 255, 510, 1020, passages.SKETCH - 1]] = True
+    whole = np.packbits(bits, axis=1)
+    steps, n = passages.packed(whole)
+    ends = np.cumsum(n)
+    column = pa.array([steps[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)], pa.binary())
+    assert ends[-1] == len(steps) and (passages.bits_of(column) == whole.view(np.uint64)).all()
+    assert passages.bits_of(column[:0]).shape == (0, passages.SKETCH // 64)
